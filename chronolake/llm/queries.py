@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.llm import digest, expsketch
+from chronolake.llm import digest, expsketch, leaks, packing
 from chronolake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,34 @@ def p6_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_percentiles(spark, sf_dir).select("grouped_by", "engine", "state", "day_utc", "n", (F.col("rank_error") <= MAX_RANK_ERROR).alias("within_bound"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_small_sets, p6_percentiles, p6_certified)}
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: containers, tokens, the tokens of unused space, and the share filled."""
+    filled = p8_pack(spark, sf_dir).where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    return filled.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum(F.lit(packing.CAPACITY) - F.col("used")).alias("unused"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("filled"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages left for training."""
+    return leaks.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir)).select("doc_id", "lang", "source", "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_small_sets, p6_percentiles, p6_certified, p8_pack, p8_fill, p9_found, p9_stretches, p9_clean)}
 
 
 
