@@ -150,17 +150,23 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         if sum(b.num_rows for b in held) < 20_000 and sum(b.nbytes for b in held) < 32 << 20:
             continue
-        t = pa.Table.from_batches(held)
+        t = _plain(held)
         t = pa.concat_tables([carry, t]) if carry is not None else t
         held = []
         done, carry = _fold(t, final=False)
         yield from done
     if held or carry is not None:
-        tables = ([carry] if carry is not None else []) + ([pa.Table.from_batches(held)] if held else [])
+        tables = ([carry] if carry is not None else []) + ([_plain(held)] if held else [])
         done, _ = _fold(pa.concat_tables(tables), final=True)
         yield from done
 
 
+def _plain(batches: list[pa.RecordBatch]) -> pa.Table:
+    """The batches as a table in the form in which groups are carried."""
+    t = pa.Table.from_batches(batches)
+    return pa.table({c: t[c] for c in ("src", "dim", "kept", "code", "hashes", "mins")})
+
+
 def _pieces(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     """All values of a binary column one after another, and how many each row has."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
