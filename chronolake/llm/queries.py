@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.llm import digest, expsketch, leaks, packing
+from chronolake.llm import digest, expsketch, leaks, packing, sentences
 from chronolake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +67,15 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir)).select("doc_id", "lang", "source", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_small_sets, p6_percentiles, p6_certified, p8_pack, p8_fill, p9_found, p9_stretches, p9_clean)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"), with_text=True)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_small_sets, p6_percentiles, p6_certified, p8_pack, p8_fill, p9_found, p9_stretches, p9_clean, p10_found, p10_sentences)}
 
 
 
