@@ -10,7 +10,7 @@ from statistics import median
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.session import written
@@ -360,22 +360,42 @@ _BLANKS = re.compile(r"\s+")
 _GUTTER = re.compile(r"\s*\|\s*|\s{2,}")
 
 
-def _pieces(text: str, boxes: list | None) -> list[tuple[int, int, int | None, int | None]]:
-    """(begin, end, left edge, height) of each line, lines that run through two columns being cut in two."""
+#: Four edges of each line, or of which there is none.
+Boxes = tuple[list[int], list[int], list[int], list[int]]
+NO_EDGE = -1_000_000
+
+
+def boxes_of(lines: list | None) -> Boxes | None:
+    """The edges x0, y0, x1, y1 of a page's lines as four lists; a line without its box has NO_EDGE throughout."""
+    if lines is None:
+        return None
+    edges = ("x0", "y0", "x1", "y1")
+    whole = [None not in [b[e] for e in edges] if b else False for b in lines]
+    return tuple([b[e] if ok else NO_EDGE for b, ok in zip(lines, whole, strict=True)] for e in edges)
+
+
+def _pieces(text: str, boxes: Boxes | None) -> list[tuple[int, int, int | None, int | None]]:
+    """(begin, end, left edge, height) of each line, lines that run through two columns being cut in two.
+
+    The height is None without a box, -1 for the left part of a cut line and -2 for the right one, whose edge is a guess.
+    """
     lines = text.split("\n")
-    if boxes is not None and len(boxes) != len(lines):
+    if boxes is None or len(boxes[0]) != len(lines):
         boxes = None
     out = []
     at = 0
-    whole = [b for b in boxes if b and None not in (b["x0"], b["y0"], b["x1"], b["y1"])] if boxes else []
-    widths = [b["x1"] - b["x0"] for b in whole if b["y1"] - b["y0"] <= 40] or [(b["x1"] - b["x0"]) // 2 for b in whole]
-    usual = median(widths) if widths else 0
+    usual = 0
+    if boxes:
+        x0s, y0s, x1s, y1s = boxes
+        sizes = [(x1 - x0, y1 - y0) for x0, y0, x1, y1 in zip(x0s, y0s, x1s, y1s, strict=True) if NO_EDGE not in (x0, y0, x1, y1)]
+        widths = [w for w, h in sizes if h <= 40] or [w // 2 for w, _ in sizes]
+        usual = median(widths) if widths else 0
     for i, line in enumerate(lines):
-        b = boxes[i] if boxes else None
-        if not b or any(b[k] is None for k in ("x0", "y0", "x1", "y1")):
-            out.append((at, at + len(line), None, None))
+        end = at + len(line)
+        if boxes is None or NO_EDGE in (x0s[i], y0s[i], x1s[i], y1s[i]):
+            out.append((at, end, None, None))
         else:
-            x0, width, height = b["x0"], b["x1"] - b["x0"], b["y1"] - b["y0"]
+            x0, width, height = x0s[i], x1s[i] - x0s[i], y1s[i] - y0s[i]
             cut = None
             if usual and height > 40 and width > 1.35 * usual:
                 gaps = [m for m in _GUTTER.finditer(line) if m.start() > 0 and m.end() < len(line)]
@@ -383,14 +403,14 @@ def _pieces(text: str, boxes: list | None) -> list[tuple[int, int, int | None, i
                     cut = min(gaps, key=lambda m: abs(m.start() - len(line) / 2) - 4 * len(m.group()))
             if cut:
                 out.append((at, at + cut.start(), x0, -1))
-                out.append((at + cut.end(), at + len(line), x0 + width // 2, -2))
+                out.append((at + cut.end(), end, x0 + width // 2, -2))
             else:
-                out.append((at, at + len(line), x0, height))
-        at += len(line) + 1
+                out.append((at, end, x0, height))
+        at = end + 1
     return out
 
 
-def _blocks(text: str, boxes: list | None) -> list[list[tuple[int, int]]]:
+def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
     """The page's blocks in reading order, each a list of (begin, end): headings, adverts, paragraphs.
 
     Headings and adverts are set in other sizes than the text around them; a paragraph begins with an indent. Lines of
@@ -462,7 +482,7 @@ def _same_size(a: int, b: int) -> bool:
     return a == b or (a > 0 and b > 0 and abs(a - b) <= 2)
 
 
-def page_units(text: str | None, boxes: list | None, lex: Lexicon) -> list[tuple[int, str]]:
+def page_units(text: str | None, boxes: Boxes | None, lex: Lexicon) -> list[tuple[int, str]]:
     """Sentence units of a page in reading order: the offset right after the last character, and the unit's text.
 
     A unit's text is taken from its block, so it runs on over adverts and lines of other columns; line breaks are kept.
@@ -485,7 +505,7 @@ def page_units(text: str | None, boxes: list | None, lex: Lexicon) -> list[tuple
     return units
 
 
-def sentence_ends(text: str | None, boxes: list | None, lex: Lexicon) -> list[int]:
+def sentence_ends(text: str | None, boxes: Boxes | None, lex: Lexicon) -> list[int]:
     """Offsets right after the last character of each sentence of a page, ascending."""
     return sorted({end for end, _ in page_units(text, boxes, lex)})
 
@@ -524,11 +544,24 @@ def _table(got: pa.Table) -> np.ndarray:
     return counts
 
 
+_EDGES = ("x0", "y0", "x1", "y1")
+
+
+def _edges(b: pa.RecordBatch) -> list[Boxes | None]:
+    """The boxes of a batch's pages, cut out of the columns' values."""
+    there = b["x0"].is_valid().to_pylist()
+    columns = []
+    for e in _EDGES:
+        values, offsets = b[e].values.to_numpy(zero_copy_only=False).tolist(), b[e].offsets.to_numpy().tolist()
+        columns.append([values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
+    return [tuple(page) if ok else None for ok, *page in zip(there, *columns, strict=True)]
+
+
 def _splitter(shared, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(shared.value)
         for b in batches:
-            ids, texts, boxes = b["doc_id"].to_pylist(), b["text"].to_pylist(), b["boxes"].to_pylist()
+            ids, texts, boxes = b["doc_id"].to_pylist(), b["text"].to_pylist(), _edges(b)
             out_ids, out_ends, out_texts = [], [], []
             for d, t, x in zip(ids, texts, boxes, strict=True):
                 units = page_units(t, x, lex)
@@ -554,7 +587,10 @@ def sentences(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """
     lex = lexicon(documents)
     shared = documents.sparkSession.sparkContext.broadcast(lex.counts)
-    boxes = F.transform("lines", lambda b: F.struct(b.x0.alias("x0"), b.y0.alias("y0"), b.x1.alias("x1"), b.y1.alias("y1"))).alias("boxes")
-    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", boxes)
+    def edge(name: str) -> Column:
+        return F.transform("lines", lambda line: F.coalesce(line[name], F.lit(NO_EDGE))).alias(name)
+
+    edges = [edge(e) for e in _EDGES]
+    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", *edges)
     schema = "doc_id bigint, sent_end bigint" + (", sentence string" if with_text else "")
     return pages.mapInArrow(_splitter(shared, with_text), schema).dropDuplicates(["doc_id", "sent_end"])
