@@ -29,7 +29,8 @@ def _skewed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.skewed_totals(_skewed(spark, sf_dir))
+    got = tree.skewed_totals(_skewed(spark, sf_dir))
+    return got.withColumns({c: F.unix_millis(c) for c in ("first_time", "last_time")})
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ UNION ALL SELECT * FROM (SELECT table_name, 'gap' AS kind, lag(t) OVER (PARTITIO
 SQL: dict[str, str] = {
     "p1_rolling": _P1 + "SELECT kkm_id, day_utc, total_7, round(total_7 / 7.0, 4) AS avg_7, total_30, round(total_30 / 30.0, 4) AS avg_30 FROM roll",
     "p1_found": _P1 + "SELECT kkm_id, day_utc FROM roll WHERE total_7 = 0 AND total_30 > 0",
-    "p2_totals": _P2 + "SELECT table_name, dim_name, dim_value, count(*) AS n_rows, CAST(sum(amount) AS BIGINT) AS total_cents, min(dp_time) AS first_time, max(dp_time) AS last_time FROM v GROUP BY ALL",
+    "p2_totals": _P2 + "SELECT table_name, dim_name, dim_value, count(*) AS n_rows, CAST(sum(amount) AS BIGINT) AS total_cents, epoch_ms(min(dp_time)) AS first_time, epoch_ms(max(dp_time)) AS last_time FROM v GROUP BY ALL",
     "p2_found": _P2 + "SELECT table_name, dim_name, dim_value FROM v GROUP BY ALL HAVING dim_value IS NOT NULL AND count(*) >= 0.04 * (CASE table_name WHEN 'receipt' THEN (SELECT count(*) FROM receipt) ELSE (SELECT count(*) FROM kkm_items) END)",
     "p3_attributes": _P3.format(fields=", ".join(f"l.field_values['{k}'] AS {k}" for k in ("owner", "region", "store_format", "floor_area"))),
     "p3_found": _P3.replace(", {fields}", ""),
