@@ -386,7 +386,7 @@ def hll_count(e: Typed, error: Typed) -> Typed:
         column = F.approx_count_distinct(e.column, err)
     else:
         lg = next((k for k in range(12, 22) if 1.04 / 2 ** (k / 2) <= err), None)
-        value = F.unix_micros(e.column) if e.type == S.TIMESTAMP else e.column
+        value = F.when(e.column.isNotNull(), F.xxhash64(e.column))  # the sketch itself skips empty texts
         column = F.count_distinct(e.column) if lg is None else F.hll_sketch_estimate(F.hll_sketch_agg(value, lg))
     kind = "aggregate" if e.kind in ("const", "simple") else "invalid"
     return Typed(F.coalesce(column, F.lit(0)).cast("bigint"), S.BIGINT, kind, f"hll_count({e.key},{err})")
