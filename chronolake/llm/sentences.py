@@ -29,7 +29,7 @@ _MARKS = STRONG + WEAK
 _TAIL = _MARKS + "\"'“”‘’«»" + ALWAYS_CLOSE
 #: A word in the sense of the counts: letters with their marks, apostrophes left out.
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎][^\W\d_]*)*")
-_COUNTED = re.compile(rf"({_WORD.pattern})([{re.escape(_MARKS)}]?)(?:(?<=\.)[\"”’“»«]*\s+(\w[^\W\d_]*))?")
+_COUNTED = re.compile(rf"({_WORD.pattern})([{re.escape(_MARKS)}]?)(?:(?<=\.)(?=[\"”’“»«]*\s+(\w[^\W\d_]*)))?")
 _CANDIDATE = re.compile(
     rf"(?P<mark>[{re.escape(_MARKS)};|][{re.escape(_TAIL)}]*)"
     rf"|(?P<lost>(?<=[^\s\-‐=~¬—–])\s+(?=[{UPPER}][^\W\d_]*))"
@@ -93,12 +93,13 @@ class Lexicon:
         self._known: dict[str, tuple[float, float, float, float]] = {}
 
     def word(self, w: str) -> tuple[float, float, float, float]:
-        """(share in lower case, share as an abbreviation, share of small letters behind its stop, share at a sentence's end)."""
+        """(how far a capital opens a sentence, share as an abbreviation, share of small letters behind its stop, share at a sentence's end)."""
         got = self._known.get(w)
         if got is None:
             total, lower, dotted, marked, inside, small = self.counts[word_bin(w)].tolist()
             ends = marked + max(0, dotted - inside)
-            got = (lower / (total + 1.0), inside / (total + 3.0), small / (inside + 1.0), (ends + 0.3) / (total + 5.0))
+            opening = min(1.0, lower / (0.6 * total + 0.5))  # mostly written small: a capital then opens a sentence
+            got = (opening, inside * inside / (max(dotted, 1) * (total + 3.0)), small / (inside + 1.0), (ends + 0.3) / (total + 5.0))
             if len(self._known) < 500_000:
                 self._known[w] = got
         return got
@@ -161,15 +162,15 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
             w, e = _after(s, b)
             if len(w) > 1 and w[1].isupper():
                 continue
-            lower = lex.word(w)[0]
-            if lower < 0.6:
+            opening = lex.word(w)[0]
+            if opening < 0.6:
                 continue
             end = a
             before = _before(s, end)
             if not before and prev_char in ",;،·|":
                 before = _before(s, end - 1)
             close = lex.word(before)[3] if before else 0.05
-            score = -7.5 + 10.0 * lower
+            score = -7.5 + 10.0 * opening
             if before[:1].isupper():
                 score -= 1.0
             if close < 0.012:
