@@ -31,7 +31,7 @@ _TAIL = _MARKS + "\"'“”‘’«»" + ALWAYS_CLOSE
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎][^\W\d_]*)*")
 _COUNTED = re.compile(rf"({_WORD.pattern})([{re.escape(_MARKS)}]?)(?:(?<=\.)(?=[\"”’“»«]*\s+(\w[^\W\d_]*)))?")
 _CANDIDATE = re.compile(
-    rf"(?P<mark>[{re.escape(_MARKS)};|][{re.escape(_TAIL)}]*)"
+    rf"(?P<mark>[{re.escape(_MARKS)};|][{re.escape(_TAIL)}]*(?:\s»(?=[\s.,;:!?]|$))?)"
     rf"|(?P<lost>(?<=[^\s\-‐=~¬—–])\s+(?=[{UPPER}][^\W\d_]*))"
 )
 _CASED = re.compile("[A-Za-zÀ-ÿĀ-ſЀ-џΆ-ώ]")
@@ -160,7 +160,7 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
             if prev_char in ":：" or prev_char in "([“„«‘¿¡—":
                 continue
             w, e = _after(s, b)
-            if len(w) > 1 and w[1].isupper():
+            if len(w) > 1 and w[1].isupper() or s[e : e + 1] in ("'", "’") or s[e : e + 1] == "." and len(w) < 6:
                 continue
             opening = lex.word(w)[0]
             if opening < 0.6:
@@ -245,8 +245,10 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                 if first == "·" and not prev:
                     continue
                 if upper:
-                    w = _after(s, k)[0]
-                    opening = lex.word(w)[0]
+                    w, e = _after(s, k)
+                    opening = 0.0 if len(w) == 1 and s[e : e + 1] == "." else lex.word(w)[0]
+                    if prev.isupper() and w.isupper():
+                        opening *= 0.2  # within capitals a capital says little
                     if digit:
                         score = -4.0 + 8.0 * opening
                     elif abbr < 0.3:
@@ -260,7 +262,7 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                 elif cased:
                     score = -6.0
                 elif nxt.isdigit():
-                    score = 1.5 if abbr < 0.25 and not digit else -5.0
+                    score = 1.5 if abbr < 0.45 and not digit else -5.0
                 else:
                     score = (4.0 if abbr < 0.45 else -4.0) if not digit else -1.0
                     if closed and SAID.match(s, b):
