@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import timedelta
 from decimal import ROUND_HALF_UP, Decimal
 from typing import Any
 
@@ -167,6 +169,16 @@ def _shift(time: Column, period: Typed, sign: int) -> Column:
     return time + F.expr(f"make_interval(0, {sign * p.months}, 0, 0, 0, 0, {sign * p.millis / 1000})")
 
 
+def _moved(a: Typed, b: Typed, sign: int) -> Typed:
+    """A time moved by a period; constants stay constants."""
+    if a.kind == b.kind == "const" and a.value is not None and b.value is not None:
+        month = a.value.year * 12 + a.value.month - 1 + sign * b.value.months
+        year, month = divmod(month, 12)
+        day = min(a.value.day, monthrange(year, month + 1)[1])
+        return literal(a.value.replace(year=year, month=month + 1, day=day) + timedelta(milliseconds=sign * b.value.millis))
+    return _made(_shift(a.column, b, sign), S.TIMESTAMP, "+" if sign > 0 else "-", a, b)
+
+
 def _mixed(a: SqlType, b: SqlType) -> SqlType | None:
     """The type in which two numbers are added, subtracted or multiplied."""
     if a == b and a.numeric and a != S.CURRENCY:
@@ -184,7 +196,7 @@ def add(a: Typed, b: Typed) -> Typed:
         both = Period(a.value.months + b.value.months, a.value.millis + b.value.millis)
         return literal(both)
     if (a.type, b.type) == (S.TIMESTAMP, S.PERIOD):
-        return _made(_shift(a.column, b, 1), S.TIMESTAMP, "+", a, b)
+        return _moved(a, b, 1)
     a, b = _follow(a, b, lambda t: (t,))
     if a.type == b.type == S.VARCHAR:
         return _made(F.concat(a.column, b.column), S.VARCHAR, "+", a, b)
@@ -198,7 +210,7 @@ def add(a: Typed, b: Typed) -> Typed:
 
 def subtract(a: Typed, b: Typed) -> Typed:
     if (a.type, b.type) == (S.TIMESTAMP, S.PERIOD):
-        return _made(_shift(a.column, b, -1), S.TIMESTAMP, "-", a, b)
+        return _moved(a, b, -1)
     a, b = _follow(a, b, lambda t: (t,))
     if a.type == b.type == S.TIMESTAMP:
         return _made(F.abs(F.unix_millis(a.column) - F.unix_millis(b.column)), S.BIGINT, "-", a, b)

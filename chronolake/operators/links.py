@@ -30,22 +30,27 @@ def lookup(facts: DataFrame, link: Link, rows: DataFrame, prefix: str = "") -> D
     return facts.join(found, own == F.col("_key"), "left").drop("_key")
 
 
-def as_of(facts: DataFrame, rows: DataFrame, key: str, time: str, fields: Sequence[str], prefix: str = "") -> DataFrame:
+def as_of(facts: DataFrame, rows: DataFrame, key: str, time: str, fields: Sequence[str], prefix: str = "", slice_ms: int = 16 * 86_400_000) -> DataFrame:
     """Values of the link in force at each fact's time: the latest row at or before it, before the first row the first.
 
-    Facts and link rows are united and read once in order of time within their key, the link's row first on equal
-    times; no pair of rows is ever formed. Of several link rows for one moment the greatest counts. A key without link
-    rows, like a null key, gets nulls.
+    Facts and link rows are united and read once in order of time within a key's time slice, the link's row first on
+    equal times; no pair of rows is ever formed. One summary row a slice carries the last value on to later slices, so
+    that a key with very many rows is not one task. Of several link rows for one moment the greatest counts. A key
+    without link rows, like a null key or a null time, gets nulls.
     """
     value = F.struct(*[F.col(f) for f in fields])
     link = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(key, time).agg(F.max(value).alias("_v"))
     wide = facts.select(key, time, F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("_row"), F.lit(1).alias("_kind"))
-    wide = wide.unionByName(link.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    back = Window.partitionBy(key).orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    wide = wide.unionByName(link.withColumn("_kind", F.lit(0)), allowMissingColumns=True).withColumn("_slice", F.floor(F.unix_millis(time) / slice_ms))
+    inside = Window.partitionBy(key, "_slice").orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    ends = wide.groupBy(key, "_slice").agg(F.max_by(F.col("_v"), F.when(F.col("_kind") == 0, F.col(time))).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(F.col(key).alias("_ckey"), F.col("_slice").alias("_cslice"), F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     first = link.groupBy(key).agg(F.min_by("_v", time).alias("_first")).select(F.col(key).alias("_key"), "_first")
-    got = wide.withColumn("_v", F.last("_v", ignorenulls=True).over(back)).where("_kind = 1")
-    got = got.join(first, F.col(key) == F.col("_key"), "left").withColumn("_v", F.coalesce("_v", "_first"))
-    return got.select("_row.*", *[F.col(f"_v.{f}").alias(prefix + f) for f in fields])
+    got = wide.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where("_kind = 1")
+    got = got.join(carry, (F.col(key) == F.col("_ckey")) & (F.col("_slice") == F.col("_cslice")), "left").join(first, F.col(key) == F.col("_key"), "left")
+    known = F.when(F.col(time).isNotNull(), F.coalesce("_v", "_carry", "_first"))
+    return got.withColumn("_v", known).select("_row.*", *[F.col(f"_v.{f}").alias(prefix + f) for f in fields])
 
 
 def matching_keys(rows: DataFrame, link: Link, condition: Column) -> DataFrame:

@@ -30,6 +30,10 @@ RECEIPT_ROLLUPS = (
 )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def _receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data points of receipt in force; keys hold no nulls."""
     rows = table(spark, sf_dir, "receipt").dropna(subset=list(RECEIPT_KEY))
@@ -68,6 +72,6 @@ def catalog(sf_dir: str) -> Schema:
         Table("item_kkms_by_month", [d("item"), *by_device], [Metric("sum_cents", S.BIGINT), Metric("item_count", S.BIGINT)], span_ms=365 * DAY_MS),
     ]
     read = {"sales": "lineitem", "orders": "orders", "events": "events", "kkm_items": "kkm_items"}
-    sources = {name: partial(table, sf_dir=sf_dir, name=source) for name, source in read.items()}
+    sources = {name: partial(_stored, path=f"{sf_dir}/{source}.parquet") for name, source in read.items()}
     sources["receipt"] = partial(_receipt, sf_dir=sf_dir)
     return Schema({t.name: t for t in tables}, sources, RECEIPT_ROLLUPS)

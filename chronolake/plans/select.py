@@ -125,16 +125,10 @@ class Planner:
         return df if q.limit is None else df.limit(q.limit)
 
     def _scan(self, table: Table, branches: list[Bounds], plain: Resolver) -> DataFrame:
-        """The table's rows; on time-partitioned storage the bounds of time also select partitions."""
-        df = self.schema.rows(self.spark, table.name)
-        if "base_time" not in df.columns:
-            return df
-        low = [plain(b[0]).value for b in branches]
-        high = [plain(b[1]).value for b in branches]
-        if all(isinstance(v, datetime) for v in (*low, *high)):
-            first = int(min(low).timestamp() * 1000) // table.span_ms * table.span_ms
-            df = df.where((F.col("base_time") >= first) & (F.col("base_time") <= int(max(high).timestamp() * 1000)))
-        return df.drop("base_time")
+        """The table's rows between the least lower and the greatest upper bound of time."""
+        low, high = [plain(b[0]).value for b in branches], [plain(b[1]).value for b in branches]
+        known = all(isinstance(v, datetime) for v in (*low, *high))
+        return self.schema.rows(self.spark, table.name, (min(low), max(high)) if known else None)
 
     def _link_needs(self, q: Select, table: Table, by_alias: dict[str, Node]) -> set[str]:
         """Links whose values the result shows, groups by or tests in HAVING."""
@@ -234,24 +228,13 @@ class Planner:
         """lag: GROUP BY partitions, time orders, all rows stay; equal times follow the other dimensions."""
         if not any(f.kind == "window" for f in fields):
             raise QueryError("Window functions in HAVING need one among the fields")
-        order = ["time", *([d.name for d in table.dimensions] if self.tie_break else [])]
-        window = Window.partitionBy(*[g.column for g in groups]) if groups else Window.partitionBy()
-        window = window.orderBy(*[F.col(f"`{c}`") for c in order])
-        lagged: dict[str, str] = {}
+        lagged: dict[str, tuple[str, Typed]] = {}
 
-        def materialise(node: Node, df: DataFrame) -> tuple[Node, DataFrame]:
+        def named(node: Node) -> Node:
             if node.op == "call" and node.value == "lag":
                 inner = resolver(node.args[0])
-                name = lagged.get(inner.key)
-                if name is None:
-                    name = lagged[inner.key] = f"_lag{len(lagged)}"
-                    df = df.withColumn(name, F.lag(inner.column).over(window))
-                return Node("lagged", value=(name, inner)), df
-            args = []
-            for a in node.args:
-                a, df = materialise(a, df)
-                args.append(a)
-            return Node(node.op, tuple(args), node.value), df
+                return Node("lagged", value=lagged.setdefault(inner.key, (f"_lag{len(lagged)}", inner)))
+            return Node(node.op, tuple(named(a) for a in node.args), node.value)
 
         class WithLag(Resolver):
             def _expression(self, node: Node, cmp: bool) -> Typed:
@@ -260,14 +243,34 @@ class Planner:
                     return Typed(F.col(name), inner.type, "window", f"lag({inner.key})")
                 return super()._expression(node, cmp)
 
-        nodes = []
-        for node, _ in q.fields or []:
-            node, df = materialise(node, df)
-            nodes.append(node)
+        nodes = [named(node) for node, _ in q.fields or []]
+        having = named(q.having) if q.having is not None else None
+        df = self._lagged(df, table, groups, list(lagged.values()))
         plain = WithLag(self._columns(table), self.now, table)
         made = [plain(n) for n in nodes]
-        if q.having is not None:
-            node, df = materialise(q.having, df)
+        if having is not None:
             refs = WithLag(self._or_ref(table, dict(zip(names, made, strict=True))), self.now, table)
-            df = df.where(refs.boolean(node).column)
+            df = df.where(refs.boolean(having).column)
         return df.select(*[self._shown(f).alias(n) for n, f in zip(names, made, strict=True)])
+
+    def _lagged(self, df: DataFrame, table: Table, groups: list[Typed], wanted: list[tuple[str, Typed]]) -> DataFrame:
+        """The rows with the previous values of their group.
+
+        A group, or the whole table when there is none, may be too large for one task. Windows therefore span a group's
+        rows of one time slice; a slice's first row takes its values from the last row of the slice before it, found
+        over one summary row a slice.
+        """
+        order = [F.col(f"`{c}`") for c in ("time", *([d.name for d in table.dimensions] if self.tie_break else []))]
+        width = table.span_ms * (32 if groups else 1)
+        keys = [f"_k{i}" for i in range(len(groups))]
+        df = df.withColumns({"_slice": F.floor(F.unix_millis("time") / width), **{k: g.column for k, g in zip(keys, groups, strict=True)}})
+        df = df.withColumn("_own", F.struct(*[e.column.alias(n) for n, e in wanted]))
+        ends = df.groupBy(*keys, "_slice").agg(F.max_by("_own", F.struct(*order)).alias("_end"))
+        before = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice"))
+        carry = ends.select(*[F.col(k).alias(f"{k}c") for k in keys], F.col("_slice").alias("_slicec"), before.alias("_carry"))
+        on = F.col("_slice") == F.col("_slicec")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{k}c"))
+        inside = F.lag("_own").over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+        df = df.withColumn("_inside", inside).join(carry, on)
+        return df.withColumn("_before", F.coalesce("_inside", "_carry")).withColumns({n: F.col(f"_before.{n}") for n, _ in wanted})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,17 +121,36 @@ class Schema:
     def rollup_of(self, table: str) -> Rollup | None:
         return next((r for r in self.rollups if table in r.targets), None)
 
-    def rows(self, spark: SparkSession, name: str) -> DataFrame:
-        """A table's rows under its own column names, times in whole milliseconds; other source columns are left out."""
+    def rows(self, spark: SparkSession, name: str, span: tuple[datetime, datetime] | None = None) -> DataFrame:
+        """A table's rows under its own column names, times in whole milliseconds; other source columns are left out.
+
+        ``span``: no row before the first or after the second time is needed. The bounds are put on the source's own
+        column, where they reach the Parquet scan, and on the time partitions if the source has such.
+        """
         t = self.table(name)
         if name not in self.sources:
             raise QueryError(f"Table '{name}' has no source")
         df = self.sources[name](spark)
+        if span is not None:
+            df = self._within(df, t, span)
         time = F.timestamp_millis(F.unix_millis(F.col(t.time).cast("timestamp")))
         out = [time.alias("time")]
         out += [F.col(c.column or c.name).cast(c.type.spark).alias(c.name) for c in (*t.dimensions, *t.metrics)]
-        kept = [F.col("base_time")] if "base_time" in df.columns else []
-        return df.select(*out, *kept)
+        return df.select(*out)
+
+    @staticmethod
+    def _within(df: DataFrame, t: Table, span: tuple[datetime, datetime]) -> DataFrame:
+        first, last = span[0], span[1] + timedelta(milliseconds=1)  # times are cut to milliseconds later on
+        kind = df.schema[t.time].dataType.typeName()
+        if kind == "timestamp":
+            df = df.where((F.col(t.time) >= F.lit(first)) & (F.col(t.time) < F.lit(last)))
+        elif kind == "timestamp_ntz":
+            low, high = (F.lit(x.astimezone(UTC).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz") for x in (first, last))
+            df = df.where((F.col(t.time) >= low) & (F.col(t.time) < high))
+        if "base_time" in df.columns:
+            start = int(first.timestamp() * 1000) // t.span_ms * t.span_ms
+            df = df.where((F.col("base_time") >= start) & (F.col("base_time") <= int(last.timestamp() * 1000)))
+        return df
 
 
 def drift(stored: Table, wanted: Table) -> tuple[list[str], list[str]]:

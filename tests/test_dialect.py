@@ -128,6 +128,25 @@ def test_lag_keeps_all_rows(q):
     assert q(f"SELECT A, lag(l) AS p FROM t WHERE {ALL} AND B = 2 HAVING p = 7") == [("Two", 7)]
 
 
+@pytest.mark.parametrize("groups", ["", "GROUP BY A", "GROUP BY A, B"])
+def test_lag_over_many_slices(spark, groups):
+    """The previous value may lie many time slices back, in any group, null ones included."""
+    import random
+
+    r = random.Random(8)
+    data = [(T0 + timedelta(hours=r.randrange(24 * 200)), r.choice(["a", "a", "a", "b"]), r.choice([1, None]), i, r.choice([None, i])) for i in range(300)]
+    df = spark.createDataFrame(data, "time timestamp, A string, B bigint, id bigint, x bigint").repartition(5)
+    t = Table("t", [Dimension("A"), Dimension("id", S.BIGINT)], [Metric("B", S.BIGINT), Metric("x", S.BIGINT)], span_ms=DAY_MS)
+    got = Engine(spark, Schema({"t": t}, {"t": lambda _: df})).sql(f"SELECT id, lag(id) AS p, lag(x) AS y, time - lag(time) AS gap FROM t WHERE {ALL} {groups}")
+    last, want = {}, {}
+    for at, a, b, i, x in sorted(data, key=lambda d: (d[0], d[1], d[3])):
+        key = {"": (), "GROUP BY A": (a,), "GROUP BY A, B": (a, b)}[groups]
+        p = last.get(key)
+        want[i] = (p[1], p[2], int((at - p[0]).total_seconds() * 1000)) if p else (None, None, None)
+        last[key] = (at, i, x)
+    assert {r.id: (r.p, r.y, r.gap) for r in got.collect()} == want
+
+
 def test_link_lookup_semi_anti(q):
     assert q(f"SELECT B, Info_f AS f FROM t WHERE {ALL} AND A <> 'three'") == sorted([(1, "x"), (2, "x"), (1, "Y"), (2, "Y")], key=repr)
     assert q(f"SELECT A, Info_g AS g FROM t WHERE {ALL} AND B = 1 AND d > 3") == [("Three", None)]
@@ -148,6 +167,23 @@ def test_as_of_with_ties_nulls_and_no_rows(spark, rows):
     assert links.as_of(facts, rows_.limit(0), "k", "time", ["v"]).where("v IS NULL").count() == 4
 
 
+def test_as_of_over_many_slices(spark):
+    import random
+
+    r = random.Random(3)
+    t = lambda: T0 + timedelta(hours=r.randrange(24 * 300))
+    facts = [(i, r.choice([1, 1, 1, 2, 3]), t()) for i in range(300)]
+    values_ = [(r.choice([1, 1, 2, 9]), t(), r.choice([None, f"v{i}"])) for i in range(25)]
+    f, v = spark.createDataFrame(facts, "id bigint, k int, time timestamp"), spark.createDataFrame(values_, "k int, time timestamp, v string")
+    got = {x.id: x.v for x in links.as_of(f.repartition(3), v, "k", "time", ["v"], slice_ms=DAY_MS * 3).collect()}
+    for i, k, at in facts:
+        mine = sorted((x[1], x[2] is not None, x[2] or "") for x in values_ if x[0] == k)
+        hit = [x for x in mine if x[0] <= at] or mine[:1]
+        first = [x for x in mine if x[0] == hit[0][0]] if hit and hit[-1][0] > at else None
+        want = (max(first) if first else hit[-1])[2] or None if hit else None
+        assert got[i] == want
+
+
 def test_words_of_items():
     assert raw_tokens("к5") == ["к", "5", "к5"]
     assert raw_tokens("х/к") == ["х", "к", "х/к"]
@@ -261,8 +297,21 @@ def test_prepare_hook(spark, engine):
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     spark.createDataFrame(DATA, SHAPE).withColumn("time", F.lit(T0)).write.parquet(f"{tmp_path}/p")
     schema = Schema({"t": Table("t", *COLUMNS)}, {"t": lambda s: s.read.parquet(f"{tmp_path}/p")})
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = Engine(spark, schema).sql(f"SELECT B, sum(d) AS x FROM t WHERE {ALL} AND B = 1 GROUP BY B")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(B,1)" in plan and "ReadSchema: struct<B:smallint,d:double,time:timestamp>" in plan
+    assert "EqualTo(B,1)" in plan and "GreaterThanOrEqual(time,2024-01-01 00:00:00.0)" in plan and "LessThan(time,202" in plan and "ReadSchema: struct<B:smallint,d:double,time:timestamp>" in plan
+
+
+def test_time_bounds_of_zoneless_times_and_of_constants_reach_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(datetime(2024, 3, 1, 23, 0, 0, 999), "a"), (datetime(2024, 3, 2, 1), "b")], "ts timestamp_ntz, A string")
+    rows.write.parquet(f"{tmp_path}/p")
+    schema = Schema({"t": Table("t", [Dimension("A")], [], time="ts")}, {"t": lambda s: s.read.parquet(f"{tmp_path}/p")})
+    e = Engine(spark, schema, now=lambda: T0 + timedelta(days=1))
+    df = e.sql("SELECT A FROM t WHERE time >= now() - INTERVAL '1' MONTH AND time <= now()")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-02-02T00:00)" in plan and "LessThan(ts,2024-03-02T00:00:00.001)" in plan
+    assert [r.A for r in df.collect()] == ["a"]
+    assert [r.A for r in e.sql("SELECT A FROM t WHERE time = TIMESTAMP '2024-03-01 23:00:00'").collect()] == ["a"]
 
 
 def test_link_declarations(engine):
