@@ -40,48 +40,78 @@ def quantiles(means: np.ndarray, weights: np.ndarray, qs: Sequence[float]) -> np
     return np.interp(np.asarray(qs) * weights.sum(), np.cumsum(weights) - weights / 2, means)
 
 
+#: Digests that a task holds at most before it hands them on.
+HELD = 4096
+Key = tuple[int, str | None, str | None, int | None]
+Digest = tuple[np.ndarray, np.ndarray]
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
+    """One digest for each group that a task meets (or a few, if it meets very many groups)."""
+    rows: list[pa.RecordBatch] = []
+    held: dict[Key, list[Digest]] = {}
+
+    def absorb() -> None:
+        for key, d in _chunk(pa.Table.from_batches(rows)):
+            parts = held.setdefault(key, [])
+            parts.append(d)
+            if len(parts) == 16:
+                held[key] = [_merge(parts)]
+        rows.clear()
+
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= CHUNK_ROWS:
-            yield from _chunk(pa.Table.from_batches(held))
-            held = []
+        rows.append(batch)
+        if sum(b.num_rows for b in rows) >= CHUNK_ROWS:
+            absorb()
+            if len(held) > HELD:
+                yield _batch(held)
+                held.clear()
+    if rows:
+        absorb()
     if held:
-        yield from _chunk(pa.Table.from_batches(held))
+        yield _batch(held)
 
 
-def _batch(keys: list[tuple], digests: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32())]
-    return pa.record_batch([*columns, pa.array([w.sum() for _, w in digests]), pa.array([m.tobytes() for m, _ in digests], pa.binary()), pa.array([w.tobytes() for _, w in digests], pa.binary())], names=[*KEYS, "n", "means", "weights"])
+def _batch(held: dict[Key, list[Digest]]) -> pa.RecordBatch:
+    digests = [_merge(parts) for parts in held.values()]
+    columns = [pa.array([k[i] for k in held], t) for i, t in enumerate((pa.int8(), pa.string(), pa.string(), pa.int32()))]
+    return pa.record_batch([*columns, pa.array([float(w.sum()) for _, w in digests]), pa.array([m.tobytes() for m, _ in digests], pa.binary()), pa.array([w.tobytes() for _, w in digests], pa.binary())], names=["kept", *KEYS, "n", "means", "weights"])
 
 
-def _chunk(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _chunk(t: pa.Table) -> Iterator[tuple[Key, Digest]]:
+    """A digest for each group of rows under each combination of the keys."""
     if not t.num_rows:
         return
     codes = [t[k].combine_chunks().dictionary_encode(null_encoding="encode") for k in KEYS]
     codes = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in codes]
-    group = np.zeros(t.num_rows, np.int64)
-    for c in codes:
-        group = group * len(c.dictionary) + c.indices.to_numpy().astype(np.int64)
+    names = [c.dictionary.to_pylist() for c in codes]
+    indices = [c.indices.to_numpy().astype(np.int64) for c in codes]
     value = t["value"].to_numpy().astype(np.float64)
-    order = np.lexsort((value, group))
-    g, value = group[order], value[order]
-    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    keys, digests = [], []
-    for a, b in zip(starts, np.r_[starts[1:], len(g)], strict=True):
-        code, key = int(g[a]), []
-        for c in reversed(codes):
-            code, i = divmod(code, len(c.dictionary))
-            key.append(c.dictionary[i].as_py())
-        keys.append(tuple(reversed(key)))
-        digests.append(cluster(value[a:b], np.ones(b - a)))
-    yield _batch(keys, digests)
+    by_value = np.argsort(value, kind="stable")
+    value = value[by_value]
+    for kept in range(1 << len(KEYS)):
+        group = np.zeros(len(value), np.int64)
+        for i, (index, name) in enumerate(zip(indices, names, strict=True)):
+            if kept >> i & 1:
+                group = group * len(name) + index[by_value]
+        order = np.argsort(group, kind="stable")  # values stay in order within their group
+        g, v = group[order], value[order]
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(g)], strict=True):
+            code, key = int(g[a]), [None] * len(KEYS)
+            for i in reversed(range(len(KEYS))):
+                if kept >> i & 1:
+                    code, at = divmod(code, len(names[i]))
+                    key[i] = names[i][at]
+            yield (kept, *key), cluster(v[a:b], np.ones(b - a))
 
 
 def partial_digests(rows: DataFrame) -> DataFrame:
-    """Digests of each chunk of ``rows`` (engine, state, day, value), one for each (engine, state, day); no shuffle."""
-    return rows.where(F.col("value").isNotNull()).select(*KEYS, F.col("value").cast("double").alias("value")).mapInArrow(_digests, STATE)
+    """Digests of ``rows`` (engine, state, day, value) for every combination of the keys, ``kept`` telling which are kept.
+
+    No row is shuffled: a task hands on one digest for each group it met.
+    """
+    return rows.where(F.col("value").isNotNull()).select(*KEYS, F.col("value").cast("double").alias("value")).mapInArrow(_digests, f"kept tinyint, {STATE}")
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +143,9 @@ def _merged(qs: tuple[float, ...]):
             yield result([(now, _merge(parts))])
 
     def result(done: list) -> pa.RecordBatch:
-        keys = [k for k, _ in done]
-        base = _batch([k[1:] for k in keys], [d for _, d in done])
+        base = _batch({k: [d] for k, d in done})
         est = pa.array([list(map(float, quantiles(m, w, qs))) for _, (m, w) in done], pa.list_(pa.float64()))
-        return pa.record_batch([pa.array([k[0] for k in keys], pa.int8()), *base.columns, est], names=["kept", *base.schema.names, "estimates"])
+        return pa.record_batch([*base.columns, est], names=[*base.schema.names, "estimates"])
 
     return run
 
@@ -179,5 +208,5 @@ def query_log(metrics: DataFrame) -> DataFrame:
 def percentiles(metrics: DataFrame, qs: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """Percentiles of total_duration for each combination of engine, state and day, with counted rank errors."""
     rows = written(query_log(metrics), "query-log")
-    merged = written(merge_digests(grouped(partial_digests(rows)), qs), "digests")
+    merged = written(merge_digests(partial_digests(rows), qs), "digests")
     return certify(merged, rows, qs)

@@ -97,29 +97,36 @@ def _states(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return v, g[starts], starts, np.diff(np.r_[starts, len(g)])
 
 
-def _rows(dim: int, kept: int, v: np.ndarray, groups: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    few = sizes <= SPARSE
-    inside = np.repeat(few, sizes)
-    n = int(few.sum())
-    if n:
-        yield pa.record_batch([pa.array(np.full(n, dim, np.int8)), pa.array(np.full(n, kept, np.int8)), pa.array(groups[few]), _blob(v[inside], sizes[few]), pa.nulls(n, pa.binary())], schema=_PARTIAL)
-    for i in np.flatnonzero(~few):
-        mins = registers(v[starts[i] : starts[i] + sizes[i]])
-        yield pa.record_batch([pa.array([dim], pa.int8()), pa.array([kept], pa.int8()), pa.array([groups[i]], pa.int64()), pa.nulls(1, pa.binary()), pa.array([mins.tobytes()], pa.binary())], schema=_PARTIAL)
+#: Full sketches that a task holds at most before it hands them on.
+HELD = 2048
+
+
+def _full(held: dict[tuple[int, int, int], np.ndarray]) -> pa.RecordBatch:
+    keys, n = list(held), len(held)
+    columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int8(), pa.int8(), pa.int64()))]
+    return pa.record_batch([*columns, pa.nulls(n, pa.binary()), pa.array([m.tobytes() for m in held.values()], pa.binary())], schema=_PARTIAL)
 
 
 def _partials(ids: tuple[str, ...], sets: dict[str, tuple[int, ...]]):
+    """Hash lists of small groups go on as they come; full sketches are merged within the task first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        rows: list[pa.RecordBatch] = []
+        held: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CHUNK_ROWS:
-                yield from chunk(pa.Table.from_batches(held))
-                held = []
+            rows.append(batch)
+            if sum(b.num_rows for b in rows) >= CHUNK_ROWS:
+                yield from chunk(pa.Table.from_batches(rows), held)
+                rows = []
+                if len(held) > HELD:
+                    yield _full(held)
+                    held = {}
+        if rows:
+            yield from chunk(pa.Table.from_batches(rows), held)
         if held:
-            yield from chunk(pa.Table.from_batches(held))
+            yield _full(held)
 
-    def chunk(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def chunk(t: pa.Table, held: dict[tuple[int, int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
         code = _code({k: t[k] for k in KEYS})
         for d, name in enumerate(ids):
             there = t[name].is_valid().to_numpy()
@@ -127,17 +134,29 @@ def _partials(ids: tuple[str, ...], sets: dict[str, tuple[int, ...]]):
             v, groups, starts, sizes = _states(code[there] & _mask(max(sets[name])), value)
             fine = np.repeat(groups, sizes)
             for kept in sets[name]:
-                yield from _rows(d, kept, *(_states(fine & _mask(kept), v)))
+                yield from states(held, d, kept, *(_states(fine & _mask(kept), v)))
+
+    def states(held: dict, dim: int, kept: int, v: np.ndarray, groups: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        few = sizes <= SPARSE
+        inside = np.repeat(few, sizes)
+        n = int(few.sum())
+        if n:
+            yield pa.record_batch([pa.array(np.full(n, dim, np.int8)), pa.array(np.full(n, kept, np.int8)), pa.array(groups[few]), _blob(v[inside], sizes[few]), pa.nulls(n, pa.binary())], schema=_PARTIAL)
+        for i in np.flatnonzero(~few):
+            key = (dim, kept, int(groups[i]))
+            mins = registers(v[starts[i] : starts[i] + sizes[i]])
+            held[key] = np.minimum(held[key], mins) if key in held else mins
 
     return run
 
 
 def partial_sketches(rows: DataFrame, ids: tuple[str, ...], sets: dict[str, tuple[int, ...]]) -> DataFrame:
-    """Sketches of each chunk of ``rows`` for every identifier and grouping set; a row for each (dim, kept, code).
+    """Sketches of the chunks of ``rows`` for every identifier and grouping set; a row for each (dim, kept, code).
 
     ``rows``: day (int), kkm_id, operation_type and a 64-bit hash column for each of ``ids``. ``sets``: the grouping
     sets of each identifier as bit masks over KEYS, the finest being the widest. Null identifiers aren't counted; null
-    keys are keys. Nothing is shuffled: a chunk's rows become its sketches where they were read.
+    keys are keys. Nothing is shuffled: a chunk's rows become its sketches where they were read,
+    and a task hands on one full sketch for each large group it met.
     """
     return rows.select(*KEYS, *ids).mapInArrow(_partials(ids, sets), PARTIAL)
 
