@@ -140,8 +140,10 @@ def _quote_depths(s: str) -> list[tuple[int, int]]:
 
 
 _QUOTE = re.compile(f"[{re.escape(QUOTES)}]")
+# Months that are written with a capital behind an ordinal number.
+MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember January February March May June July October December".split())
 # Words of who said it, which follow a quotation in scripts without capitals.
-SAID = re.compile(r"\s*(?:と|[^。！？\s]{0,12}(?:说|說|问|問|答|喊)|(?:قال|قالت|سأل|سألت|أجاب|صاح|رد)\b|[^।!?]{0,30}(?:कहा|पूछा|बोला|उत्तर दिया|जवाब दिया))")
+SAID = re.compile(r"\s*(?:と|[^。！？：:「“『]{0,14}(?:说|說|问|問|答|喊)道?\s*[。．.！？]|(?:قال|قالت|سأل|سألت|أجاب|صاح|رد)\b[^:.!؟]{0,30}[.!؟]|[^।!?:]{0,30}(?:कहा|पूछा|बोला|उत्तर दिया|जवाब दिया)\s*[।.|!?])")
 #: How many candidates back a sentence may begin.
 REACH = 24
 
@@ -167,6 +169,8 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                 continue
             end = a
             before = _before(s, end)
+            if before.isupper() and len(before) > 1:
+                continue  # among capitals
             if not before and prev_char in ",;،·|":
                 before = _before(s, end - 1)
             close = lex.word(before)[3] if before else 0.05
@@ -218,7 +222,8 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                 score -= 4.0
         elif "…" in mark or ".." in mark:
             if upper:
-                score = 1.0 + 2.0 * lex.word(_after(s, k)[0])[0]
+                opening = lex.word(_after(s, k)[0])[0]
+                score = 1.0 + 2.0 * opening if a and not s[a - 1].isspace() else -3.0 + 4.0 * opening
             elif cased:
                 score = -5.0
             elif wide or _WIDE.match(nxt):
@@ -247,10 +252,12 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                 if upper:
                     w, e = _after(s, k)
                     opening = 0.0 if len(w) == 1 and s[e : e + 1] == "." else lex.word(w)[0]
+                    if letter and prev.isupper():
+                        opening *= 0.5  # an initial
                     if prev.isupper() and w.isupper():
                         opening *= 0.2  # within capitals a capital says little
                     if digit:
-                        score = -4.0 + 8.0 * opening
+                        score = -6.0 if w in MONTHS else -4.0 + 8.0 * opening
                     elif abbr < 0.3:
                         score = 5.0
                     else:
@@ -276,7 +283,7 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
 def _thai(s: str) -> list[tuple[int, float, int]]:
     """Thai sets no closing mark: sentences part at blanks, but blanks also stand around numbers."""
     out = []
-    for m in re.finditer(r"[  ]+\n?|\n(?=[\"“«‘'])", s):
+    for m in re.finditer(r"[ \u00a0]+\n?", s):
         a, b = m.span()
         if b >= len(s) or a == 0:
             continue
@@ -417,7 +424,7 @@ def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
     """The page's blocks in reading order, each a list of (begin, end): headings, adverts, paragraphs.
 
     Headings and adverts are set in other sizes than the text around them; a paragraph begins with an indent. Lines of
-    several columns that alternate are put in the order of the columns, between one heading and the next.
+    several columns that alternate are put in the order of the columns.
     """
     pieces = _pieces(text, boxes)
     heights = [h for _, _, _, h in pieces if h is not None and h > 0]
@@ -435,12 +442,14 @@ def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
             kinds.append(-2 if x is None else -3)
         else:
             kinds.append(0)
-    xs = sorted({x for (_, _, x, h), k in zip(pieces, kinds, strict=True) if x is not None and h and h > 0 and k == 0})
-    lefts: list[int] = []
-    for x in xs:
-        if not lefts or x - prev_x > 150:
-            lefts.append(x)
-        prev_x = x
+    lefts: list[int] = []  # each column's usual left edge; some lines are indented, few stand out
+    run: list[int] = []
+    for x in [*sorted(x for (_, _, x, h), k in zip(pieces, kinds, strict=True) if x is not None and h and h > 0 and k == 0), None]:
+        if run and (x is None or x - run[-1] > 150):
+            lefts.append(run[len(run) // 4])
+            run = []
+        if x is not None:
+            run.append(x)
     column = [0 if x is None or not lefts else max(0, sum(x >= left - (40 if h != -2 else 150) for left in lefts) - 1) for _, _, x, h in pieces]
     for i in range(1, len(pieces)):  # a line without a box stays with its neighbour
         if pieces[i][2] is None:
@@ -448,14 +457,7 @@ def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
     order = list(range(len(pieces)))
     turns = sum(1 for i in range(1, len(column)) if column[i] < column[i - 1])
     if turns >= 2:
-        # headings end a stretch of columns; within one, whole columns follow each other
-        stretch, section = 0, []
-        for i in order:
-            if kinds[i] and pieces[i][3] and (pieces[i][3] or 0) > 2 * body:
-                if not section or kinds[i - 1] == 0:
-                    stretch += 1
-            section.append(stretch)
-        order.sort(key=lambda i: (section[i], column[i], i))
+        order.sort(key=lambda i: (column[i], i))  # articles flow from column to column
     blocks: list[list[tuple[int, int]]] = []
     text_block: list[tuple[int, int]] | None = None
     other: list[tuple[int, int]] | None = None
