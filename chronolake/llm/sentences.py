@@ -247,6 +247,8 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                 unit = bool(prev) and ((prev[0].isdigit() and not digit) or (number_before and len(prev) <= 3))
                 letter = bool(prev) and not digit and sum(ch.isalpha() for ch in prev) == 1
                 abbr = 0.9 if unit else (0.95 if letter else dotted)
+                decimal = digit and i >= 2 and s[i - 1] in ".,·" and s[i - 2].isdigit()
+                counted = digit and i >= 2 and s[i - 1].isspace() and s[i - 2] in ".№"  # No. 53
                 if first == "·" and not prev:
                     continue
                 if upper:
@@ -257,7 +259,7 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                     if prev.isupper() and w.isupper():
                         opening *= 0.2  # within capitals a capital says little
                     if digit:
-                        score = -6.0 if w in MONTHS else -4.0 + 8.0 * opening
+                        score = 4.0 if decimal else -6.0 if w in MONTHS else 3.0 if counted else -3.0 + 7.0 * opening
                     elif abbr < 0.3:
                         score = 5.0
                     else:
@@ -269,9 +271,9 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                 elif cased:
                     score = -6.0
                 elif nxt.isdigit():
-                    score = 1.5 if abbr < 0.45 and not digit else -5.0
+                    score = 1.5 if digit or abbr < 0.45 else -5.0
                 else:
-                    score = (4.0 if abbr < 0.45 else -4.0) if not digit else -1.0
+                    score = (4.0 if abbr < 0.45 else -4.0) if not digit else 4.0 if decimal or counted else 3.0 if "؀" <= nxt <= "ۿ" else -1.0
                     if closed and SAID.match(s, b):
                         score = -6.0
                 if first in "·．":
