@@ -60,15 +60,26 @@ class ChangeState:
         """Make ``taken`` (with k and h, and whatever else) part of the state; returns it as read back."""
         names, name = self.deltas(), f"delta-{uuid.uuid4().hex}"
         taken.write.parquet(f"{self.path}/{name}")
-        new = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.{name}")
+        self._swap([*names, name])
+        return self.spark.read.schema(taken.schema).parquet(f"{self.path}/{name}")
+
+    def compact(self) -> None:
+        """Put all deltas into one, which holds just k and h; the old ones stay until someone removes them."""
+        if len(self.deltas()) > 1:
+            name = f"delta-{uuid.uuid4().hex}"
+            self.read().distinct().write.parquet(f"{self.path}/{name}")
+            self._swap([name])
+
+    def _swap(self, names: list[str]) -> None:
+        """Replace CURRENT in one atomic rename."""
+        new = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.{uuid.uuid4().hex}")
         out = self._fs.create(new)
-        out.write(bytearray("\n".join([*names, name]).encode()))
+        out.write(bytearray("\n".join(names).encode()))
         out.close()
         option = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(option, 1)
         options[0] = option.OVERWRITE
         self._fc.rename(new, self._current, options)
-        return self.spark.read.schema(taken.schema).parquet(f"{self.path}/{name}")
 
 
 _LOWEST = np.iinfo(np.int64).min

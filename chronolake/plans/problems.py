@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.operators import bitemporal, incremental, intervals, rolling, tree
-from chronolake.session import shared_dir, table
+from chronolake.session import shared_dir, table, temporary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,8 +47,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _taken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = incremental.ChangeState(spark, f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}")
-    return incremental.advance(state, table(spark, sf_dir, "updates_intervals"), table(spark, sf_dir, "recalc_runs"))
+    """All runs over an empty state of their own, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    taken = incremental.advance(incremental.ChangeState(spark, path), table(spark, sf_dir, "updates_intervals"), table(spark, sf_dir, "recalc_runs"))
+    temporary(spark, path)
+    return taken
 
 
 def p5_taken(spark: SparkSession, sf_dir: str) -> DataFrame:

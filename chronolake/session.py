@@ -28,10 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """Have a path of the shared folder deleted when the driver ends; until then results may read it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage for good."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    temporary(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -185,6 +185,9 @@ def test_state_survives_a_run_that_dies(spark, tmp_path):
     assert [(x.run_id, x.entry_id) for x in incremental.advance(state, more, run(3, "SUCCEEDED")).collect()] == [(3, 2)]
     assert incremental.advance(state, more, run(4, "SUCCEEDED")).count() == 0
     assert state.read().count() == 2
+    state.compact()
+    assert len(state.deltas()) == 1 and state.read().count() == 2
+    assert incremental.advance(state, more, run(5, "SUCCEEDED")).count() == 0
 
 
 def test_digest_tells_nulls_apart(spark):
