@@ -24,6 +24,22 @@ LATIN = {
 _TRANSLATE = str.maketrans(LATIN | {k.upper(): v.upper() for k, v in LATIN.items()})
 
 
+# Character sequences of names that were read in the wrong encoding.
+REPAIRS = (("┬л", '"'), ("┬╗", '"'), ("╕", "ё"), ("╣", "№"))
+
+
+def repaired(column: Column) -> Column:
+    """Names with broken character sequences put right."""
+    for broken, right in REPAIRS:
+        column = F.replace(column, F.lit(broken), F.lit(right))
+    return column
+
+
+def latin(text: str) -> str:
+    """Cyrillic letters in Latin spelling."""
+    return text.translate(_TRANSLATE)
+
+
 def kept(ch: str) -> bool:
     return ch > LAST_KNOWN or ch in KEPT
 

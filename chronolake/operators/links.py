@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.functions.tokens import tokens, tokens_column
+from chronolake.functions.tokens import latin, repaired, tokens, tokens_column
 from chronolake.schema import Link
 
 
@@ -70,15 +70,18 @@ def restrict(facts: DataFrame, link: Link, keys: DataFrame, exclude: bool = Fals
 
 def inverted_index(items: DataFrame, item: str) -> DataFrame:
     """(token, item) for each token of each distinct item."""
-    return items.select(item).where(F.col(item).isNotNull()).distinct().select(F.explode(F.array_distinct(tokens_column(F.col(item)))).alias("token"), F.col(item))
+    return items.select(item).where(F.col(item).isNotNull()).distinct().select(F.explode(F.array_distinct(tokens_column(repaired(F.col(item))))).alias("token"), F.col(item))
 
 
 def phrase_tokens(phrase: str) -> list[tuple[str, bool]]:
-    """(token, whether it is a prefix) of a search phrase; a word ending in % is a prefix."""
-    out = []
-    for word in phrase.split():
-        prefix = word.endswith("%") and len(word) > 1
-        out += [(t, prefix) for t in dict.fromkeys(tokens(word.rstrip("%")) or [])]
+    """(token, whether it is a prefix) of a search phrase; a word ending in % is a prefix and not stemmed."""
+    out: list[tuple[str, bool]] = []
+    for word in phrase.split(" "):
+        if word.endswith("%"):
+            prefix = latin(word[:-1].strip().lower())
+            out += [(prefix, True)] if prefix else []
+        else:
+            out += [(t, False) for t in tokens(word) or []]
     return list(dict.fromkeys(out))
 
 
@@ -101,7 +104,7 @@ def items_with(index: DataFrame, item: str, phrases: Sequence[str]) -> DataFrame
 
 def filter_phrases(facts: DataFrame, item: str, include: Sequence[Sequence[str]] = (), exclude: Sequence[str] = ()) -> DataFrame:
     """Facts whose item meets every condition of ``include`` (phrases of one condition are alternatives) and no phrase of ``exclude``."""
-    index = inverted_index(facts, item)
+    index = inverted_index(facts, item) if include or exclude else None
     for phrases in include:
         facts = facts.join(items_with(index, item, phrases), item, "left_semi")
     if exclude:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolake import types as S
 from chronolake.operators.rolling import RECEIPT_KEY, in_force
-from chronolake.schema import DAY_MS, Dimension, Link, Metric, Rollup, Schema, Table
+from chronolake.schema import DAY_MS, Dimension, Link, Metric, Rollup, Schema, Table, phrase_link, related_link
 from chronolake.session import table
 from chronolake.sources.links import from_parquet, in_memory
 
@@ -66,7 +66,7 @@ def catalog(sf_dir: str) -> Schema:
         Table("orders", [d("o_custkey", S.BIGINT), d("o_orderstatus"), d("o_orderpriority"), d("o_orderkey", S.BIGINT)], [Metric("o_totalprice", S.DOUBLE)], [customers, priorities], time="o_orderdate"),
         Table("events", [d("user_id", S.BIGINT), d("event_type"), d("event_id", S.BIGINT)], [Metric("value", S.DOUBLE), Metric("props", S.VARCHAR)], time="ts"),
         Table("receipt", [d("kkm_id", S.INTEGER), d("operation_type", S.TINYINT), d("shift", S.INTEGER)], [*sums, Metric("operator_name", S.VARCHAR), Metric("total", S.CURRENCY, "total_sum"), Metric("cash", S.CURRENCY, "cash_sum")], [devices], time="dp_time"),
-        Table("kkm_items", [d("kkm_id", S.INTEGER), d("item"), d("operation_type", S.TINYINT), d("pos", S.SMALLINT)], [Metric("quantity", S.DOUBLE), Metric("sum_cents", S.BIGINT), Metric("sum", S.CURRENCY, "sum_cents"), Metric("measure", S.VARCHAR), Metric("document_number", S.BIGINT), Metric("customer_code", S.VARCHAR), Metric("row_id", S.BIGINT)], time="dp_time"),
+        Table("kkm_items", [d("kkm_id", S.INTEGER), d("item"), d("operation_type", S.TINYINT), d("pos", S.SMALLINT)], [Metric("quantity", S.DOUBLE), Metric("sum_cents", S.BIGINT), Metric("sum", S.CURRENCY, "sum_cents"), Metric("measure", S.VARCHAR), Metric("document_number", S.BIGINT), Metric("customer_code", S.VARCHAR), Metric("row_id", S.BIGINT)], [phrase_link("item"), related_link("item", ("time", "kkm_id"))], time="dp_time"),
         *[Table(f"receipt_by_{u}", by_device, [*sums, *spans], span_ms=n * DAY_MS) for u, n in (("day", 30), ("week", 90), ("month", 365))],
         Table("receipt_by_day_all_kkms", [], [Metric("kkm_count", S.INTEGER), Metric("total_sum", S.BIGINT), Metric("receipt_count", S.BIGINT)], span_ms=365 * DAY_MS),
         Table("item_kkms_by_month", [d("item"), *by_device], [Metric("sum_cents", S.BIGINT), Metric("item_count", S.BIGINT)], span_ms=365 * DAY_MS),

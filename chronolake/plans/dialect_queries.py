@@ -127,6 +127,20 @@ firsts AS (SELECT kkm_id, arg_min(v, value_time) AS v FROM links GROUP BY ALL),
 got AS (SELECT r.*, coalesce(l.v, f.v) AS v FROM {_RECEIPT} r ASOF LEFT JOIN links l ON l.kkm_id = r.kkm_id AND l.value_time <= r.dp_time LEFT JOIN firsts f ON f.kkm_id = r.kkm_id)
 SELECT v.region AS region, v.store_format AS format, count(total_sum) AS n, CAST(sum(total_sum) AS BIGINT) AS s FROM got GROUP BY ALL""")
 
+_KL = "dp_time >= TIMESTAMPTZ '2025-01-01 00:00:00+00' AND dp_time < TIMESTAMPTZ '2026-01-01 00:00:00+00'"
+
+
+def _word(word: str, whole: bool = True, item: str = "item") -> str:
+    """Whether an item has a word: letters that neither a letter precedes nor, for a whole word, follows."""
+    tail = "($|[^a-zа-яё])" if whole else ""
+    return f"regexp_matches(lower({item}), '(^|[^a-zа-яё]){word}{tail}')"
+
+
+_add("phrase_link", f"SELECT row_id FROM kkm_items WHERE {_RY} AND ItemsInvertedIndex_phrase IN ('rice', 'apple white') AND ItemsInvertedIndex_phrase <> 'plain'", f"SELECT row_id FROM kkm_items WHERE {_KL} AND ({_word('rice')} OR ({_word('apple')} AND {_word('white')})) AND NOT {_word('plain')}")
+_add("phrase_link_prefix", f"SELECT row_id, item FROM kkm_items WHERE {_RY} AND ItemsInvertedIndex_phrase = 'noo% sweet'", f"SELECT row_id, item FROM kkm_items WHERE {_KL} AND {_word('noo', False)} AND {_word('sweet')}")
+_add("related_link", f"SELECT row_id FROM kkm_items WHERE {_RY} AND RelatedItemsCatalog_phrase = 'rice' AND pos = 1", f"SELECT row_id FROM kkm_items k WHERE {_KL} AND pos = 1 AND EXISTS (SELECT 1 FROM kkm_items m WHERE m.dp_time = k.dp_time AND m.kkm_id = k.kkm_id AND {_word('rice', item='m.item')})")
+_add("unrelated_link", f"SELECT row_id FROM kkm_items WHERE {_RY} AND RelatedItemsCatalog_item NOT IN ('Delivery fee', 'carrier bag small')", f"SELECT row_id FROM kkm_items k WHERE {_KL} AND NOT EXISTS (SELECT 1 FROM kkm_items m WHERE m.dp_time = k.dp_time AND m.kkm_id = k.kkm_id AND lower(m.item) IN ('delivery fee', 'carrier bag small'))")
+
 QUERIES: dict[str, Query] = {name: _dialect(text) for name, (text, _) in TEXTS.items()}
 SQL: dict[str, str] = {name: sql for name, (_, sql) in TEXTS.items()}
 
@@ -258,6 +272,7 @@ SQL |= {
     "hll_within_error": f"SELECT DISTINCT event_type, true AS near FROM events WHERE {_EL}",
     "random_member": f"SELECT DISTINCT event_type FROM events WHERE {_EL}",
     "tokens_plain": f"SELECT DISTINCT event_type, event_type AS t FROM events WHERE {_EL}",
+    "phrase_search": f"SELECT row_id FROM kkm_items WHERE (({_word('rice')} AND {_word('pl', False)}) OR {_word('apple')}) AND NOT {_word('white')}",
     "related_items": "SELECT row_id FROM kkm_items k WHERE EXISTS (SELECT 1 FROM kkm_items m WHERE m.dp_time = k.dp_time AND m.kkm_id = k.kkm_id AND starts_with(lower(m.item), 'plain rice'))",
     "unrelated_items": "SELECT row_id FROM kkm_items k WHERE NOT EXISTS (SELECT 1 FROM kkm_items m WHERE m.dp_time = k.dp_time AND m.kkm_id = k.kkm_id AND starts_with(lower(m.item), 'plain'))",
     "set_operations": f"WITH h AS (SELECT DISTINCT l_partkey FROM lineitem WHERE {_L} AND l_discount >= 0.09), s AS (SELECT DISTINCT l_partkey FROM lineitem WHERE {_L} AND l_quantity <= 3) SELECT l_partkey FROM h WHERE l_partkey NOT IN (SELECT * FROM s) UNION SELECT l_partkey FROM s WHERE l_partkey NOT IN (SELECT * FROM h)",

@@ -157,18 +157,42 @@ class Planner:
                 alone.setdefault((link[0].name, c.op in ("<>", "not in")), []).append(c)
             else:
                 mixed.append((c, names))
+        by_name = {k.name: k for k in table.links}
+        scanned = df
         for c in plain:
             df = df.where(resolver.boolean(c).column)
-        by_name = {k.name: k for k in table.links}
         for (name, exclude), conditions in alone.items():
             link = by_name[name]
+            if link.kind != "lookup":
+                df = self._searched(df, scanned, link, conditions, exclude)
+                continue
             df = links.restrict(df, link, links.matching_keys(link.rows(self.spark), link, self._link_condition(link, conditions, exclude)), exclude)
         for name in sorted(needed.union(*[n for _, n in mixed])):
+            if by_name[name].kind != "lookup":
+                if name not in needed:
+                    raise QueryError(f"Conditions on {name} can only stand beside others, with = or IN, <> or NOT IN")
+                df = df.withColumns({f"{name}_{f}": F.lit(None).cast("string") for f in by_name[name].fields})
+                continue
             df = links.lookup(df, by_name[name], by_name[name].rows(self.spark), f"{name}_")
         for c, _ in mixed:
             df = df.where(resolver.boolean(self._null_keeps(c, table)).column)
         return df
 
+    @staticmethod
+    def _searched(df: DataFrame, scanned: DataFrame, link: Link, conditions: list[Node], exclude: bool) -> DataFrame:
+        """Rows whose item has the phrases looked for, or that are related to rows of an item or phrase."""
+        wanted = []
+        for c in conditions:
+            field = next(a.value for a in c.args if a.op == "field")[len(link.name) + 1 :].lower()
+            wanted.append((field, [str(a.value) for a in c.args if a.op == "const" and a.value is not None]))
+        if link.kind == "phrase":
+            found = [values for _, values in wanted]
+            return links.filter_phrases(df, link.dimension, exclude=[v for x in found for v in x]) if exclude else links.filter_phrases(df, link.dimension, include=found)
+        for field, values in wanted:
+            rows = scanned.where(F.lower(link.dimension).isin([v.lower() for v in values])) if field == "item" else links.filter_phrases(scanned, link.dimension, include=[values])
+            df = links.related(df, rows, link.on, exclude)
+        return df
+
     def _link_condition(self, link: Link, conditions: list[Node], exclude: bool):
         def find(name: str) -> Typed:
             field = next(f for f in link.fields if f"{link.name}_{f}".lower() == name.lower())

@@ -45,6 +45,10 @@ class Link:
 
     ``rows(spark)`` gives the dimension's column under the dimension's name, the fields, and for a time-sensitive link
     the column ``time`` from which a row's values hold.
+
+    A link of the kind ``phrase`` has no rows: conditions on its one field search the words of the dimension's values.
+    One of the kind ``related`` has the fields ``item`` and ``phrase``: conditions on them keep (or drop) rows that share
+    the columns ``on`` with any row of that item or phrase. Both may only be tested, one condition beside others.
     """
 
     name: str
@@ -53,6 +57,22 @@ class Link:
     rows: Callable[[SparkSession], DataFrame]
     time_sensitive: bool = False
     ignore_case: bool = False
+    kind: str = "lookup"
+    on: Sequence[str] = ()
+
+
+def phrase_link(dimension: str, name: str = "ItemsInvertedIndex") -> Link:
+    """Word search in a dimension's values: ``name_phrase``."""
+    return Link(name, dimension, {"phrase": S.VARCHAR}, _no_rows, kind="phrase")
+
+
+def related_link(dimension: str, on: Sequence[str], name: str = "RelatedItemsCatalog") -> Link:
+    """Rows next to those of an item: ``name_item`` and ``name_phrase``."""
+    return Link(name, dimension, {"item": S.VARCHAR, "phrase": S.VARCHAR}, _no_rows, kind="related", on=tuple(on))
+
+
+def _no_rows(spark: SparkSession) -> DataFrame:
+    raise QueryError("Words can only be searched for")
 
 
 @dataclass(frozen=True)

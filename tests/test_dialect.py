@@ -11,7 +11,7 @@ from chronolake.engine import Engine
 from chronolake.functions.tokens import raw_tokens, tokens
 from chronolake.operators import links, rollup
 from chronolake.operators.ingest import Store, filter_changelog, latest_intervals
-from chronolake.schema import DAY_MS, Dimension, Link, Metric, QueryError, Rollup, Schema, Table, drift
+from chronolake.schema import DAY_MS, Dimension, Link, Metric, QueryError, Rollup, Schema, Table, drift, phrase_link, related_link
 from chronolake.sources.files import concatenated, exploded_index, to_csv
 from chronolake.sources.links import declared, from_jdbc, in_memory, snake
 from chronolake.streaming.ingest import save_data_points
@@ -203,6 +203,24 @@ def test_phrases(spark, rows):
     assert find(["нет"]) == set()
 
 
+def test_word_links(spark):
+    df = spark.createDataFrame([(T0, "красное яблоко", 1, 1), (T0, "чай", 1, 2), (T0, "чай", 2, 3), (T0, None, 2, 4), (T0, "яблочный сок ╕ж", 3, 5)], "time timestamp, item string, dev int, id int")
+    t = Table("t", [Dimension("item"), Dimension("dev", S.INTEGER)], [Metric("id", S.INTEGER)], [phrase_link("item"), related_link("item", ("time", "dev"))])
+    e = Engine(spark, Schema({"t": t}, {"t": lambda _: df}))
+    ids = lambda where: sorted(r.id for r in e.sql(f"SELECT id FROM t WHERE {ALL} AND {where}").collect())
+    assert ids("ItemsInvertedIndex_phrase = 'яблоки красный'") == [1]
+    assert ids("ItemsInvertedIndex_phrase IN ('яблоч%', 'чай')") == [2, 3, 5]
+    assert ids("ItemsInvertedIndex_phrase = 'ёж'") == [5]  # the broken letter is put right
+    assert ids("ItemsInvertedIndex_phrase <> 'чай'") == [1, 4, 5]
+    assert ids("RelatedItemsCatalog_item = 'Чай'") == [1, 2, 3, 4]
+    assert ids("RelatedItemsCatalog_phrase = 'чай' AND RelatedItemsCatalog_item = 'красное яблоко'") == [1, 2]
+    assert ids("RelatedItemsCatalog_phrase <> 'яблоко'") == [3, 4, 5]
+    assert ids("RelatedItemsCatalog_item = 'чай' AND dev = 1") == [1, 2]
+    assert e.sql(f"SELECT ItemsInvertedIndex_phrase AS p FROM t WHERE {ALL}").where("p IS NULL").count() == 5
+    with pytest.raises(QueryError, match="can only stand beside others"):
+        ids("(ItemsInvertedIndex_phrase = 'чай' OR dev = 3)")
+
+
 def test_store_upserts_replace_and_are_logged(spark, rows, tmp_path):
     table = Table("t", [Dimension("A")], [Metric("x", S.BIGINT), Metric("y", S.VARCHAR)])
     store = Store(spark, f"file://{tmp_path}/s")
