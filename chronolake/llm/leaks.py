@@ -19,8 +19,8 @@ SHARE, SLACK = 1 / 3, 0.013
 COVERED, LONG = 0.2, (14, 7)
 #: Letters of test items searched at once; more items are searched in further blocks.
 BLOCK_LETTERS = 4_000_000
-#: Pages whose suffixes form one shard.
-SHARD_PAGES = 1000
+#: Characters of pages whose suffixes form one shard, and how much of a longer page is read at once.
+SHARD_CHARS, WINDOW = 3_000_000, 200_000
 _BITS, _SYMBOLS = 10, 1021
 _MIX0, _MIX1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -156,20 +156,23 @@ def _chain(p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float) -> tup
     p, q, length = p[order], q[order], length[order]
     n = len(p)
     score, begin, matched = length.astype(np.float64), q.copy(), length.copy()
+    reach = np.searchsorted(p, p - 1000 * unit - length.max())  # none before can be near enough
     for j in range(1, n):
-        gap_q, gap_p = q[j] - (q[:j] + length[:j]), p[j] - (p[:j] + length[:j])
+        near_by = slice(int(reach[j]), j)
+        gap_q, gap_p = q[j] - (q[near_by] + length[near_by]), p[j] - (p[near_by] + length[near_by])
         over = np.maximum(0, -np.minimum(gap_q, gap_p))
-        ok = (q[j] > q[:j]) & (over < np.minimum(length[j], length[:j]) - 2 * unit) & (gap_q <= 45 * unit) & (gap_p <= 1000 * unit)
+        ok = (q[j] > q[near_by]) & (over < np.minimum(length[j], length[near_by]) - 2 * unit) & (gap_q <= 45 * unit) & (gap_p <= 1000 * unit)
         if not ok.any():
             continue
         gq, gp = np.maximum(gap_q, 0), np.maximum(gap_p, 0)
         near = np.abs(gap_p - gap_q) <= 25 * unit
         cost = np.where(near, unit + 0.25 * np.maximum(gq, gp), 8 * unit + 0.25 * gq + 0.004 * gp) + over
-        value = np.where(ok, score[:j] - cost, -np.inf)
-        i = int(np.argmax(value))
-        if value[i] > 0:
-            score[j] += value[i]
-            begin[j], matched[j] = begin[i], matched[i] + length[j] - over[i]
+        value = np.where(ok, score[near_by] - cost, -np.inf)
+        k = int(np.argmax(value))
+        if value[k] > 0:
+            i = k + near_by.start
+            score[j] += value[k]
+            begin[j], matched[j] = begin[i], matched[i] + length[j] - over[k]
     j = int(np.argmax(score))
     return float(score[j]), int(begin[j]), int(q[j] + length[j]), int(matched[j])
 
@@ -208,24 +211,40 @@ def search(suffixes: Suffixes, coder: np.ndarray, ids: list[int], texts: list[st
     return out
 
 
+def windows(text: str | None, overlap: int) -> Iterator[str]:
+    """The text, a very long one in windows that overlap by more than any passage can span."""
+    text = text or ""
+    if len(text) <= WINDOW:
+        yield text
+        return
+    step = max(WINDOW, 2 * overlap) - overlap
+    for start in range(0, max(1, len(text) - overlap), step):
+        yield text[start : start + step + overlap]
+
+
 def _searcher(suffixes: Suffixes):
+    # a passage with adverts and other columns in between, generously
+    overlap = 20 * int(suffixes.sizes.max(initial=0)) + 10_000
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = suffixes.coder()
         ids: list[int] = []
-        texts: list[str | None] = []
+        texts: list[str] = []
+        held = 0
 
         def shard() -> pa.RecordBatch:
             rows = search(suffixes, coder, ids, texts)
             return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RESULT)], schema=_RESULT)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, SHARD_PAGES):
-                part = batch.slice(start, SHARD_PAGES)
-                ids += part["doc_id"].to_pylist()
-                texts += part["text"].to_pylist()
-                if len(ids) >= SHARD_PAGES:
-                    yield shard()
-                    ids, texts = [], []
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for part in windows(text, overlap):
+                    ids.append(doc)
+                    texts.append(part)
+                    held += len(part)
+                    if held >= SHARD_CHARS:
+                        yield shard()
+                        ids, texts, held = [], [], 0
         if ids:
             yield shard()
 

@@ -63,6 +63,16 @@ def test_blocks_of_items_find_the_same(spark, world, monkeypatch):
     assert set(run(spark, items, pages)) == whole == {(0, 103), (1, 105), (1, 106)}
 
 
+def test_very_long_pages_are_read_whole(spark, world, monkeypatch):
+    r, items = world
+    monkeypatch.setattr(leaks, "WINDOW", 5000)
+    long = passage(r, 30000)
+    pages = [long + " " + items[4][1], items[4][1] + " " + long, long[:90000] + " " + items[4][1] + " " + long[90000:], long, "their wooden gate " * 40000]
+    assert {k for k in run(spark, items, pages)} == {(0, 104), (1, 104), (2, 104)}
+    text = "".join(chr(97 + i % 26) for i in range(60000))
+    assert all(len(w) <= 60000 for w in leaks.windows(text, 700)) and "".join(w[700 * (i > 0) :] for i, w in enumerate(leaks.windows(text, 700))) == text
+
+
 def test_empty_tables_and_repeated_rows(spark, world):
     _, items = world
     assert run(spark, [], ["a page"]) == {} and run(spark, items, []) == {}
