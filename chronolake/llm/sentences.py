@@ -370,6 +370,7 @@ def segment(s: str, lex: Lexicon) -> list[int]:
 
 _BLANKS = re.compile(r"\s+")
 _GUTTER = re.compile(r"\s*\|\s*|\s{2,}")
+_WIDE_GUTTER = re.compile(r"\S(?:\s+\|\s|\s{3,})\S")
 
 
 #: Four edges of each line, or of which there is none.
@@ -402,6 +403,7 @@ def _pieces(text: str, boxes: Boxes | None) -> list[tuple[int, int, int | None,
         sizes = [(x1 - x0, y1 - y0) for x0, y0, x1, y1 in zip(x0s, y0s, x1s, y1s, strict=True) if NO_EDGE not in (x0, y0, x1, y1)]
         widths = [w for w, h in sizes if h <= 40] or [w // 2 for w, _ in sizes]
         usual = median(widths) if widths else 0
+        mixed = sum(h > 40 and w > 1.35 * usual for w, h in sizes)
     for i, line in enumerate(lines):
         end = at + len(line)
         if boxes is None or NO_EDGE in (x0s[i], y0s[i], x1s[i], y1s[i]):
@@ -409,13 +411,13 @@ def _pieces(text: str, boxes: Boxes | None) -> list[tuple[int, int, int | None,
         else:
             x0, width, height = x0s[i], x1s[i] - x0s[i], y1s[i] - y0s[i]
             cut = None
-            if usual and height > 40 and width > 1.35 * usual:
+            if usual and (height > 40 and width > 1.35 * usual or mixed > 2 and not height and _WIDE_GUTTER.search(line)):
                 gaps = [m for m in _GUTTER.finditer(line) if m.start() > 0 and m.end() < len(line)]
                 if gaps:
                     cut = min(gaps, key=lambda m: abs(m.start() - len(line) / 2) - 4 * len(m.group()))
             if cut:
                 out.append((at, at + cut.start(), x0, -1))
-                out.append((at + cut.end(), end, x0 + width // 2, -2))
+                out.append((at + cut.end(), end, x0 + (width or 2 * usual) // 2, -2))
             else:
                 out.append((at, end, x0, height))
         at = end + 1
@@ -456,6 +458,16 @@ def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
     for i in range(1, len(pieces)):  # a line without a box stays with its neighbour
         if pieces[i][2] is None:
             column[i] = column[i - 1]
+    for i, (a, b, x, h) in enumerate(pieces):
+        if h != 0 or x is None or not lefts:
+            continue
+        # a box without size: its place tells whether the line belongs to a heading or advert next to it
+        inset = x - lefts[column[i]]
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(pieces) and kinds[j] > 0 and pieces[j][2] is not None and abs(pieces[j][2] - x) <= 9:
+                if inset >= 35 or text[a:b].isupper() or (j < i and inset < 14):
+                    kinds[i] = kinds[j]
+                    break
     order = list(range(len(pieces)))
     turns = sum(1 for i in range(1, len(column)) if column[i] < column[i - 1])
     if turns >= 2:
