@@ -411,7 +411,7 @@ def _pieces(text: str, boxes: Boxes | None) -> list[tuple[int, int, int | None,
         else:
             x0, width, height = x0s[i], x1s[i] - x0s[i], y1s[i] - y0s[i]
             cut = None
-            if usual and (height > 40 and width > 1.35 * usual or mixed > 2 and not height and _WIDE_GUTTER.search(line)):
+            if usual and (height > 40 and width > 1.35 * usual or height > 60 and width > usual or mixed > 2 and not height and _WIDE_GUTTER.search(line)):
                 gaps = [m for m in _GUTTER.finditer(line) if m.start() > 0 and m.end() < len(line)]
                 if gaps:
                     cut = min(gaps, key=lambda m: abs(m.start() - len(line) / 2) - 4 * len(m.group()))
