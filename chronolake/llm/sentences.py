@@ -454,10 +454,12 @@ def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
             run = []
         if x is not None:
             run.append(x)
-    column = [0 if x is None or not lefts else max(0, sum(x >= left - (40 if h != -2 else 150) for left in lefts) - 1) for _, _, x, h in pieces]
+    column = [0 if x is None or not lefts else max(0, sum(x >= left - 40 for left in lefts) - 1) for _, _, x, _ in pieces]
     for i in range(1, len(pieces)):  # a line without a box stays with its neighbour
         if pieces[i][2] is None:
             column[i] = column[i - 1]
+        elif pieces[i][3] == -2:  # and the right part of a cut line is in the next column
+            column[i] = min(column[i - 1] + 1, max(0, len(lefts) - 1))
     for i, (a, b, x, h) in enumerate(pieces):
         if h != 0 or x is None or not lefts:
             continue
