@@ -400,7 +400,7 @@ def _pieces(text: str, boxes: Boxes | None) -> list[tuple[int, int, int | None,
     usual = 0
     if boxes:
         x0s, y0s, x1s, y1s = boxes
-        sizes = [(x1 - x0, y1 - y0) for x0, y0, x1, y1 in zip(x0s, y0s, x1s, y1s, strict=True) if NO_EDGE not in (x0, y0, x1, y1)]
+        sizes = [(x1 - x0, y1 - y0) for x0, y0, x1, y1 in zip(x0s, y0s, x1s, y1s, strict=True) if NO_EDGE not in (x0, y0, x1, y1) and y1 > y0]
         widths = [w for w, h in sizes if h <= 40] or [w // 2 for w, _ in sizes]
         usual = median(widths) if widths else 0
         mixed = sum(h > 40 and w > 1.35 * usual for w, h in sizes)
@@ -448,12 +448,14 @@ def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
             kinds.append(0)
     lefts: list[int] = []  # each column's usual left edge; some lines are indented, few stand out
     run: list[int] = []
-    for x in [*sorted(x for (_, _, x, h), k in zip(pieces, kinds, strict=True) if x is not None and h and h > 0 and k == 0), None]:
+    for x in [*sorted(x for (_, _, x, h), k in zip(pieces, kinds, strict=True) if x is not None and h and h > -2 and k == 0), None]:
         if run and (x is None or x - run[-1] > 150):
             lefts.append(run[len(run) // 4])
             run = []
         if x is not None:
             run.append(x)
+    if len(lefts) == 1 and any(h == -2 for *_, h in pieces):
+        lefts.append(lefts[0] - NO_EDGE)  # a column of which only right halves are seen
     column = [0 if x is None or not lefts else max(0, sum(x >= left - 40 for left in lefts) - 1) for _, _, x, _ in pieces]
     for i in range(1, len(pieces)):  # a line without a box stays with its neighbour
         if pieces[i][2] is None:

@@ -75,6 +75,15 @@ def test_columns_that_alternate(lex):
     assert {"The bell rang near the\nwooden gate in the way.", "Their dog slept.", "Their gate\nwas shut by the dog."} <= got
 
 
+def test_lines_that_run_through_two_columns(lex):
+    """Merged lines are cut at the gutter, also where only right halves of a column are seen or a box is empty."""
+    lines = ["The bell rang near the   A man called on the dog", "wooden gate in the way. | with his bell. Their gate", "Their dog slept. The man     was shut.", "left the gate in all. | Its bell rang in the way"]
+    boxes = [box(60, 100 + 30 * i, 160, 900) for i in range(3)] + [box(60, 190, 0, 0)]
+    for first in ([], [("The way.", box(82, 70, 20, 120))]):
+        got = units("\n".join([x for x, _ in first] + lines), lex, [b for _, b in first] + boxes)
+        assert {"The bell rang near the\nwooden gate in the way.", "Their dog slept.", "The man\nleft the gate in all.", "A man called on the dog\nwith his bell.", "Their gate\nwas shut.", "Its bell rang in the way"} <= set(got)
+
+
 def test_odd_pages(lex):
     assert S.sentence_ends(None, None, lex) == S.sentence_ends("", None, lex) == S.sentence_ends(" \n ", None, lex) == []
     assert S.sentence_ends("x", None, lex) == [1]
