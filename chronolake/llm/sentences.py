@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from statistics import median
@@ -313,7 +314,7 @@ def segment(s: str, lex: Lexicon) -> list[int]:
     end = len(s.rstrip())
     if not end:
         return []
-    thai = len(_THAI.findall(s)) * 2 > end
+    thai = _THAI.search(s) is not None and len(_THAI.findall(s)) * 2 > end
     cand = _candidates(s, lex)
     if thai:
         spaces = _thai(s)
@@ -340,24 +341,21 @@ def segment(s: str, lex: Lexicon) -> list[int]:
         words = [p / (2.2 if wide else 5.0) for p, _, _ in places]
     else:
         blanks = [m.start() for m in _BLANKS.finditer(s)]
-        at = np.searchsorted(blanks, [p for p, _, _ in places]).tolist()
-        words = [x + 1 if p else 0 for x, (p, _, _) in zip(at, places, strict=True)]
+        words = [bisect_left(blanks, p) + 1 if p else 0 for p, _, _ in places]
     best, back = [0.0] + [-1e18] * (n - 1), [0] * n
-    cased = bool(_CASED.search(s))
+    cased = _CASED.search(s) is not None
     for j in range(1, n):
         wj, dj, top, arg = words[j], depth[j], -1e18, 0
         for i in range(j - 1, max(-1, j - 1 - REACH), -1):
-            length = wj - words[i]
-            v = best[i]
+            v, length = best[i], wj - words[i]
             if dj != depth[i]:
                 v -= 5.0 * abs(dj - depth[i])
             if length < 4:
                 v -= 1.2 * (4 - length)
-                p = places[i][0]
-                if not cased and i and s[p - 1] in "\"'“”‘’«»」』" and length < 5:
-                    v -= 5.0  # who said it belongs to what was said
             elif length > 50:
                 v -= 0.04 * (length - 50)
+            if not cased and i and length < 5 and s[places[i][0] - 1] in "\"'“”‘’«»」』":
+                v -= 5.0  # who said it belongs to what was said
             if v > top:
                 top, arg = v, i
         best[j], back[j] = top + places[j][1], arg
