@@ -52,6 +52,8 @@ _EY = "time >= TIMESTAMP '2024-01-01' AND time < TIMESTAMP '2024-02-15'"
 _EL = "ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-15'"
 _OY = "time >= TIMESTAMP '1990-01-01' AND time < TIMESTAMP '2005-01-01'"
 _OL = "o_orderdate >= TIMESTAMP '1990-01-01' AND o_orderdate < TIMESTAMP '2005-01-01'"
+_WY = _OY
+_WL = "l_shipdate >= TIMESTAMP '1990-01-01' AND l_shipdate < TIMESTAMP '2005-01-01'"
 _RY = "time >= TIMESTAMP '2025-01-01' AND time < TIMESTAMP '2026-01-01'"
 _T = "'%Y-%m-%d %H:%M:%S.%g'"
 _RECEIPT = "(SELECT * FROM receipt WHERE dp_time IS NOT NULL AND kkm_id IS NOT NULL AND operation_type IS NOT NULL AND shift IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dp_time, kkm_id, operation_type, shift ORDER BY put_at DESC NULLS LAST, row_id DESC NULLS LAST) = 1)"
@@ -141,6 +143,12 @@ _add("phrase_link_prefix", f"SELECT row_id, item FROM kkm_items WHERE {_RY} AND
 _add("related_link", f"SELECT row_id FROM kkm_items WHERE {_RY} AND RelatedItemsCatalog_phrase = 'rice' AND pos = 1", f"SELECT row_id FROM kkm_items k WHERE {_KL} AND pos = 1 AND EXISTS (SELECT 1 FROM kkm_items m WHERE m.dp_time = k.dp_time AND m.kkm_id = k.kkm_id AND {_word('rice', item='m.item')})")
 _add("unrelated_link", f"SELECT row_id FROM kkm_items WHERE {_RY} AND RelatedItemsCatalog_item NOT IN ('Delivery fee', 'carrier bag small')", f"SELECT row_id FROM kkm_items k WHERE {_KL} AND NOT EXISTS (SELECT 1 FROM kkm_items m WHERE m.dp_time = k.dp_time AND m.kkm_id = k.kkm_id AND lower(m.item) IN ('delivery fee', 'carrier bag small'))")
 
+# the queries over a year of sales again, over bounds that hold all of l_shipdate
+for _name, (_text, _sql) in list(TEXTS.items()):
+    if _Y in _text and _name != "always_false":
+        _add(f"{_name}_whole", _text.replace(_Y, _WY), _sql.replace(_L, _WL))
+_add("lag_no_group_whole", f"SELECT event_id, lag(event_id) AS previous FROM events WHERE {_EY}", f"SELECT event_id, lag(event_id) OVER (ORDER BY date_trunc('millisecond', ts), user_id, event_type, event_id) AS previous FROM events WHERE {_EL}")
+
 QUERIES: dict[str, Query] = {name: _dialect(text) for name, (text, _) in TEXTS.items()}
 SQL: dict[str, str] = {name: sql for name, (_, sql) in TEXTS.items()}
 
@@ -148,16 +156,31 @@ SQL: dict[str, str] = {name: sql for name, (_, sql) in TEXTS.items()}
 # queries that take more than one statement of the dialect
 
 
+def _limited_count(spark: SparkSession, sf_dir: str, bounds: str) -> DataFrame:
+    got = _dialect(f"SELECT l_suppkey, count(l_tax) AS n FROM sales WHERE {bounds} GROUP BY l_suppkey HAVING n > 0 LIMIT 5")(spark, sf_dir)
+    return got.agg(F.count(F.lit(1)).alias("n"))
+
+
 def limited_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIMIT after HAVING: any five of the groups, so only their number is fixed."""
-    got = _dialect(f"SELECT l_suppkey, count(l_tax) AS n FROM sales WHERE {_Y} GROUP BY l_suppkey HAVING n > 0 LIMIT 5")(spark, sf_dir)
-    return got.agg(F.count(F.lit(1)).alias("n"))
+    return _limited_count(spark, sf_dir, _Y)
+
+
+def limited_count_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _limited_count(spark, sf_dir, _WY)
+
+
+_PLACEHOLDERS = "SELECT l_orderkey, l_linenumber FROM sales WHERE time >= ? AND time < ? AND l_returnflag = ? AND l_linenumber IN (?, ?)"
 
 
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "SELECT l_orderkey, l_linenumber FROM sales WHERE time >= ? AND time < ? AND l_returnflag = ? AND l_linenumber IN (?, ?)"
     params = [datetime(1996, 1, 1), datetime(1996, 2, 1), "R", 1, 2]
-    return comparable(Engine(spark, catalog(sf_dir)).sql(text, params))
+    return comparable(Engine(spark, catalog(sf_dir)).sql(_PLACEHOLDERS, params))
+
+
+def placeholders_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = [datetime(1990, 1, 1), datetime(2005, 1, 1), "R", 1, 2]
+    return comparable(Engine(spark, catalog(sf_dir)).sql(_PLACEHOLDERS, params))
 
 
 def hll_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,14 +224,22 @@ def unrelated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.related(rows, rows.where(F.lower("item").startswith("plain")), ["dp_time", "kkm_id"], exclude=True).select("row_id")
 
 
-def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts sold with a high discount or in small lots, without those sold both ways."""
+def _set_operations(spark: SparkSession, sf_dir: str, bounds: str) -> DataFrame:
     e = Engine(spark, catalog(sf_dir))
-    high = e.sql(f"SELECT l_partkey FROM sales WHERE {_Y} AND l_discount >= 0.09 GROUP BY l_partkey")
-    small = e.sql(f"SELECT l_partkey FROM sales WHERE {_Y} AND l_quantity <= 3 GROUP BY l_partkey")
+    high = e.sql(f"SELECT l_partkey FROM sales WHERE {bounds} AND l_discount >= 0.09 GROUP BY l_partkey")
+    small = e.sql(f"SELECT l_partkey FROM sales WHERE {bounds} AND l_quantity <= 3 GROUP BY l_partkey")
     return high.unionAll(small).distinct().subtract(high.intersect(small))
 
 
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts sold with a high discount or in small lots, without those sold both ways."""
+    return _set_operations(spark, sf_dir, _Y)
+
+
+def set_operations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set_operations(spark, sf_dir, _WY)
+
+
 def changelog_of_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the changelog that a put of all events touches."""
     return comparable(ingest.intervals_of(table(spark, sf_dir, "events").select(F.col("ts").alias("time")), "events", 86_400_000))
@@ -255,7 +286,7 @@ def _all_time(name: str) -> Query:
     return run
 
 
-QUERIES |= {f.__name__: f for f in (limited_count, placeholders, hll_within_error, random_member, token_counts, tokens_plain, phrase_search, related_items, unrelated_items, set_operations, changelog_of_put, upsert_in_force, changelog_filtered, show_columns, show_tables, show_functions)}
+QUERIES |= {f.__name__: f for f in (limited_count, limited_count_whole, placeholders, placeholders_whole, hll_within_error, random_member, token_counts, tokens_plain, phrase_search, related_items, unrelated_items, set_operations, set_operations_whole, changelog_of_put, upsert_in_force, changelog_filtered, show_columns, show_tables, show_functions)}
 QUERIES |= {f"rollup_{n}": _all_time(r) for n, r in (("by_day", "receiptByDay"), ("by_week", "receiptByWeek"), ("by_month", "receiptByMonth"), ("all_devices", "receiptByDayAllKkms"), ("item_months", "itemKkmsByMonth"))}
 
 
@@ -288,3 +319,9 @@ SQL |= {
     "rollup_all_devices": f"SELECT strftime(CAST(date_trunc('day', dp_time AT TIME ZONE 'UTC') AS TIMESTAMP), {_T}) AS time, CAST(count(DISTINCT kkm_id) AS INTEGER) AS kkm_count, CAST(sum(CASE WHEN operation_type IN (1, 4) THEN total_sum ELSE -total_sum END) AS BIGINT) AS total_sum, count(*) AS receipt_count FROM {_RECEIPT} GROUP BY 1",
     "rollup_item_months": f"SELECT strftime(CAST(date_trunc('month', dp_time AT TIME ZONE 'UTC') AS TIMESTAMP), {_T}) AS time, item, kkm_id, operation_type, CAST(sum(sum_cents) AS BIGINT) AS sum_cents, count(item) AS item_count FROM kkm_items WHERE dp_time >= TIMESTAMPTZ '2000-01-01 00:00:00+00' GROUP BY 1, 2, 3, 4",
 }
+
+SQL |= {
+    "limited_count_whole": SQL["limited_count"],
+    "placeholders_whole": f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_WL} AND l_returnflag = 'R' AND l_linenumber IN (1, 2)",
+    "set_operations_whole": SQL["set_operations"].replace(_L, _WL),
+}
