@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +154,28 @@ def advance(state: ChangeState, updates: DataFrame, runs: DataFrame) -> DataFram
     newest = taken.groupBy("run_id", "from_ts", "to_ts").agg(F.max(F.struct("updated_at", "entry_id")).alias("m")).select(F.col("m.entry_id").alias("newest_id"))
     taken = taken.join(newest, F.col("entry_id") == F.col("newest_id"), "left")
     return state.commit(taken.select("k", "h", "run_id", "entry_id", F.col("newest_id").isNotNull().alias("current")))
+
+
+#: Batches in which a log of runs is replayed.
+BATCHES = 4
+
+
+def replay(state: ChangeState, updates: DataFrame, runs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """Let a whole log of ``runs`` take from ``updates``, in batches by started_at, each against what those before committed.
+
+    A batch sees the entries that had landed by its last start, and of these ``advance`` takes what the state lacks.
+    Runs with one start are in one batch, so every entry goes to the same run as in a single batch.
+    """
+    start = F.unix_micros("started_at")
+    shares = [i / batches for i in range(1, batches)]
+    cuts = runs.where(F.col("run_status") == "SUCCEEDED").agg(F.percentile_approx(start, shares)).first()[0] if shares else None
+    parts, low = [], None
+    for high in [*sorted(set(cuts or [])), None]:
+        own, landed = runs, updates
+        if low is not None:
+            own = own.where(F.col("started_at") > F.timestamp_micros(F.lit(low)))
+        if high is not None:
+            own, landed = own.where(F.col("started_at") <= F.timestamp_micros(F.lit(high))), landed.where(F.col("landed_at") <= F.timestamp_micros(F.lit(high)))
+        parts.append(advance(state, landed, own))
+        low = high
+    return reduce(DataFrame.unionAll, parts)

@@ -47,9 +47,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _taken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All runs over an empty state of their own, which goes when the driver ends."""
+    """All runs, replayed in batches from an empty state of their own, which goes when the driver ends."""
     path = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
-    taken = incremental.advance(incremental.ChangeState(spark, path), table(spark, sf_dir, "updates_intervals"), table(spark, sf_dir, "recalc_runs"))
+    taken = incremental.replay(incremental.ChangeState(spark, path), table(spark, sf_dir, "updates_intervals"), table(spark, sf_dir, "recalc_runs"))
     temporary(spark, path)
     return taken
 

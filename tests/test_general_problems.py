@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolake.operators import bitemporal, incremental, intervals, rolling, tree
+from chronolake.plans import problems
 
 T0 = datetime(2025, 1, 1, tzinfo=UTC)
 RECEIPT = "row_id bigint, dp_time timestamp, kkm_id int, operation_type tinyint, shift int, total_sum bigint, put_at timestamp, entity string, day int, total double"
@@ -222,3 +223,22 @@ def test_islands(spark, rows, n, span, slice_ms):
         b = None if a is None or r.random() < 0.05 else a + r.choice([-1, 0, 1, 2, 5, 20, span // 3])
         data.append((r.choice(["hot", "hot", "x", None]), a, b))
     assert rows(intervals.islands(spark.createDataFrame(data, "entity string, start bigint, stop bigint"), slice_ms)) == brute_islands(data)
+
+
+@pytest.mark.parametrize("n,m,seed", [(0, 10, 3), (300, 40, 4), (150, 300, 5)])
+def test_replayed_batches_meet_the_committed_state(spark, tmp_path, monkeypatch, n, m, seed):
+    """Each batch but the first joins the state, which holds what earlier runs took; the runs' rows stay the same."""
+    updates, runs = changelog(n, m, seed)
+    met, fresh = [], incremental.ChangeState.fresh
+    monkeypatch.setattr(incremental.ChangeState, "fresh", lambda self, df: met.append((len(self.deltas()), df.count() - fresh(self, df).count())) or fresh(self, df))
+    got = incremental.replay(incremental.ChangeState(spark, f"file://{tmp_path}/state"), spark.createDataFrame(updates, UPDATES), spark.createDataFrame(runs, RUNS))
+    assert sorted((x.run_id, x.entry_id, x.current) for x in got.collect()) == brute_runs(updates, runs)
+    assert [d for d, _ in met] == list(range(len(met))) and len(met) > 1
+    assert not n or met[-1][1] > 0
+
+
+def test_registered_runs_are_replayed(spark, monkeypatch):
+    seen, fresh = [], incremental.ChangeState.fresh
+    monkeypatch.setattr(incremental.ChangeState, "fresh", lambda self, df: seen.append(len(self.deltas())) or fresh(self, df))
+    problems.p5_found(spark, "/root/testdata/sf0.001")
+    assert max(seen) > 0
