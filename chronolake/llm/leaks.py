@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm.letters import letters
+from chronolake.llm.sentences import _edges, column_order, edge_columns
 
 #: Letters of the shortest match that counts, in alphabetic scripts and in scripts of syllables and ideographs.
 SEED, SEED_WIDE = 10, 5
@@ -237,8 +239,11 @@ def _searcher(suffixes: Suffixes):
             return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RESULT)], schema=_RESULT)
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for part in windows(text, overlap):
+            texts_in = batch["text"].to_pylist()
+            boxes = _edges(batch) if "x0" in batch.schema.names else [None] * len(texts_in)
+            for doc, text, edges in zip(batch["doc_id"].to_pylist(), texts_in, boxes, strict=True):
+                ordered = column_order(text, edges) if edges else None
+                for part in chain(windows(text, overlap), windows(ordered, overlap) if ordered else ()):
                     ids.append(doc)
                     texts.append(part)
                     held += len(part)
@@ -273,8 +278,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     ``share`` of them and the ``longest`` verbatim match. Only letters count; case, accents and look-alike letters are
     set aside. Null and empty texts hold nothing, a null doc_id is reported as such. The pages are read once and
     nothing of them is shuffled: each shard of pages is searched where it is read; a block of items is of bounded size.
+    A page whose columns alternate is searched in the order of its columns as well, by the boxes of its ``lines`` (if
+    there are any), and the better stretch counts.
     """
-    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", *(edge_columns() if "lines" in documents.columns else []))
     got = None
     for ids, texts in _blocks(items):
         part = pages.mapInArrow(_searcher(Suffixes(ids, texts)), RESULT)

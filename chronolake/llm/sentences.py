@@ -422,12 +422,11 @@ def _pieces(text: str, boxes: Boxes | None) -> list[tuple[int, int, int | None,
     return out
 
 
-def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
-    """The page's blocks in reading order, each a list of (begin, end): headings, adverts, paragraphs.
+Piece = tuple[int, int, int | None, int | None]
 
-    Headings and adverts are set in other sizes than the text around them; a paragraph begins with an indent. Lines of
-    several columns that alternate are put in the order of the columns.
-    """
+
+def _layout(text: str, boxes: Boxes | None) -> tuple[list[Piece], list[int], list[int], list[int], list[int] | None, float]:
+    """Pieces of lines, their kinds (0 for running text), the columns' left edges, each piece's column, the order of the columns (None unless columns alternate) and the usual height."""
     pieces = _pieces(text, boxes)
     heights = [h for _, _, _, h in pieces if h is not None and h > 0]
     body = median(heights) if heights else 0
@@ -470,10 +469,26 @@ def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
                 if inset >= 35 or text[a:b].isupper() or (j < i and inset < 14):
                     kinds[i] = kinds[j]
                     break
-    order = list(range(len(pieces)))
     turns = sum(1 for i in range(1, len(column)) if column[i] < column[i - 1])
-    if turns >= 2:
-        order.sort(key=lambda i: (column[i], i))  # articles flow from column to column
+    order = sorted(range(len(pieces)), key=lambda i: (column[i], i)) if turns >= 2 else None  # articles flow from column to column
+    return pieces, kinds, lefts, column, order, body
+
+
+def column_order(text: str, boxes: Boxes | None) -> str | None:
+    """The page's lines in the order of its columns; None if its columns don't alternate."""
+    pieces, *_, order, _ = _layout(text, boxes)
+    return None if order is None else "\n".join(text[pieces[i][0] : pieces[i][1]] for i in order)
+
+
+def _blocks(text: str, boxes: Boxes | None) -> list[list[tuple[int, int]]]:
+    """The page's blocks in reading order, each a list of (begin, end): headings, adverts, paragraphs.
+
+    Headings and adverts are set in other sizes than the text around them; a paragraph begins with an indent. Lines of
+    several columns that alternate are put in the order of the columns.
+    """
+    pieces, kinds, lefts, column, order, body = _layout(text, boxes)
+    if order is None:
+        order = list(range(len(pieces)))
     blocks: list[list[tuple[int, int]]] = []
     text_block: list[tuple[int, int]] | None = None
     other: list[tuple[int, int]] | None = None
@@ -568,6 +583,15 @@ def _table(got: pa.Table) -> np.ndarray:
 _EDGES = ("x0", "y0", "x1", "y1")
 
 
+def edge_columns() -> list[Column]:
+    """The edges of a page's lines as four columns of arrays, NO_EDGE for none."""
+
+    def edge(name: str) -> Column:
+        return F.transform("lines", lambda line: F.coalesce(line[name], F.lit(NO_EDGE))).alias(name)
+
+    return [edge(e) for e in _EDGES]
+
+
 def _edges(b: pa.RecordBatch) -> list[Boxes | None]:
     """The boxes of a batch's pages, cut out of the columns' values."""
     there = b["x0"].is_valid().to_pylist()
@@ -608,10 +632,6 @@ def sentences(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """
     lex = lexicon(documents)
     shared = documents.sparkSession.sparkContext.broadcast(lex.counts)
-    def edge(name: str) -> Column:
-        return F.transform("lines", lambda line: F.coalesce(line[name], F.lit(NO_EDGE))).alias(name)
-
-    edges = [edge(e) for e in _EDGES]
-    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", *edges)
+    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", *edge_columns())
     schema = "doc_id bigint, sent_end bigint" + (", sentence string" if with_text else "")
     return pages.mapInArrow(_splitter(shared, with_text), schema).dropDuplicates(["doc_id", "sent_end"])

@@ -113,3 +113,18 @@ def test_matches_are_the_longest(world):
 def test_letters_fold():
     flat, at = letters(["Éa1-Ω ß", None, "ПО́р"])
     assert [chr(c) for c in flat] == ["e", "a", "ω", "s", "п", "o", "p"] and at.tolist() == [0, 4, 4, 7]
+
+
+def test_columns_that_alternate_are_read_in_their_order(spark, world):
+    """A passage of just over a third runs from the foot of column 1 to the head of column 2; the lines alternate."""
+    r, items = world
+    words = items[7][1].split()[20:47]
+    lines = [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+    fill = lambda: passage(r, 4)
+    left, right = [*[fill() for _ in range(16)], *lines[:4]], [*lines[4:], *[fill() for _ in range(17)]]
+    text = "\n".join(x for pair in zip(left, right, strict=True) for x in pair)
+    boxes = [(x, 30 * i, x + 400, 30 * i + 20, 0.9) for i in range(20) for x in (0, 500)]
+    shape = "doc_id bigint, text string, lines array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>"
+    docs = spark.createDataFrame([(1, text, boxes), (2, text, None)], shape)
+    found = leaks.leaks(docs, spark.createDataFrame([(i, t) for i, t in items], "item_id bigint, text string"))
+    assert [(x.doc_id, x.item_id) for x in found.collect()] == [(1, 107)]
