@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from chronolake.llm.letters import letters
 from chronolake.llm.sentences import _edges, column_order, edge_columns
 
-#: Letters of the shortest match that counts, in alphabetic scripts and in scripts of syllables and ideographs.
+#: Letters of the shortest match that counts, in alphabetic scripts and in scripts of syllables and ideographs; no more
+#: than the least stretch of a short item.
 SEED, SEED_WIDE = 10, 5
 #: A page holds an item from this share of its letters on; a little is left for misread letters at either end.
 SHARE, SLACK = 1 / 3, 0.013
-#: A candidate covers this share of the item with matches of at least so many letters (in either kind of script).
-COVERED, LONG = 0.2, (14, 7)
+#: The least score of a chain of matches, as a share of the item's letters.
+SCORE = 0.2
+#: What a step between matches costs at least, near by and far off their diagonal, and what is near, in units.
+NEAR_STEP, FAR_STEP, NEAR = 1, 8, 25
+#: Up to so many matches are chained without arrays.
+FEW = 16
 #: Letters of test items searched at once; more items are searched in further blocks.
 BLOCK_LETTERS = 4_000_000
 #: Characters of pages whose suffixes form one shard, and how much of a longer page is read at once.
@@ -39,6 +44,11 @@ def _five(codes: np.ndarray) -> np.ndarray:
     return (four[:-1] << np.uint64(_BITS)) | c[4:]
 
 
+def _head(five: np.ndarray, seed: int) -> np.ndarray:
+    """Packed letters cut to the first ``seed``, if those are fewer."""
+    return five >> np.uint64(_BITS * max(0, 5 - seed))
+
+
 def _slot(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
     x = first * _MIX0
     if second is not None:
@@ -61,13 +71,15 @@ class Suffixes:
         self.is_wide = (wide_share > self.sizes / 2) & (self.sizes > 0)
         item = np.repeat(np.arange(len(ids)), self.sizes)
         place = np.arange(len(flat)) - at[item] if len(flat) else np.zeros(0, np.int64)
+        least = np.ceil((SHARE - SLACK) * self.sizes).astype(np.int64)
+        seeds = np.minimum(np.where(self.is_wide, SEED_WIDE, SEED), least)
+        seeds = np.where(seeds < SEED, np.minimum(seeds, 5), seeds)  # heads are of up to five letters, or of ten
+        five = _five(np.r_[code, np.zeros(9, code.dtype)])
         self.kinds = []
-        for wide in (False, True):
-            seed = SEED_WIDE if wide else SEED
-            starts = np.flatnonzero((self.is_wide[item] == wide) & (place + seed <= self.sizes[item])) if len(flat) else np.zeros(0, np.int64)
-            five = _five(code) if len(code) >= 5 else np.zeros(0, np.uint64)
-            first = five[starts]
-            second = None if wide else five[starts + 5]
+        for wide, seed in sorted({(bool(w), int(s)) for w, s, n in zip(self.is_wide, seeds, self.sizes, strict=True) if n}):
+            starts = np.flatnonzero((self.is_wide[item] == wide) & (seeds[item] == seed) & (place + seed <= self.sizes[item]))
+            first = _head(five[starts], seed)
+            second = five[starts + 5] if seed == SEED else None
             table = np.zeros(1 << 22, bool)
             table[_slot(first, second)] = True
             heads, tails = np.unique(first), np.unique(second) if second is not None else None
@@ -75,7 +87,7 @@ class Suffixes:
             if second is not None:
                 rank = (rank << 31) | np.searchsorted(tails, second)
             order = np.argsort(rank, kind="stable")
-            self.kinds.append((seed, table, heads, tails, rank[order], item[starts][order], place[starts][order]))
+            self.kinds.append((wide, seed, table, heads, tails, rank[order], item[starts][order], place[starts][order]))
 
     def encode(self, flat: np.ndarray) -> np.ndarray:
         """Codes in the alphabet's order, 0 for foreign letters; a larger alphabet than fits shares codes."""
@@ -103,12 +115,12 @@ def _matches(suffixes: Suffixes, kind: int, code: np.ndarray, at: np.ndarray, fi
     can match. Each test suffix is found in it by binary search; matches at successive places of one diagonal are parts
     of one longer match.
     """
-    seed, table, heads, tails, ranks, item, place = suffixes.kinds[kind]
+    _, seed, table, heads, tails, ranks, item, place = suffixes.kinds[kind]
     none = (np.zeros(0, np.int64),) * 5
     n = len(code) - seed + 1
     if n <= 0 or not len(ranks):
         return none
-    first, second = five[:n], five[5 : 5 + n] if tails is not None else None
+    first, second = _head(five[:n], seed), five[5 : 5 + n] if tails is not None else None
     p = np.flatnonzero(table[_slot(first, second)])
     h = np.minimum(np.searchsorted(heads, first[p]), len(heads) - 1)
     same = heads[h] == first[p]
@@ -148,6 +160,21 @@ def _covered(pair: np.ndarray, q: np.ndarray, length: np.ndarray, n: int) -> np.
     return np.bincount(pair, fresh, n)
 
 
+def _bound(pair: np.ndarray, p: np.ndarray, q: np.ndarray, length: np.ndarray, n: int, unit: float) -> np.ndarray:
+    """No chain of a pair 0..n-1 can score more than this.
+
+    Each match but a chain's first pays at least a step, a far one unless another match lies near its diagonal; what it
+    adds is then covered by the match without that many letters at its start.
+    """
+    diagonal = p - q
+    order = np.lexsort((diagonal, pair))
+    near = (np.diff(pair[order]) == 0) & (np.diff(diagonal[order]) <= NEAR * unit)
+    step = np.empty(len(pair))
+    step[order] = np.where(np.r_[near, False] | np.r_[False, near], NEAR_STEP, FAR_STEP) * unit
+    step = np.minimum(np.floor(step).astype(np.int64), length)
+    return _covered(pair, q + step, length - step, n) + FAR_STEP * unit
+
+
 def _chain(p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float) -> tuple[float, int, int, int]:
     """The best run of matches in order: its score, where it begins and ends in the item, letters matched.
 
@@ -157,6 +184,8 @@ def _chain(p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float) -> tup
     order = np.lexsort((q, p))
     p, q, length = p[order], q[order], length[order]
     n = len(p)
+    if n <= FEW:
+        return _chain_of_few(p.tolist(), q.tolist(), length.tolist(), unit)
     score, begin, matched = length.astype(np.float64), q.copy(), length.copy()
     reach = np.searchsorted(p, p - 1000 * unit - length.max())  # none before can be near enough
     for j in range(1, n):
@@ -167,8 +196,8 @@ def _chain(p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float) -> tup
         if not ok.any():
             continue
         gq, gp = np.maximum(gap_q, 0), np.maximum(gap_p, 0)
-        near = np.abs(gap_p - gap_q) <= 25 * unit
-        cost = np.where(near, unit + 0.25 * np.maximum(gq, gp), 8 * unit + 0.25 * gq + 0.004 * gp) + over
+        near = np.abs(gap_p - gap_q) <= NEAR * unit
+        cost = np.where(near, NEAR_STEP * unit + 0.25 * np.maximum(gq, gp), FAR_STEP * unit + 0.25 * gq + 0.004 * gp) + over
         value = np.where(ok, score[near_by] - cost, -np.inf)
         k = int(np.argmax(value))
         if value[k] > 0:
@@ -179,6 +208,31 @@ def _chain(p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float) -> tup
     return float(score[j]), int(begin[j]), int(q[j] + length[j]), int(matched[j])
 
 
+def _chain_of_few(p: list[int], q: list[int], length: list[int], unit: float) -> tuple[float, int, int, int]:
+    """The same for a few sorted matches, for which arrays cost more than they save."""
+    score, begin, matched = [float(x) for x in length], q[:], length[:]
+    far = 1000 * unit + max(length)
+    for j in range(1, len(p)):
+        pj, qj, lj, top, best, lost = p[j], q[j], length[j], 0.0, -1, 0
+        for i in range(j):
+            gap_q, gap_p = qj - q[i] - length[i], pj - p[i] - length[i]
+            if p[i] < pj - far or qj <= q[i] or gap_q > 45 * unit or gap_p > 1000 * unit:
+                continue
+            over = max(0, -min(gap_q, gap_p))
+            if over >= min(lj, length[i]) - 2 * unit:
+                continue
+            gq, gp = max(gap_q, 0), max(gap_p, 0)
+            cost = NEAR_STEP * unit + 0.25 * max(gq, gp) if abs(gap_p - gap_q) <= NEAR * unit else FAR_STEP * unit + 0.25 * gq + 0.004 * gp
+            value = score[i] - (cost + over)
+            if value > top:
+                top, best, lost = value, i, over
+        if best >= 0:
+            score[j] += top
+            begin[j], matched[j] = begin[best], matched[best] + lj - lost
+    j = max(range(len(p)), key=score.__getitem__)
+    return score[j], begin[j], q[j] + length[j], matched[j]
+
+
 RESULT = "doc_id bigint, item_id bigint, from_letter int, to_letter int, share double, longest int"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("from_letter", pa.int32()), ("to_letter", pa.int32()), ("share", pa.float64()), ("longest", pa.int32())])
 
@@ -187,13 +241,10 @@ def search(suffixes: Suffixes, coder: np.ndarray, ids: list[int], texts: list[st
     """(page id, item id, first and last letter of the item's stretch, its share, longest verbatim match) of one shard."""
     flat, at = letters(texts)
     code = coder[flat]
-    if len(code) < SEED_WIDE:
-        return []
-    five = _five(code)
+    five = _five(np.r_[code, np.zeros(4, code.dtype)])
     out = []
-    for kind, unit in ((0, 1.0), (1, 0.4)):
-        if kind == 0 and len(code) < SEED:
-            continue
+    for kind, (wide, *_) in enumerate(suffixes.kinds):
+        unit = 0.4 if wide else 1.0
         page, item, p, q, length = _matches(suffixes, kind, code, at, five)
         if not len(page):
             continue
@@ -201,14 +252,14 @@ def search(suffixes: Suffixes, coder: np.ndarray, ids: list[int], texts: list[st
         starts, pair = np.flatnonzero(new), np.cumsum(new) - 1
         size = suffixes.sizes[item[starts]]
         longest = np.maximum.reduceat(length, starts)
-        long = length >= LONG[kind]
-        enough = np.flatnonzero(_covered(pair[long], q[long], length[long], len(starts)) >= COVERED * size)
+        # lossless: whatever the chain would take passes both bounds
+        enough = np.flatnonzero((_covered(pair, q, length, len(starts)) >= SCORE * size) & (_bound(pair, p, q, length, len(starts), unit) >= SCORE * size))
         ends = np.r_[starts[1:], len(page)]
         for k in enough:
             a, b, n = starts[k], ends[k], int(size[k])
             score, begin, end, matched = _chain(p[a:b], q[a:b], length[a:b], unit)
             stretch = end - begin
-            if stretch >= (SHARE - SLACK) * n and matched >= 0.5 * stretch and score >= 0.2 * n:
+            if stretch >= (SHARE - SLACK) * n and matched >= 0.5 * stretch and score >= SCORE * n:
                 out.append((ids[page[a]], int(suffixes.ids[item[a]]), begin, end, stretch / n, int(longest[k])))
     return out
 

@@ -128,3 +128,31 @@ def test_columns_that_alternate_are_read_in_their_order(spark, world):
     docs = spark.createDataFrame([(1, text, boxes), (2, text, None)], shape)
     found = leaks.leaks(docs, spark.createDataFrame([(i, t) for i, t in items], "item_id bigint, text string"))
     assert [(x.doc_id, x.item_id) for x in found.collect()] == [(1, 107)]
+
+
+def test_short_items_and_pieces_of_ten_letters_are_found(spark, world):
+    """Items of 29 and 12 letters held by ten and four of them, and a third of a long item whose pieces have 11 letters."""
+    r, items = world
+    whole = letters([items[8][1]])[0]
+    n = len(whole)
+    cut = "".join(map(chr, whole[30 : 30 + n // 3 + 8]))
+    pieces = "".join(c if i % 12 != 11 else "ж" for i, c in enumerate(cut))
+    short = [(300, "vexing zephyrs jumbled quick flaxy"), (301, "qzvx kwjy pfgb"), (302, "旧的租户答应在商店修理")]
+    pages = [passage(r, 30) + " zephyrsjum " + passage(r, 30), "a qzvx b", passage(r, 30) + " " + pieces + " " + passage(r, 30), passage(r, 60), "塔答应在商高"]
+    assert set(run(spark, [items[8], *short], pages)) == {(0, 300), (1, 301), (2, 108), (4, 302)}
+
+
+def test_no_chain_scores_more_than_its_bounds(monkeypatch):
+    """The bounds before the chain lose nothing, and few matches chain as many do."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n, unit = int(r.integers(1, 14)), float(r.choice([1.0, 0.4]))
+        q, length = r.integers(0, 150, n), r.integers(4, 30, n)
+        p = np.where(r.random(n) < 0.5, q + 40 + r.integers(-9, 9, n), r.integers(0, 1500, n))
+        few = leaks._chain(p, q, length, unit)
+        with monkeypatch.context() as m:
+            m.setattr(leaks, "FEW", 0)
+            assert leaks._chain(p, q, length, unit) == few
+        pair = np.zeros(n, np.int64)
+        assert few[0] <= leaks._covered(pair, q, length, 1)[0] + 1e-9
+        assert few[0] <= leaks._bound(pair, p, q, length, 1, unit)[0] + 1e-9
