@@ -145,8 +145,8 @@ _QUOTE = re.compile(f"[{re.escape(QUOTES)}]")
 MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember January February March May June July October December".split())
 # Words of who said it, which follow a quotation in scripts without capitals.
 SAID = re.compile(r"\s*(?:と|[^。！？：:「“『]{0,14}(?:说|說|问|問|答|喊)道?\s*[。．.！？]|(?:قال|قالت|سأل|سألت|أجاب|صاح|رد)\b[^:.!؟]{0,30}[.!؟]|[^।!?:]{0,30}(?:कहा|पूछा|बोला|उत्तर दिया|जवाब दिया)\s*[।.|!?])")
-#: How many candidates back a sentence may begin.
-REACH = 24
+#: Words up to which a sentence's length costs nothing, and what each further one costs.
+LONG_WORDS, LONG_COST = 50, 0.04
 
 
 def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
@@ -343,22 +343,27 @@ def segment(s: str, lex: Lexicon) -> list[int]:
         blanks = [m.start() for m in _BLANKS.finditer(s)]
         words = [bisect_left(blanks, p) + 1 if p else 0 for p, _, _ in places]
     best, back = [0.0] + [-1e18] * (n - 1), [0] * n
+    # the best score up to each place, as it is and with what words before it save in length
+    most, saved = [0.0] * n, [0.0] * n
     cased = _CASED.search(s) is not None
     for j in range(1, n):
         wj, dj, top, arg = words[j], depth[j], -1e18, 0
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
+        for i in range(j - 1, -1, -1):
+            if top >= most[i] or top > saved[i] - LONG_COST * (wj - LONG_WORDS) + 1e-9:
+                break  # no sentence that begins at i or before is better
             v, length = best[i], wj - words[i]
             if dj != depth[i]:
                 v -= 5.0 * abs(dj - depth[i])
             if length < 4:
                 v -= 1.2 * (4 - length)
-            elif length > 50:
-                v -= 0.04 * (length - 50)
+            elif length > LONG_WORDS:
+                v -= LONG_COST * (length - LONG_WORDS)
             if not cased and i and length < 5 and s[places[i][0] - 1] in "\"'“”‘’«»」』":
                 v -= 5.0  # who said it belongs to what was said
             if v > top:
                 top, arg = v, i
         best[j], back[j] = top + places[j][1], arg
+        most[j], saved[j] = max(most[j - 1], best[j]), max(saved[j - 1], best[j] + LONG_COST * wj)
     out, j = [], n - 1
     while j:
         out.append(places[j][0])

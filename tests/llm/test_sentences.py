@@ -109,3 +109,11 @@ def test_pages_of_a_table(spark):
         ends.setdefault(x.doc_id, []).append(x.sent_end)
     assert ends.keys() == {1, 4, 5} and sorted(ends[4]) == [8, 36] and len(ends[1]) == len(set(ends[1]))
     assert S.sentences(df.limit(0)).count() == 0
+
+
+def test_a_sentence_of_many_candidates_is_not_cut_by_force(lex, monkeypatch):
+    """Forty places at which a sentence might end, each worse than none, all inside one sentence."""
+    s = "The man met " + " and ".join(f"x{i}." for i in range(40)) + " there. The bell rang."
+    inner = [i + 1 for i, c in enumerate(s[:-24]) if c == "."]
+    monkeypatch.setattr(S, "_candidates", lambda text, _: [(i, -3.0, i) for i in inner if i < s.index(" there")] + [(s.index(" The bell"), 6.0, s.index(" The bell") + 1)])
+    assert S.segment(s, lex) == [s.index(" The bell"), len(s)]
