@@ -140,6 +140,18 @@ def _quote_depths(s: str) -> list[tuple[int, int]]:
     return out
 
 
+def _paired(s: str, quotes: list[tuple[int, int]]) -> list[bool]:
+    """Which of the marks have their partner, a quotation mark or a bracket as they are."""
+    held, stack = [False] * len(quotes), []
+    for k, (i, way) in enumerate(quotes):
+        if way > 0:
+            stack.append(k)
+        elif stack and (s[quotes[stack[-1]][0]] in _BRACKETS) == (s[i] in _BRACKETS):
+            held[k] = held[stack.pop()] = True
+    return held
+
+
+_BRACKETS = "()（）[]【】"
 _QUOTE = re.compile(f"[{re.escape(QUOTES)}]")
 # Months that are written with a capital behind an ordinal number.
 MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember January February March May June July October December".split())
@@ -328,13 +340,18 @@ def segment(s: str, lex: Lexicon) -> list[int]:
     n = len(places)
     if n == 2:
         return [end]
-    # depth of quotation and words before each place
-    quotes, depth, qi = _quote_depths(s), [], 0
-    d = 0
+    # before each place: how many quotations and brackets it lies in, marks without their partner, and words
+    quotes = _quote_depths(s)
+    held = _paired(s, quotes)
+    inside, depth, qi, e, d = [], [], 0, 0, 0
     for p, _, _ in places:
         while qi < len(quotes) and quotes[qi][0] < p:
-            d += quotes[qi][1]
+            if held[qi]:
+                e += quotes[qi][1]
+            else:
+                d += quotes[qi][1]
             qi += 1
+        inside.append(e)
         depth.append(d)
     wide = bool(_WIDE.search(s))
     if wide or thai:
@@ -362,7 +379,7 @@ def segment(s: str, lex: Lexicon) -> list[int]:
                 v -= 5.0  # who said it belongs to what was said
             if v > top:
                 top, arg = v, i
-        best[j], back[j] = top + places[j][1], arg
+        best[j], back[j] = top + places[j][1] - 10.0 * inside[j], arg
         most[j], saved[j] = max(most[j - 1], best[j]), max(saved[j - 1], best[j] + LONG_COST * wj)
     out, j = [], n - 1
     while j:

@@ -117,3 +117,10 @@ def test_a_sentence_of_many_candidates_is_not_cut_by_force(lex, monkeypatch):
     inner = [i + 1 for i, c in enumerate(s[:-24]) if c == "."]
     monkeypatch.setattr(S, "_candidates", lambda text, _: [(i, -3.0, i) for i in inner if i < s.index(" there")] + [(s.index(" The bell"), 6.0, s.index(" The bell") + 1)])
     assert S.segment(s, lex) == [s.index(" The bell"), len(s)]
+
+
+def test_quotations_of_several_sentences_are_not_cut(lex):
+    quotation = "“The bell rang. Their dog slept near the gate! The man saw the bell! A man called the dog.”"
+    assert units(f"{quotation} The gate was shut.", lex) == [quotation, "The gate was shut."]
+    assert "「狗在门边。人走了！钟响了！门关了。」" in units("他说「狗在门边。人走了！钟响了！门关了。」那人走了。", lex)[0]
+    assert units("“The bell rang. The dog slept near the gate. The man saw the bell.", lex)[1:] == ["The dog slept near the gate.", "The man saw the bell."]
