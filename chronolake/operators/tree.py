@@ -19,7 +19,7 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[
     ``aggs``: result name -> (kind, input column), kind one of count, sum, min, max. Leaves are chunks of ``chunk_rows``
     consecutive rows of one input partition, combined where they were read. Each round then merges up to ``fan_in``
     neighbouring states of a key, until one round covers all: log_fan_in(chunks) rounds, no merge step receiving more
-    than ``fan_in`` states of any one key. Since every chunk lies in one partition, the leaves' states are complete
+    than ``fan_in`` states of any one key; the largest partition's rows are counted for that. Since every chunk lies in one partition, the leaves' states are complete
     after the map-side combine, and only they are shuffled. An empty input has no keys and gives no rows.
     """
     partitions = max(1, df.rdd.getNumPartitions())
@@ -29,14 +29,22 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[
     state = df.select(*keys, leaf, *[c.alias(f"_in_{n}") for n, (_, c) in aggs.items()])
     state = state.groupBy(*keys, "_node").agg(*[FOLD[k](f"_in_{n}").alias(n) for n, (k, _) in aggs.items()])
     # a partition's chunks first, then partitions; ids are sparse, so the first rounds work on the chunks of a partition
-    shrink = F.floor(F.col("_node") / per)
-    state = _merge(state, keys, aggs, shrink)
+    node, chunks = F.col("_node"), math.ceil(_largest_partition(df) / chunk_rows)
+    while chunks > fan_in:
+        state = _merge(state, keys, aggs, F.floor(node / per) * per + F.floor(node % per / fan_in))
+        chunks = math.ceil(chunks / fan_in)
+    state = _merge(state, keys, aggs, F.floor(node / per))
     while partitions > 1:
         state = _merge(state, keys, aggs, F.floor(F.col("_node") / fan_in))
         partitions = math.ceil(partitions / fan_in)
     return state.select(*keys, *aggs)
 
 
+def _largest_partition(df: DataFrame) -> int:
+    """Rows of the input partition that has the most."""
+    return df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def _merge(state: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, Column]], node: Column) -> DataFrame:
     return state.select(*keys, node.alias("_node"), *aggs).groupBy(*keys, "_node").agg(*[MERGE[k](n).alias(n) for n, (k, _) in aggs.items()])
 

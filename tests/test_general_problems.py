@@ -242,3 +242,20 @@ def test_registered_runs_are_replayed(spark, monkeypatch):
     monkeypatch.setattr(incremental.ChangeState, "fresh", lambda self, df: seen.append(len(self.deltas())) or fresh(self, df))
     problems.p5_found(spark, "/root/testdata/sf0.001")
     assert max(seen) > 0
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_no_merge_gets_more_states_of_a_key_than_the_fan_in(spark, monkeypatch, partitions):
+    """A hot key in 64 chunks of four rows, merged four at a time."""
+    most, merge = [], tree._merge
+
+    def counted(state, keys, aggs, node):
+        most.append(state.groupBy(*keys, node.alias("_to")).count().agg(F.max("count")).first()[0])
+        return merge(state, keys, aggs, node)
+
+    monkeypatch.setattr(tree, "_merge", counted)
+    df = spark.range(0, 256 * partitions, 1, partitions).select((F.col("id") % 50 == 49).alias("k"), "id")
+    got = tree.tree_aggregate(df, ["k"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("id"))}, chunk_rows=4, fan_in=4)
+    want = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert max(most) <= 4 and len(most) >= 3
