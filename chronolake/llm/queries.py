@@ -17,12 +17,27 @@ MAX_RANK_ERROR = 0.01
 
 
 def p4_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expsketch.distinct_counts(expsketch.receipt_distinct(table(spark, sf_dir, "kkm_items"), table(spark, sf_dir, "receipt")))
+    return expsketch.distinct_counts(expsketch.receipt_distinct(table(spark, sf_dir, "kkm_items"), table(spark, sf_dir, "receipt"))).drop("exact")
+
+
+#: What no estimate of a distinct count may be off by: five standard errors and a little, as a share of the count.
+MAX_COUNT_ERROR = 0.17
+
+
+def p4_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group with its exact count, as far as the registers' estimate keeps within MAX_COUNT_ERROR of it."""
+    items, receipt = table(spark, sf_dir, "kkm_items"), table(spark, sf_dir, "receipt")
+    keys = ("table_name", "dim_name", "grouped_by", "day_utc", "kkm_id", "operation_type")
+    estimated = p4_distinct(spark, sf_dir).select(*keys, "estimate", F.lit(None).cast("bigint").alias("n"))
+    counted = expsketch.exact_counts(items, receipt).select(*keys, F.lit(None).cast("double").alias("estimate"), "n")
+    both = estimated.unionByName(counted).groupBy(*keys).agg(F.max("estimate").alias("estimate"), F.max("n").alias("n"))
+    return both.where(F.abs(F.col("estimate") / F.col("n") - 1) <= MAX_COUNT_ERROR).select(*keys, "n")
 
 
 def p4_small_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts of sets that a sketch holds as hashes, which are exact."""
-    return p4_distinct(spark, sf_dir).where("exact").select("table_name", "dim_name", "grouped_by", "day_utc", "kkm_id", F.col("operation_type"), F.col("estimate").cast("bigint").alias("n"))
+    """The lengths of the lists that hold short sketches, which are exact counts."""
+    got = expsketch.distinct_counts(expsketch.receipt_distinct(table(spark, sf_dir, "kkm_items"), table(spark, sf_dir, "receipt")), exact_lists=True)
+    return got.where("exact").select("table_name", "dim_name", "grouped_by", "day_utc", "kkm_id", F.col("operation_type"), F.col("estimate").cast("bigint").alias("n"))
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +90,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), with_text=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_small_sets, p6_percentiles, p6_certified, p8_pack, p8_fill, p9_found, p9_stretches, p9_clean, p10_found, p10_sentences)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_bounded, p4_small_sets, p6_percentiles, p6_certified, p8_pack, p8_fill, p9_found, p9_stretches, p9_clean, p10_found, p10_sentences)}
 
 
 
@@ -84,7 +99,7 @@ def _grouped_by(a: str, b: str, c: str) -> str:
     return f"coalesce(nullif(concat_ws(',', CASE WHEN GROUPING({a}) = 0 THEN '{a.replace('day_utc', 'day')}' END, CASE WHEN GROUPING({b}) = 0 THEN '{b.replace('day_utc', 'day')}' END, CASE WHEN GROUPING({c}) = 0 THEN '{c.replace('day_utc', 'day')}' END), ''), 'total')"
 
 
-def _small_sets() -> str:
+def _exact_counts(condition: str) -> str:
     day = "strftime(dp_time AT TIME ZONE 'UTC', '%Y-%m-%d') AS day_utc"
     parts = []
     for name, source in (("customer_code", "kkm_items"), ("item", "kkm_items")):
@@ -93,11 +108,12 @@ def _small_sets() -> str:
     for label, source in (("kkm_items", "kkm_items"), ("receipt", "receipt"), ("all", both)):
         names = "coalesce(nullif(concat_ws(',', CASE WHEN GROUPING(day_utc) = 0 THEN 'day' END, CASE WHEN GROUPING(operation_type) = 0 THEN 'operation_type' END), ''), 'total')"
         parts.append(f"SELECT '{label}' AS table_name, 'kkm_id' AS dim_name, {names} AS grouped_by, day_utc, CAST(NULL AS INTEGER) AS kkm_id, operation_type, count(DISTINCT x) AS n FROM (SELECT {day}, operation_type, kkm_id AS x FROM {source}) GROUP BY CUBE (day_utc, operation_type)")
-    return "SELECT table_name, dim_name, grouped_by, day_utc, CAST(kkm_id AS INTEGER) AS kkm_id, CAST(operation_type AS INTEGER) AS operation_type, n FROM (" + " UNION ALL ".join(parts) + f") WHERE n BETWEEN 1 AND {expsketch.SPARSE}"
+    return "SELECT table_name, dim_name, grouped_by, day_utc, CAST(kkm_id AS INTEGER) AS kkm_id, CAST(operation_type AS INTEGER) AS operation_type, n FROM (" + " UNION ALL ".join(parts) + f") WHERE {condition}"
 
 
 SQL: dict[str, str] = {
-    "p4_small_sets": _small_sets(),
+    "p4_bounded": _exact_counts("n >= 1"),
+    "p4_small_sets": _exact_counts(f"n BETWEEN 1 AND {expsketch.SEEDS}"),
     "p6_certified": "WITH once AS (SELECT * FROM query_metrics QUALIFY row_number() OVER (PARTITION BY query_id, partition_id ORDER BY total_duration DESC NULLS LAST, state DESC NULLS LAST, engine DESC NULLS LAST, start_date DESC NULLS LAST) = 1), "
     "log AS (SELECT upper(trim(engine)) AS engine, upper(trim(state)) AS state, strftime(start_date AT TIME ZONE 'UTC', '%Y-%m-%d') AS day_utc FROM once WHERE total_duration >= 0) "
     f"SELECT {_grouped_by('engine', 'state', 'day_utc')} AS grouped_by, engine, state, day_utc, count(*) AS n, true AS within_bound FROM log GROUP BY CUBE (engine, state, day_utc)",

@@ -65,10 +65,13 @@ def test_distinct_counts(spark, n, partitions):
             want = exact(data, dim, keys)
             assert mine.keys() == want.keys()
             for k, x in mine.items():
-                assert x.estimate == want[k] if x.exact else abs(x.estimate / want[k] - 1) < 0.12
-                assert x.exact == (want[k] <= expsketch.SPARSE) and x.ci_low <= x.estimate <= x.ci_high
+                assert not x.exact and abs(x.estimate / want[k] - 1) < 0.17 and x.ci_low <= x.estimate <= x.ci_high
+    listed = expsketch.distinct_counts(expsketch.receipt_distinct(df, receipt), exact_lists=True).where("exact AND dim_name = 'item' AND grouped_by = 'kkm_id'").collect()
+    want = exact(data, "item", ("kkm_id",))
+    assert {(x.kkm_id,): x.estimate for x in listed} == {k: n for k, n in want.items() if n <= expsketch.SEEDS}
     both = [x for x in got if x.table_name == "all" and x.grouped_by == "total"]
-    assert [x.estimate for x in both] == ([2.0] if n > 1 else [float(sum(exact(data, "kkm_id", ()).values()))] if n and exact(data, "kkm_id", ()) else [])
+    want = exact(data, "kkm_id", ())
+    assert len(both) == len(want) and all(abs(x.estimate / sum(want.values()) - 1) < 0.17 for x in both)
 
 
 def test_partial_sketches_merge_over_days_and_runs(spark):
@@ -80,14 +83,14 @@ def test_partial_sketches_merge_over_days_and_runs(spark):
     parts = [expsketch.receipt_distinct(df.where(F.coalesce(F.dayofmonth("dp_time"), F.lit(0)) == d), none) for d in (0, 1, 2, 3)]
     again = expsketch.merge_sketches(parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]))
     key = lambda x: (x.src, x.dim, x.kept, x.code)
-    a, b = {key(x): (x.hashes, x.mins) for x in whole.collect()}, {key(x): (x.hashes, x.mins) for x in again.collect()}
+    a, b = {key(x): (x.seeds, x.mins) for x in whole.collect()}, {key(x): (x.seeds, x.mins) for x in again.collect()}
     assert a == b and any(m is not None for _, m in a.values())
 
 
 def test_merging_in_small_steps(spark, monkeypatch):
     """Groups that lie across many batches are carried on."""
-    monkeypatch.setattr(expsketch, "SPARSE", 4)
-    rows = [pa.record_batch([pa.array([0], pa.int8()), pa.array([0], pa.int8()), pa.array([0], pa.int8()), pa.array([g]), pa.array([np.arange(i, i + 3).tobytes()]), pa.nulls(1, pa.binary())], names=["src", "dim", "kept", "code", "hashes", "mins"]) for g in (1, 2) for i in range(g * 3)]
+    monkeypatch.setattr(expsketch, "SEEDS", 4)
+    rows = [pa.record_batch([pa.array([0]), pa.array([0], pa.int8()), pa.array([0], pa.int8()), pa.array([0], pa.int8()), pa.array([g]), pa.array([np.arange(i, i + 3).tobytes()]), pa.nulls(1, pa.binary())], names=["node", "src", "dim", "kept", "code", "seeds", "mins"]) for g in (1, 2) for i in range(g * 3)]
     carry, done = None, []
     for b in rows:
         t = expsketch._plain([b])
@@ -100,6 +103,34 @@ def test_merging_in_small_steps(spark, monkeypatch):
     assert np.array_equal(np.frombuffer(got[2]["mins"], np.float32), expsketch.registers(np.arange(8)))
 
 
+def test_sets_of_single_hashes_have_the_registers_of_the_whole():
+    r = np.random.default_rng(4)
+    hashes, sizes = r.integers(-(2**63), 2**63 - 1, 900), np.array([1, 2, 1, 40, 500, 300, 56])
+    sets = np.split(hashes, np.cumsum(sizes)[:-1])
+    assert np.array_equal(expsketch.vectors(sets[3]).min(axis=0), expsketch.registers(sets[3]))
+    assert np.allclose(expsketch.Vectors().sums(hashes, sizes), [expsketch.registers(x).sum(dtype=np.float64) for x in sets], rtol=1e-9)
+
+
+def test_intervals_hold_small_counts_too():
+    r, inside = np.random.default_rng(6), 0
+    for k in range(400):
+        n = int(r.choice([1, 2, 5, 30]))
+        total = expsketch.Vectors().sums(r.integers(-(2**63), 2**63 - 1, n), np.array([n]))
+        est, low, high = expsketch.estimate(total)
+        inside += low[0] <= n <= high[0]
+    assert 0.91 <= inside / 400 <= 0.985
+
+
+def test_coarse_groups_merge_in_rounds(spark, monkeypatch):
+    """More tasks than may meet in one merge: the counts are those of a single round."""
+    monkeypatch.setattr(expsketch, "FAN_IN", 2)
+    df = spark.createDataFrame(items(6000, 8), SHAPE).repartition(7)
+    none = df.limit(0).select("dp_time", "kkm_id", "operation_type")
+    rounds = {tuple(x) for x in expsketch.receipt_distinct(df, none).collect()}
+    monkeypatch.setattr(expsketch, "FAN_IN", 64)
+    assert rounds == {tuple(x) for x in expsketch.receipt_distinct(df, none).collect()}
+
+
 def test_cluster_bounds():
     r = np.random.default_rng(1)
     for values in (r.normal(size=50000), np.zeros(1000), r.integers(0, 5, 10000).astype(float), np.array([1.0])):
