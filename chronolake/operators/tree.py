@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolake.session import written
+
 #: How two partial states of each kind become one.
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 FOLD = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
@@ -49,34 +51,36 @@ def _merge(state: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str,
     return state.select(*keys, node.alias("_node"), *aggs).groupBy(*keys, "_node").agg(*[MERGE[k](n).alias(n) for n, (k, _) in aggs.items()])
 
 
-#: The dimensions a few values dominate: table, dimension, amount.
-SKEWED = (("kkm_items", "kkm_id", "sum_cents"), ("kkm_items", "item", "sum_cents"), ("receipt", "kkm_id", "total_sum"))
+#: The dimensions a few values dominate, and the amount of a row: by table.
+SKEWED = {"kkm_items": (("kkm_id", "item"), "sum_cents"), "receipt": (("kkm_id",), "total_sum")}
+
+
+def _by_value(df: DataFrame, dims: Sequence[str], aggs: Mapping[str, tuple[str, Column]], fan_in: int = 32) -> DataFrame:
+    """``aggs`` for every value of each dimension, all from one scan: a row counts once under each dimension."""
+    inputs = {f"_v_{n}": c for n, (_, c) in aggs.items()}
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim_name"), F.col(d).cast("string").alias("dim_value")) for d in dims])
+    wide = df.select(F.explode(pairs).alias("_p"), *[c.alias(n) for n, c in inputs.items()]).select("_p.*", *inputs)
+    return tree_aggregate(wide, ["dim_name", "dim_value"], {n: (k, F.col(f"_v_{n}")) for n, (k, _) in aggs.items()}, fan_in=fan_in)
 
 
 def skewed_totals(tables: Mapping[str, DataFrame], fan_in: int = 32) -> DataFrame:
     """Row count, total amount and first and last time for every value of each skewed dimension, as written."""
     parts = []
-    for name, dim, amount in SKEWED:
+    for name, (dims, amount) in SKEWED.items():
         aggs = {"n_rows": ("count", F.lit(1)), "total_cents": ("sum", F.col(amount)), "first_time": ("min", F.col("dp_time")), "last_time": ("max", F.col("dp_time"))}
-        got = tree_aggregate(tables[name], [dim], aggs, fan_in=fan_in)
-        parts.append(got.select(F.lit(name).alias("table_name"), F.lit(dim).alias("dim_name"), F.col(dim).cast("string").alias("dim_value"), *aggs))
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+        got = _by_value(tables[name], dims, aggs, fan_in)
+        parts.append(got.select(F.lit(name).alias("table_name"), "dim_name", "dim_value", *aggs))
+    return parts[0].unionAll(parts[1])
 
 
 def heavy_values(tables: Mapping[str, DataFrame], share: float = 0.04) -> DataFrame:
     """Values that at least ``share`` of the table's stored rows hold; null is not a value but its rows are stored.
 
-    The table sizes are one row a table (two in all), so the join broadcasts them.
+    The counts are written once; the tables' sizes are their sums, one row a table (two in all), which the join broadcasts.
     """
-    parts = []
-    for name, dim, _ in SKEWED:
-        got = tree_aggregate(tables[name], [dim], {"n_rows": ("count", F.lit(1))})
-        parts.append(got.where(F.col(dim).isNotNull()).select(F.lit(name).alias("table_name"), F.lit(dim).alias("dim_name"), F.col(dim).cast("string").alias("dim_value"), "n_rows"))
-    sizes = [df.agg(F.count(F.lit(1)).alias("stored")).select(F.lit(name).alias("table_name"), "stored") for name, df in tables.items()]
-    stored = sizes[0]
-    for s in sizes[1:]:
-        stored = stored.unionAll(s)
-    values = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    parts = [_by_value(tables[name], dims, {"n_rows": ("count", F.lit(1))}).select(F.lit(name).alias("table_name"), "dim_name", "dim_value", "n_rows") for name, (dims, _) in SKEWED.items()]
+    values = written(parts[0].unionAll(parts[1]), "value-counts")
+    stored = values.where("dim_name = 'kkm_id'").groupBy("table_name").agg(F.sum("n_rows").alias("stored"))
     # in whole numbers: n * 10^6 >= share * 10^6 * stored
     enough = F.col("n_rows") * 1_000_000 >= F.col("stored") * round(share * 1_000_000)
-    return values.join(F.broadcast(stored), "table_name").where(enough).select("table_name", "dim_name", "dim_value")
+    return values.where("dim_value IS NOT NULL").join(F.broadcast(stored), "table_name").where(enough).select("table_name", "dim_name", "dim_value")
