@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_MS = 86_400_000
+from chronolake.session import written
 
+#: Starts in a slice, about.
+SLICE_ROWS = 1_000_000
 
-def islands(df: DataFrame, slice_ms: int = 16 * DAY_MS) -> DataFrame:
+
+def islands(df: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Periods and gaps of the half-open intervals ``start`` to ``stop`` (epoch ms) of each ``entity``.
 
     Rows with a null bound or start >= stop are ignored; a null entity is an entity. Result: ``entity``, ``kind``
     ('period' or 'gap'), ``from_ms``, ``to_ms``; touching intervals form one period.
-    Sort by start, compare each start with the running maximum of the previous ends, number the islands cumulatively and
-    aggregate. One entity may hold a third of all rows, so the running values go in two levels: within (entity, time
-    slice), and over one summary row a slice, whose result is carried into the slice. Equal starts are combined before
-    the shuffle; no window spans more than the starts of a slice or the slices of an entity.
+    Sort by start per entity, compare each start with the running maximum of the previous ends, number the islands
+    cumulatively and aggregate. One entity may hold a third of all rows, and most of them in a short time, so the running
+    values go in two levels: within (entity, slice), and over one summary row a slice, whose result is carried into the
+    slice. Slices are ranges of (entity, start) of about ``slice_rows`` starts each, whatever their length in time; they
+    are written once, since a range is not cut the same way twice. Equal starts are combined before.
     """
     df = df.where((F.col("start") < F.col("stop")) & F.col("start").isNotNull() & F.col("stop").isNotNull())
-    one = df.groupBy("entity", "start").agg(F.max("stop").alias("stop")).withColumn("slice", F.floor(F.col("start") / slice_ms))
+    slices = max(1, -(-df.count() // slice_rows))
+    one = df.groupBy("entity", "start").agg(F.max("stop").alias("stop")).repartitionByRange(slices, "entity", "start")
+    one = written(one.withColumn("slice", F.spark_partition_id()), "interval-slices")
     in_slice = Window.partitionBy("entity", "slice").orderBy("start")
     ends = F.max("stop").over(in_slice.rowsBetween(Window.unboundedPreceding, -1))
     local = one.select("entity", "slice", "start", "stop", ends.alias("before"))
