@@ -7,11 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.operators.bitemporal import _micros
 from chronolake.operators.shards import search_join
+from chronolake.session import written
 
 STATE_SCHEMA = "k bigint, h bigint"
 
@@ -21,68 +23,96 @@ def digest(*columns: Column) -> Column:
     return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
 
 
+class StateChanged(RuntimeError):
+    """Another run committed since the state was read: nothing was taken, and the run may be repeated."""
+
+
 class ChangeState:
     """Key and content hashes of all records taken so far, in a folder; each commit adds one delta.
 
-    The file CURRENT lists the deltas that count. A commit first writes its delta in full and then replaces CURRENT by
-    one atomic rename, so a run that dies at any point leaves the old state, and its records stay to be taken.
+    The file ``version-N`` with the greatest N lists the deltas that count. A commit first writes its delta in full, then
+    puts the next version beside the one it was made from, by one atomic rename that never replaces a file. A run that
+    dies at any point leaves the old state, so its records stay to be taken; of two runs made from one version only the
+    first commits, the other gets StateChanged.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._current = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        self._fc = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._current.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs = self._current.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def deltas(self) -> list[str]:
-        """Names of the committed deltas, oldest first."""
-        if not self._fs.exists(self._current):
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._folder = self._path("")
+        self._fs, self._fc = self._folder.getFileSystem(conf), self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._folder.toUri(), conf)
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def version(self) -> int:
+        """The number of the newest version, 0 before the first commit."""
+        if not self._fs.exists(self._folder):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._folder)]
+        return max((int(n.removeprefix("version-")) for n in names if n.startswith("version-")), default=0)
+
+    def deltas(self, version: int | None = None) -> list[str]:
+        """Names of a version's deltas, oldest first."""
+        version = self.version() if version is None else version
+        if not version:
             return []
-        stream = self._fs.open(self._current)
+        stream = self._fs.open(self._path(f"version-{version}"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
         return text.split()
 
-    def read(self) -> DataFrame:
+    def read(self, version: int | None = None) -> DataFrame:
         """The state: columns k and h."""
-        names = self.deltas()
+        names = self.deltas(version)
         if not names:
             return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in names]).select("k", "h")
+        return self.spark.read.schema(STATE_SCHEMA).parquet(*[f"{self.path}/{n}" for n in names])
+
+    def fresh(self, rows: DataFrame, version: int | None = None) -> DataFrame:
+        """Rows (with k and h) whose key is new or whose content changed: those that a join with the state does not meet."""
+        return rows.join(self.read(version), ["k", "h"], "left_anti")
 
-    def fresh(self, rows: DataFrame) -> DataFrame:
-        """Rows (with k and h) whose key is new or whose content changed since the committed state."""
-        return rows if not self.deltas() else rows.join(self.read(), ["k", "h"], "left_anti")
+    def commit(self, taken: DataFrame, version: int | None = None) -> DataFrame:
+        """Make ``taken`` (with k and h, and whatever else) part of the state; returns it as read back.
 
-    def commit(self, taken: DataFrame) -> DataFrame:
-        """Make ``taken`` (with k and h, and whatever else) part of the state; returns it as read back."""
-        names, name = self.deltas(), f"delta-{uuid.uuid4().hex}"
+        ``version``: the one that ``taken`` was made from, by default the newest.
+        """
+        version = self.version() if version is None else version
+        name = f"delta-{uuid.uuid4().hex}"
         taken.write.parquet(f"{self.path}/{name}")
-        self._swap([*names, name])
+        self._advance([*self.deltas(version), name], version)
         return self.spark.read.schema(taken.schema).parquet(f"{self.path}/{name}")
 
     def compact(self) -> None:
         """Put all deltas into one, which holds just k and h; the old ones stay until someone removes them."""
-        if len(self.deltas()) > 1:
+        version = self.version()
+        if len(self.deltas(version)) > 1:
             name = f"delta-{uuid.uuid4().hex}"
-            self.read().distinct().write.parquet(f"{self.path}/{name}")
-            self._swap([name])
+            self.read(version).distinct().write.parquet(f"{self.path}/{name}")
+            self._advance([name], version)
 
-    def _swap(self, names: list[str]) -> None:
-        """Replace CURRENT in one atomic rename."""
-        new = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.{uuid.uuid4().hex}")
+    def _advance(self, names: list[str], version: int) -> None:
+        """Put the next version in place, unless one is there."""
+        new = self._path(f".{uuid.uuid4().hex}")
         out = self._fs.create(new)
         out.write(bytearray("\n".join(names).encode()))
         out.close()
         option = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(option, 1)
-        options[0] = option.OVERWRITE
-        self._fc.rename(new, self._current, options)
+        options[0] = option.NONE
+        try:
+            self._fc.rename(new, self._path(f"version-{version + 1}"), options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            raise StateChanged(f"version {version} of {self.path} is no longer the newest") from None
 
 
+_CARRIED = ("entry_id", "from_ts", "to_ts", "updated_at", "k", "h")
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -97,9 +127,8 @@ def _first_run(entries: pa.Table, runs: pa.Table) -> pa.Table:
     Runs lie sorted by (table, start); a table of minima over 2^k neighbours lets all entries skip at once the runs
     that do not admit them, in log2(runs) steps.
     """
-    empty = pa.table({"entry_id": entries["entry_id"].slice(0, 0), "run_id": runs["run_id"].slice(0, 0), "started_at": runs["started_at"].slice(0, 0)})
     if not entries.num_rows or not runs.num_rows:
-        return empty
+        return pa.table({**{c: entries[c].slice(0, 0) for c in _CARRIED}, "run_id": runs["run_id"].slice(0, 0), "started_at": runs["started_at"].slice(0, 0)})
     names = pa.chunked_array([*entries["table_name"].chunks, *runs["table_name"].chunks]).combine_chunks().dictionary_encode()
     code = names.indices.to_numpy().astype(np.int64)
     own, theirs = code[: entries.num_rows], code[entries.num_rows :]
@@ -119,7 +148,7 @@ def _first_run(entries: pa.Table, runs: pa.Table) -> pa.Table:
         at = np.where(skip, at + (1 << k), at)
     hit = at < end
     take = pa.array(order[at[hit]])
-    return pa.table({"entry_id": entries["entry_id"].filter(pa.array(hit)), "run_id": runs["run_id"].take(take), "started_at": runs["started_at"].take(take)})
+    return pa.table({**{c: entries[c].filter(pa.array(hit)) for c in _CARRIED}, "run_id": runs["run_id"].take(take), "started_at": runs["started_at"].take(take)})
 
 
 def changelog_rows(updates: DataFrame) -> DataFrame:
@@ -143,39 +172,46 @@ def advance(state: ChangeState, updates: DataFrame, runs: DataFrame) -> DataFram
     entry for its interval in its run: the greatest updated_at, then entry_id). All of them join the state.
     Tables holding a third of the entries are split; see ``search_join``.
     """
-    rows = state.fresh(changelog_rows(updates))
+    return _advance(state, changelog_rows(updates), runs)
+
+
+def _advance(state: ChangeState, entries: DataFrame, runs: DataFrame) -> DataFrame:
+    version = state.version()
+    rows = state.fresh(entries, version).select("table_name", "landed_at", *_CARRIED)
     good = runs.where((F.col("run_status") == "SUCCEEDED") & F.col("started_at").isNotNull()).select("table_name", "run_id", "started_at", "recalculated_after")
-    entries = rows.select("table_name", "entry_id", "landed_at", "from_ts", "to_ts", "updated_at", "k", "h")
-    kind = "entry_id bigint, run_id bigint, started_at timestamp"
-    found, several = search_join(entries.select("table_name", "entry_id", "landed_at", "from_ts"), good, "table_name", "entry_id", _first_run, kind)
+    kind = "entry_id bigint, from_ts timestamp, to_ts timestamp, updated_at timestamp, k bigint, h bigint, run_id bigint, started_at timestamp"
+    found, several = search_join(rows, good, "table_name", "entry_id", _first_run, kind)
     if several:
-        found = found.groupBy("entry_id").agg(F.min(F.struct("started_at", "run_id")).alias("r")).select("entry_id", "r.run_id")
-    taken = entries.join(found.select("entry_id", "run_id"), "entry_id")
+        rest = [c for c in _CARRIED if c != "entry_id"]
+        found = found.groupBy("entry_id").agg(F.min(F.struct("started_at", "run_id", *rest)).alias("r")).select("entry_id", "r.*")
+    taken = found.select("entry_id", "run_id", "from_ts", "to_ts", "updated_at", "k", "h")
     newest = taken.groupBy("run_id", "from_ts", "to_ts").agg(F.max(F.struct("updated_at", "entry_id")).alias("m")).select(F.col("m.entry_id").alias("newest_id"))
     taken = taken.join(newest, F.col("entry_id") == F.col("newest_id"), "left")
-    return state.commit(taken.select("k", "h", "run_id", "entry_id", F.col("newest_id").isNotNull().alias("current")))
+    return state.commit(taken.select("k", "h", "run_id", "entry_id", F.col("newest_id").isNotNull().alias("current")), version)
 
 
-#: Batches in which a log of runs is replayed.
-BATCHES = 4
+#: Rounds in which a log of runs is replayed.
+ROUNDS = 4
 
 
-def replay(state: ChangeState, updates: DataFrame, runs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Let a whole log of ``runs`` take from ``updates``, in batches by started_at, each against what those before committed.
+def replay(state: ChangeState, updates: DataFrame, runs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Let a whole log of ``runs`` take from ``updates``, in rounds by started_at, each against what those before committed.
 
-    A batch sees the entries that had landed by its last start, and of these ``advance`` takes what the state lacks.
-    Runs with one start are in one batch, so every entry goes to the same run as in a single batch.
+    The changelog's entries are made once. A round sees those that had landed by its last start, and its runs take of
+    these what the state lacks, as in ``advance``. Runs with one start are in one round, so every entry goes to the same
+    run as in a single round.
     """
+    entries = written(changelog_rows(updates), "changelog")
     start = F.unix_micros("started_at")
-    shares = [i / batches for i in range(1, batches)]
+    shares = [i / rounds for i in range(1, rounds)]
     cuts = runs.where(F.col("run_status") == "SUCCEEDED").agg(F.percentile_approx(start, shares)).first()[0] if shares else None
     parts, low = [], None
     for high in [*sorted(set(cuts or [])), None]:
-        own, landed = runs, updates
+        own, landed = runs, entries
         if low is not None:
             own = own.where(F.col("started_at") > F.timestamp_micros(F.lit(low)))
         if high is not None:
             own, landed = own.where(F.col("started_at") <= F.timestamp_micros(F.lit(high))), landed.where(F.col("landed_at") <= F.timestamp_micros(F.lit(high)))
-        parts.append(advance(state, landed, own))
+        parts.append(_advance(state, landed, own))
         low = high
     return reduce(DataFrame.unionAll, parts)

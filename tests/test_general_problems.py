@@ -191,6 +191,51 @@ def test_state_survives_a_run_that_dies(spark, tmp_path):
     assert incremental.advance(state, more, run(5, "SUCCEEDED")).count() == 0
 
 
+def test_of_two_writers_only_the_first_commits(spark, tmp_path):
+    """Both select against one version; the second gets an error and, run again, finds nothing left to take."""
+    state = incremental.ChangeState(spark, f"file://{tmp_path}/state")
+    a, b = (spark.createDataFrame([x], "k bigint, h bigint") for x in ((1, 1), (2, 2)))
+    state.commit(a, state.version())
+    other, seen = incremental.ChangeState(spark, f"file://{tmp_path}/state"), state.version()
+    assert state.fresh(b, seen).count() == other.fresh(b, seen).count() == 1
+    state.commit(b, seen)
+    with pytest.raises(incremental.StateChanged):
+        other.commit(b, seen)
+    with pytest.raises(incremental.StateChanged):
+        other._advance([], seen)
+    assert other.fresh(b).count() == 0 and sorted(map(tuple, other.read().collect())) == [(1, 1), (2, 2)]
+
+
+def test_slices_of_a_dense_entity_hold_few_starts(spark, monkeypatch):
+    """One entity with all its starts within a second, between two others."""
+    kept = []
+    monkeypatch.setattr(intervals, "written", lambda df, what: kept.append(df.cache()) or kept[-1])
+    data = [("hot", i, i + 2 + 40 * (i % 97 == 0)) for i in range(0, 4000, 3)] + [("a", 1, 2), ("z", 5, 6), (None, 5, 6)]
+    got = intervals.islands(spark.createDataFrame(data, "entity string, start bigint, stop bigint"), 100)
+    assert sorted((tuple(x) for x in got.collect()), key=repr) == brute_islands(data)
+    assert kept[0].groupBy("slice").count().agg(F.max("count")).first()[0] < 250
+
+
+def test_groups_of_a_search_are_bounded(spark):
+    """A key with half of all rows on either side: no group gets more rows of a side than the limit and a little."""
+    import pyarrow as pa
+
+    from chronolake.operators.shards import search_join
+
+    left = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 500).cast("int").alias("key"), "id")
+    right = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).cast("int").alias("key"), F.col("id").alias("r"))
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        keys = set(b["key"].to_pylist())
+        hit = [i for i, k in zip(a["id"].to_pylist(), a["key"].to_pylist(), strict=True) if k in keys]
+        return pa.table({"id": pa.array(hit, pa.int64()), "a": pa.array([a.num_rows] * len(hit), pa.int64()), "b": pa.array([b.num_rows] * len(hit), pa.int64())})
+
+    got, several = search_join(left, right, "key", "id", search, "id bigint, a bigint, b bigint", rows_per_group=200)
+    a, b, n = got.agg(F.max("a"), F.max("b"), F.count_distinct("id")).first()
+    assert several and a <= 450 and b <= 450
+    assert n == left.join(right.select("key").distinct(), "key", "left_semi").count()
+
+
 def test_digest_tells_nulls_apart(spark):
     df = spark.createDataFrame([("x", None), (None, "x"), (None, None), ("x", "x")], "a string, b string")
     assert df.select(incremental.digest(F.col("a"), F.col("b"))).distinct().count() == 4
@@ -214,15 +259,15 @@ def brute_islands(data):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("n,span,slice_ms", [(0, 10, 5), (1, 10, 5), (60, 200, 7), (300, 3000, 50), (300, 3000, 100000)])
-def test_islands(spark, rows, n, span, slice_ms):
+@pytest.mark.parametrize("n,span,slice_rows", [(0, 10, 5), (1, 10, 5), (60, 200, 7), (300, 3000, 50), (300, 3000, 100000)])
+def test_islands(spark, rows, n, span, slice_rows):
     r = random.Random(n)
     data = []
     for _ in range(n):
         a = None if r.random() < 0.05 else r.randrange(-span, span)
         b = None if a is None or r.random() < 0.05 else a + r.choice([-1, 0, 1, 2, 5, 20, span // 3])
         data.append((r.choice(["hot", "hot", "x", None]), a, b))
-    assert rows(intervals.islands(spark.createDataFrame(data, "entity string, start bigint, stop bigint"), slice_ms)) == brute_islands(data)
+    assert rows(intervals.islands(spark.createDataFrame(data, "entity string, start bigint, stop bigint"), slice_rows)) == brute_islands(data)
 
 
 @pytest.mark.parametrize("n,m,seed", [(0, 10, 3), (300, 40, 4), (150, 300, 5)])
@@ -230,7 +275,7 @@ def test_replayed_batches_meet_the_committed_state(spark, tmp_path, monkeypatch,
     """Each batch but the first joins the state, which holds what earlier runs took; the runs' rows stay the same."""
     updates, runs = changelog(n, m, seed)
     met, fresh = [], incremental.ChangeState.fresh
-    monkeypatch.setattr(incremental.ChangeState, "fresh", lambda self, df: met.append((len(self.deltas()), df.count() - fresh(self, df).count())) or fresh(self, df))
+    monkeypatch.setattr(incremental.ChangeState, "fresh", lambda self, df, v: met.append((len(self.deltas()), df.count() - fresh(self, df, v).count())) or fresh(self, df, v))
     got = incremental.replay(incremental.ChangeState(spark, f"file://{tmp_path}/state"), spark.createDataFrame(updates, UPDATES), spark.createDataFrame(runs, RUNS))
     assert sorted((x.run_id, x.entry_id, x.current) for x in got.collect()) == brute_runs(updates, runs)
     assert [d for d, _ in met] == list(range(len(met))) and len(met) > 1
@@ -239,7 +284,7 @@ def test_replayed_batches_meet_the_committed_state(spark, tmp_path, monkeypatch,
 
 def test_registered_runs_are_replayed(spark, monkeypatch):
     seen, fresh = [], incremental.ChangeState.fresh
-    monkeypatch.setattr(incremental.ChangeState, "fresh", lambda self, df: seen.append(len(self.deltas())) or fresh(self, df))
+    monkeypatch.setattr(incremental.ChangeState, "fresh", lambda self, df, v: seen.append(len(self.deltas())) or fresh(self, df, v))
     problems.p5_found(spark, "/root/testdata/sf0.001")
     assert max(seen) > 0
 
