@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,136 +15,190 @@ from chronolake.llm.sentences import _edges, column_order, edge_columns
 
 #: Letters of the shortest match that counts, in alphabetic scripts and in scripts of syllables and ideographs; no more
 #: than the least stretch of a short item.
-SEED, SEED_WIDE = 10, 5
+SEED, SEED_WIDE = 9, 5
 #: A page holds an item from this share of its letters on; a little is left for misread letters at either end.
 SHARE, SLACK = 1 / 3, 0.013
-#: The least score of a chain of matches, as a share of the item's letters.
-SCORE = 0.2
+#: The least score of a chain of matches, as a share of the item's letters, before and after its ends are followed on.
+CHAIN, SCORE = 0.1, 0.2
 #: What a step between matches costs at least, near by and far off their diagonal, and what is near, in units.
 NEAR_STEP, FAR_STEP, NEAR = 1, 8, 25
-#: Up to so many matches are chained without arrays.
-FEW = 16
-#: Letters of test items searched at once; more items are searched in further blocks.
-BLOCK_LETTERS = 4_000_000
-#: Characters of pages whose suffixes form one shard, and how much of a longer page is read at once.
-SHARD_CHARS, WINDOW = 3_000_000, 200_000
-_BITS, _SYMBOLS = 10, 1021
-_MIX0, _MIX1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: What each letter of the item between two matches costs, and each that the page alone goes on.
+MISSING, PASSED = 0.25, 0.004
+#: A stretch runs on over so many letters of the item that the page lacks (a few words), in units; matches at a far step
+#: may overlap by so many.
+HOLE, OVERLAP = 45, 8
+#: Pairs with up to so many matches are chained many at a time.
+WIDTH = 512
+#: Letters of test items in a block, and how many blocks each shard of pages is searched for in one pass.
+BLOCK_LETTERS, BLOCKS = 4_000_000, 16
+#: Characters of pages whose suffixes form one array, and how far the parts of a longer page overlap.
+SHARD_CHARS, JOINT = 2_000_000, 256
+#: Occurrences of test suffixes that are looked at together.
+AT_ONCE = 1_000_000
 
 
 def _wide(x: np.ndarray) -> np.ndarray:
     return ((x >= 0x3040) & (x < 0xA000)) | ((x >= 0xAC00) & (x < 0xD7B0)) | (x >= 0x20000)
 
 
-def _five(codes: np.ndarray) -> np.ndarray:
-    """At each place the next five letters packed in order, so that packed values sort as the letters do."""
-    c = codes.astype(np.uint64)
-    two = (c[:-1] << np.uint64(_BITS)) | c[1:]
-    four = (two[:-2] << np.uint64(2 * _BITS)) | two[2:]
-    return (four[:-1] << np.uint64(_BITS)) | c[4:]
-
-
-def _head(five: np.ndarray, seed: int) -> np.ndarray:
-    """Packed letters cut to the first ``seed``, if those are fewer."""
-    return five >> np.uint64(_BITS * max(0, 5 - seed))
-
-
-def _slot(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    x = first * _MIX0
-    if second is not None:
-        x = (x ^ (x >> np.uint64(29))) * _MIX1 + second * _MIX0
-    return ((x ^ (x >> np.uint64(31))) * _MIX1) >> np.uint64(42)
-
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of the ranges, and which range each belongs to."""
+    n = high - low
+    owner = np.repeat(np.arange(len(low)), n)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + low[owner], owner
 
-class Suffixes:
-    """All suffixes of a block of test items, to be searched in the suffix arrays of page shards.
 
-    Letters are coded over the items' alphabet; other letters are all one code that no suffix holds.
-    """
+class Items:
+    """A block of test items: their letters, and the suffixes that are long enough to match."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        flat, at = letters(texts)
-        self.alphabet = np.unique(flat)
-        self.ids, self.sizes = np.asarray(ids, np.int64), np.diff(at)
-        code = self.encode(flat)
-        wide_share = np.add.reduceat(np.r_[_wide(flat), 0].astype(np.int64), np.minimum(at[:-1], len(flat))) if len(flat) else np.zeros(len(ids))
-        self.is_wide = (wide_share > self.sizes / 2) & (self.sizes > 0)
-        item = np.repeat(np.arange(len(ids)), self.sizes)
-        place = np.arange(len(flat)) - at[item] if len(flat) else np.zeros(0, np.int64)
+        self.flat, self.at = letters(texts)
+        self.ids, self.sizes = np.asarray(ids, np.int64), np.diff(self.at)
+        wide = np.r_[0, np.cumsum(_wide(self.flat))]
+        self.is_wide = wide[self.at[1:]] - wide[self.at[:-1]] > self.sizes / 2
         least = np.ceil((SHARE - SLACK) * self.sizes).astype(np.int64)
-        seeds = np.minimum(np.where(self.is_wide, SEED_WIDE, SEED), least)
-        seeds = np.where(seeds < SEED, np.minimum(seeds, 5), seeds)  # heads are of up to five letters, or of ten
-        five = _five(np.r_[code, np.zeros(9, code.dtype)])
-        self.kinds = []
-        for wide, seed in sorted({(bool(w), int(s)) for w, s, n in zip(self.is_wide, seeds, self.sizes, strict=True) if n}):
-            starts = np.flatnonzero((self.is_wide[item] == wide) & (seeds[item] == seed) & (place + seed <= self.sizes[item]))
-            first = _head(five[starts], seed)
-            second = five[starts + 5] if seed == SEED else None
-            table = np.zeros(1 << 22, bool)
-            table[_slot(first, second)] = True
-            heads, tails = np.unique(first), np.unique(second) if second is not None else None
-            rank = np.searchsorted(heads, first).astype(np.int64)
-            if second is not None:
-                rank = (rank << 31) | np.searchsorted(tails, second)
-            order = np.argsort(rank, kind="stable")
-            self.kinds.append((wide, seed, table, heads, tails, rank[order], item[starts][order], place[starts][order]))
-
-    def encode(self, flat: np.ndarray) -> np.ndarray:
-        """Codes in the alphabet's order, 0 for foreign letters; a larger alphabet than fits shares codes."""
-        if not len(self.alphabet):
-            return np.zeros(len(flat), np.int64)
-        at = np.minimum(np.searchsorted(self.alphabet, flat), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == flat, 1 + at % _SYMBOLS, 0)
-
-    def coder(self) -> np.ndarray:
-        """The encoding as a table over code points."""
-        return self.encode(np.arange(0x110000)).astype(np.uint16)
+        self.seeds = np.minimum(np.where(self.is_wide, SEED_WIDE, SEED), least)
+        item = np.repeat(np.arange(len(ids)), self.sizes)
+        place = np.arange(len(self.flat)) - self.at[item]
+        self.suffixes = np.flatnonzero(place + self.seeds[item] <= self.sizes[item])
+        self.item, self.place = item[self.suffixes], place[self.suffixes]
 
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All integers of the ranges, and which range each belongs to."""
-    n = high - low
-    owner = np.repeat(np.arange(len(low)), n)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + low[owner], owner
+def _packed(code: np.ndarray, bits: int) -> np.ndarray:
+    """At each place the letters from there on, packed in order, so that packed values sort as the letters do."""
+    per, out = 64 // bits, np.zeros(len(code), np.uint64)
+    long = np.r_[code.astype(np.uint64), np.zeros(per, np.uint64)]
+    for j in range(per):
+        out |= long[j : j + len(code)] << np.uint64(bits * (per - 1 - j))
+    return out
 
 
-def _matches(suffixes: Suffixes, kind: int, code: np.ndarray, at: np.ndarray, five: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Longest verbatim matches of test suffixes in a shard: page, item, place in page, place in item, length.
+class SuffixArray:
+    """The suffix array of a shard of pages, and the search of test suffixes in it.
 
-    The shard's suffix array holds those suffixes that share their first letters with any test suffix, which no other
-    can match. Each test suffix is found in it by binary search; matches at successive places of one diagonal are parts
-    of one longer match.
+    Letters are coded over the shard's own alphabet, 0 parts the pages; a suffix ends with its page. Suffixes are sorted
+    by as many letters as fit a word, then by doubling: those still equal are sorted by the ranks of what follows.
     """
-    _, seed, table, heads, tails, ranks, item, place = suffixes.kinds[kind]
-    none = (np.zeros(0, np.int64),) * 5
-    n = len(code) - seed + 1
-    if n <= 0 or not len(ranks):
-        return none
-    first, second = _head(five[:n], seed), five[5 : 5 + n] if tails is not None else None
-    p = np.flatnonzero(table[_slot(first, second)])
-    h = np.minimum(np.searchsorted(heads, first[p]), len(heads) - 1)
-    same = heads[h] == first[p]
-    rank = h.astype(np.int64)
-    if tails is not None:
-        s = np.minimum(np.searchsorted(tails, second[p]), len(tails) - 1)
-        same &= tails[s] == second[p]
-        rank = (rank << 31) | s
-    page = np.searchsorted(at, p, "right") - 1
-    same &= p + seed <= at[page + 1]
-    p, rank = p[same], rank[same]
-    order = np.argsort(rank, kind="stable")
-    array, keys = p[order], rank[order]
-    found, test = _ranges(np.searchsorted(keys, ranks, "left"), np.searchsorted(keys, ranks, "right"))
-    if not len(found):
-        return none
-    p, q, which = array[found], place[test], item[test]
-    page = np.searchsorted(at, p, "right") - 1
-    order = np.lexsort((p, p - q, which, page))
-    p, q, which, page = p[order], q[order], which[order], page[order]
-    new = np.r_[True, (page[1:] != page[:-1]) | (which[1:] != which[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] != p[:-1] + 1)]
-    starts = np.flatnonzero(new)
-    length = np.diff(np.r_[starts, len(p)]) + seed - 1
-    return page[starts], which[starts], p[starts] - at[page[starts]], q[starts], length
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray):
+        pages = len(at) - 1
+        self.alphabet = np.unique(flat)
+        self.bits = max(4, int(len(self.alphabet) + 1).bit_length())
+        self.per = 64 // self.bits
+        own = np.repeat(np.arange(pages), np.diff(at))
+        code = np.zeros(len(flat) + pages + 1, np.uint32)  # a 0 in front and one behind each page
+        code[np.arange(len(flat)) + own + 1] = np.searchsorted(self.alphabet, flat) + 1
+        self.code, self.starts = code, at[:-1] + np.arange(pages) + 1
+        key = _packed(code, self.bits)
+        self.key = np.r_[key, np.zeros(self.per + 1, np.uint64)]
+        self.array = self._sorted(key, np.r_[self.starts[1:] - 1, len(code) - 1] if pages else np.zeros(0, np.int64), own)
+        self.first = key[self.array]
+
+    def _sorted(self, key: np.ndarray, ends: np.ndarray, own: np.ndarray) -> np.ndarray:
+        n, left = len(key), np.zeros(len(key), np.int32)  # letters up to the page's end
+        place = np.arange(len(own)) + own + 1
+        left[place] = ends[own] - place
+        array = np.argsort(key)
+        k = key[array]
+        new = np.r_[True, k[1:] != k[:-1]]
+        starts = np.flatnonzero(new)
+        rank = np.empty(n, np.int32)
+        rank[array] = np.repeat(starts, np.diff(np.r_[starts, n]))
+        known = self.per
+        tied = np.flatnonzero(~(new & np.r_[new[1:], True]) & (left[array] >= known))
+        while len(tied):
+            i = array[tied]
+            both = (rank[i].astype(np.int64) << 32) | rank[i + known]
+            order = np.argsort(both)
+            i, both = i[order], both[order]
+            array[tied] = i
+            new = np.r_[True, both[1:] != both[:-1]]
+            starts = np.flatnonzero(new)
+            rank[i] = np.repeat(tied[starts], np.diff(np.r_[starts, len(i)]))
+            known *= 2
+            tied = tied[~(new & np.r_[new[1:], True]) & (left[i] >= known)]
+        return array
+
+    def coded(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
+        """The items' letters over this alphabet, with one that no page has for any other and behind each item, and packed."""
+        none = len(self.alphabet) + 1
+        code = np.full(len(items.flat) + len(items.sizes) + self.per, none, np.uint32)
+        if len(items.flat) and len(self.alphabet):
+            i = np.minimum(np.searchsorted(self.alphabet, items.flat), len(self.alphabet) - 1)
+            own = np.repeat(np.arange(len(items.sizes)), items.sizes)
+            code[np.arange(len(items.flat)) + own] = np.where(self.alphabet[i] == items.flat, i + 1, none)
+        return code, _packed(code, self.bits)
+
+    def interval(self, key: np.ndarray, at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By binary search the range of the array in which suffixes share their first ``depth`` letters with those of ``key`` at ``at``."""
+        shift = (self.bits * np.maximum(0, self.per - depth)).astype(np.uint64)
+        want = key[at] >> shift
+        low = np.searchsorted(self.first, want << shift, "left")
+        high = np.searchsorted(self.first, (want << shift) | ((np.uint64(1) << shift) - np.uint64(1)), "right")
+        known = self.per
+        while True:
+            open_ = np.flatnonzero((depth > known) & (high > low))
+            if not len(open_):
+                return low, high
+            shift = (self.bits * np.maximum(0, self.per - (depth[open_] - known))).astype(np.uint64)
+            want = key[at[open_] + known] >> shift
+            a, b = low[open_], high[open_]
+            low[open_], high[open_] = self._bisect(a, b, want, shift, known, False), self._bisect(a, b, want, shift, known, True)
+            known += self.per
+
+    def _bisect(self, low: np.ndarray, high: np.ndarray, want: np.ndarray, shift: np.ndarray, skip: int, after: bool) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        going = np.flatnonzero(low < high)
+        while len(going):
+            mid = (low[going] + high[going]) >> 1
+            got = self.key[self.array[mid] + skip] >> shift[going]
+            less = got <= want[going] if after else got < want[going]
+            low[going], high[going] = np.where(less, mid + 1, low[going]), np.where(less, high[going], mid)
+            going = going[low[going] < high[going]]
+        return low
+
+    def matches(self, items: Items) -> tuple[np.ndarray, ...]:
+        """Longest verbatim matches of the items' suffixes: page, item, place in page, place in item, length.
+
+        Every test suffix is searched for by its seed's letters; all its occurrences are extended to the longest. One
+        that has the same letter before it as the test suffix is the tail of a longer match and left out, so that no
+        two matches of a page and an item lie within each other on one diagonal.
+        """
+        code, key = self.coded(items)
+        at = items.suffixes + items.item  # behind each item stands one more letter
+        low, high = self.interval(key, at, items.seeds[items.item])
+        some = np.flatnonzero(high > low)
+        low, high, at, item, place = low[some], high[some], at[some], items.item[some], items.place[some]
+        found, begin, many = [], 0, np.cumsum(high - low)
+        while begin < len(low):
+            end = max(begin + 1, int(np.searchsorted(many, (many[begin - 1] if begin else 0) + AT_ONCE, "right")))
+            for a in range(int(low[begin]), int(high[begin]), AT_ONCE) if end == begin + 1 else (None,):
+                if a is None:
+                    where, which = _ranges(low[begin:end], high[begin:end])
+                    which += begin
+                else:
+                    where = np.arange(a, min(a + AT_ONCE, int(high[begin])))
+                    which = np.full(len(where), begin)
+                p, q = self.array[where], at[which]
+                first = (place[which] == 0) | (self.code[p - 1] != code[q - 1])
+                p, q, which = p[first], q[first], which[first]
+                length = self._extended(p, q, key)
+                page = np.searchsorted(self.starts, p, "right") - 1
+                found.append((page, item[which], p - self.starts[page], place[which], length))
+            begin = end
+        if not found:
+            return (np.zeros(0, np.int64),) * 5
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _extended(self, p: np.ndarray, q: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Letters in which the suffix at ``p`` and the test suffix at ``q`` agree."""
+        length, going = np.zeros(len(p), np.int64), np.arange(len(p))
+        while len(going):
+            differ = self.key[p[going] + length[going]] ^ key[q[going] + length[going]]
+            for j in range(self.per):
+                length[going] += differ >> np.uint64(self.bits * (self.per - 1 - j)) == 0
+            going = going[differ == 0]
+        return length
 
 
 def _covered(pair: np.ndarray, q: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
@@ -175,118 +229,209 @@ def _bound(pair: np.ndarray, p: np.ndarray, q: np.ndarray, length: np.ndarray, n
     return _covered(pair, q + step, length - step, n) + FAR_STEP * unit
 
 
-def _chain(p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float) -> tuple[float, int, int, int]:
-    """The best run of matches in order: its score, where it begins and ends in the item, letters matched.
+#: Of chains: score, begin and end in the item, letters matched, begin and end in the page.
+Chains = tuple[np.ndarray, ...]
+
+
+def _steps(p: np.ndarray, q: np.ndarray, length: np.ndarray, pj: np.ndarray, qj: np.ndarray, lj: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """What the step from each match to a later one costs, infinite where there is none, and by how much they overlap.
 
-    Short gaps are misread, replaced or missing words. Where only the page goes on, it passes an advert or the line of
-    another column; that costs more, so scattered likeness adds up to nothing.
+    Near the match's diagonal letters are misread, replaced or missing, or words are. Else the page alone has gone on,
+    over an advert or the line of another column; that costs more, so scattered likeness adds up to nothing.
     """
-    order = np.lexsort((q, p))
-    p, q, length = p[order], q[order], length[order]
-    n = len(p)
-    if n <= FEW:
-        return _chain_of_few(p.tolist(), q.tolist(), length.tolist(), unit)
-    score, begin, matched = length.astype(np.float64), q.copy(), length.copy()
-    reach = np.searchsorted(p, p - 1000 * unit - length.max())  # none before can be near enough
+    gap_q, gap_p = qj - q - length, pj - p - length
+    gq, gp = np.maximum(gap_q, 0), np.maximum(gap_p, 0)
+    near = np.abs(gap_p - gap_q) <= NEAR * unit
+    over = np.maximum(0, -np.minimum(gap_q, gap_p))
+    ok = (qj > q) & (gap_q <= HOLE * unit) & np.where(near, over < np.minimum(length, lj) - 2 * unit, (gap_p >= 0) & (over < np.minimum(OVERLAP * unit, lj - 2 * unit)))
+    cost = np.where(near, NEAR_STEP * unit + MISSING * np.maximum(gq, gp), FAR_STEP * unit + MISSING * gq + PASSED * gp) + over
+    return np.where(ok, cost, np.inf), over
+
+
+def _chains(starts: np.ndarray, sizes: np.ndarray, p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float, letters_: np.ndarray) -> Chains:
+    """For each pair the best run of matches in order.
+
+    The matches of a pair lie from ``starts`` on, by page and item place; ``letters_`` is the size of its item.
+    """
+    n = len(starts)
+    out = np.zeros(n), *[np.zeros(n, np.int64) for _ in range(5)]
+    width = np.where(sizes <= WIDTH, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+    for w in np.unique(width[width > 0]):
+        pairs = np.flatnonzero(width == w)
+        for a in range(0, len(pairs), max(1, (1 << 18) // int(w))):
+            some = pairs[a : a + max(1, (1 << 18) // int(w))]
+            at = starts[some][:, None] + np.minimum(np.arange(w), sizes[some][:, None] - 1)
+            real = np.arange(w) < sizes[some][:, None]
+            for o, x in zip(out, _chained(p[at], q[at], length[at], real, unit), strict=True):
+                o[some] = x
+    for k in np.flatnonzero(width == 0):
+        s = slice(int(starts[k]), int(starts[k] + sizes[k]))
+        for o, x in zip(out, _long_chain(p[s], q[s], length[s], unit, int(letters_[k])), strict=True):
+            o[k] = x
+    return out
+
+
+def _chained(p: np.ndarray, q: np.ndarray, length: np.ndarray, real: np.ndarray, unit: float) -> Chains:
+    """Pairs of up to as many matches as there are columns, a row each."""
+    score, begin, matched, origin = length.astype(np.float64), q.copy(), length.copy(), p.copy()
+    row = np.arange(len(p))
+    for j in range(1, p.shape[1]):
+        cost, over = _steps(p[:, :j], q[:, :j], length[:, :j], p[:, j : j + 1], q[:, j : j + 1], length[:, j : j + 1], unit)
+        value = score[:, :j] - cost
+        k = np.argmax(value, axis=1)
+        top = value[row, k]
+        better = np.flatnonzero(top > 0)
+        k = k[better]
+        score[better, j] += top[better]
+        begin[better, j], origin[better, j], matched[better, j] = begin[better, k], origin[better, k], matched[better, k] + length[better, j] - over[better, k]
+    j = np.argmax(np.where(real, score, -1.0), axis=1)
+    return score[row, j], begin[row, j], (q + length)[row, j], matched[row, j], origin[row, j], (p + length)[row, j]
+
+
+def _long_chain(p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float, letters_: int) -> tuple[float, ...]:
+    """The same for one pair of very many matches.
+
+    Near steps come from matches close by in the page. Of the others only the best for each place in the item at which
+    it ends can matter, whatever their number: what the page passes over costs the same for each letter.
+    """
+    whole = np.flatnonzero(length == letters_)
+    if len(whole):
+        return float(letters_), 0, letters_, letters_, int(p[whole[0]]), int(p[whole[0]]) + letters_  # no chain has more
+    n, end, stop = len(p), q + length, p + length
+    score, begin, matched, origin = length.astype(np.float64), q.copy(), length.copy(), p.copy()
+    best, holder = np.full(letters_ + 1, -np.inf), np.zeros(letters_ + 1, np.int64)
+    close = np.searchsorted(p, p - (HOLE + NEAR) * unit - length.max())
+    by_stop, waiting = np.argsort(stop, kind="stable"), 0
     for j in range(1, n):
-        near_by = slice(int(reach[j]), j)
-        gap_q, gap_p = q[j] - (q[near_by] + length[near_by]), p[j] - (p[near_by] + length[near_by])
-        over = np.maximum(0, -np.minimum(gap_q, gap_p))
-        ok = (q[j] > q[near_by]) & (over < np.minimum(length[j], length[near_by]) - 2 * unit) & (gap_q <= 45 * unit) & (gap_p <= 1000 * unit)
-        if not ok.any():
-            continue
-        gq, gp = np.maximum(gap_q, 0), np.maximum(gap_p, 0)
-        near = np.abs(gap_p - gap_q) <= NEAR * unit
-        cost = np.where(near, NEAR_STEP * unit + 0.25 * np.maximum(gq, gp), FAR_STEP * unit + 0.25 * gq + 0.004 * gp) + over
-        value = np.where(ok, score[near_by] - cost, -np.inf)
-        k = int(np.argmax(value))
-        if value[k] > 0:
-            i = k + near_by.start
-            score[j] += value[k]
-            begin[j], matched[j] = begin[i], matched[i] + length[j] - over[k]
-    j = int(np.argmax(score))
-    return float(score[j]), int(begin[j]), int(q[j] + length[j]), int(matched[j])
-
-
-def _chain_of_few(p: list[int], q: list[int], length: list[int], unit: float) -> tuple[float, int, int, int]:
-    """The same for a few sorted matches, for which arrays cost more than they save."""
-    score, begin, matched = [float(x) for x in length], q[:], length[:]
-    far = 1000 * unit + max(length)
-    for j in range(1, len(p)):
-        pj, qj, lj, top, best, lost = p[j], q[j], length[j], 0.0, -1, 0
-        for i in range(j):
-            gap_q, gap_p = qj - q[i] - length[i], pj - p[i] - length[i]
-            if p[i] < pj - far or qj <= q[i] or gap_q > 45 * unit or gap_p > 1000 * unit:
-                continue
-            over = max(0, -min(gap_q, gap_p))
-            if over >= min(lj, length[i]) - 2 * unit:
-                continue
-            gq, gp = max(gap_q, 0), max(gap_p, 0)
-            cost = NEAR_STEP * unit + 0.25 * max(gq, gp) if abs(gap_p - gap_q) <= NEAR * unit else FAR_STEP * unit + 0.25 * gq + 0.004 * gp
-            value = score[i] - (cost + over)
-            if value > top:
-                top, best, lost = value, i, over
-        if best >= 0:
+        while waiting < n and stop[by_stop[waiting]] <= p[j]:
+            i = by_stop[waiting]
+            if score[i] + PASSED * stop[i] > best[end[i]]:
+                best[end[i]], holder[end[i]] = score[i] + PASSED * stop[i], i
+            waiting += 1
+        near = slice(int(close[j]), j)
+        cost, _ = _steps(p[near], q[near], length[near], p[j], q[j], length[j], unit)
+        top, i = 0.0, -1
+        if len(cost):
+            value = score[near] - cost
+            k = int(np.argmax(value))
+            top, i = float(value[k]), near.start + k
+        low, high = max(0, int(np.ceil(q[j] - HOLE * unit))), int(min(letters_, q[j] + np.ceil(min(OVERLAP * unit, length[j] - 2 * unit)) - 1))
+        if low <= high:
+            gap = q[j] - np.arange(low, high + 1)
+            value = best[low : high + 1] - PASSED * p[j] - FAR_STEP * unit - np.where(gap > 0, MISSING * gap, -gap)
+            k = int(np.argmax(value))
+            if value[k] > top and q[holder[low + k]] < q[j]:
+                top, i = float(value[k]), int(holder[low + k])
+        if top > 0 and i >= 0:
+            over = max(0, int(end[i] - q[j]), int(stop[i] - p[j]))
             score[j] += top
-            begin[j], matched[j] = begin[best], matched[best] + lj - lost
-    j = max(range(len(p)), key=score.__getitem__)
-    return score[j], begin[j], q[j] + length[j], matched[j]
+            begin[j], origin[j], matched[j] = begin[i], origin[i], matched[i] + length[j] - over
+    j = int(np.argmax(score))
+    return float(score[j]), int(begin[j]), int(end[j]), int(matched[j]), int(origin[j]), int(stop[j])
 
 
 RESULT = "doc_id bigint, item_id bigint, from_letter int, to_letter int, share double, longest int"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("from_letter", pa.int32()), ("to_letter", pa.int32()), ("share", pa.float64()), ("longest", pa.int32())])
 
 
-def search(suffixes: Suffixes, coder: np.ndarray, ids: list[int], texts: list[str | None]) -> list[tuple]:
-    """(page id, item id, first and last letter of the item's stretch, its share, longest verbatim match) of one shard."""
-    flat, at = letters(texts)
-    code = coder[flat]
-    five = _five(np.r_[code, np.zeros(4, code.dtype)])
+def _onward(page: np.ndarray, item: np.ndarray) -> tuple[int, int]:
+    """How far a stretch goes on letter by letter, misread ones included: letters, and those of them that agree."""
+    n = min(len(page), len(item))
+    if not n:
+        return 0, 0
+    same = page[:n] == item[:n]
+    gain = np.cumsum(np.where(same, 1, -1))
+    k = int(np.argmax(gain))
+    return (k + 1, int(same[: k + 1].sum())) if gain[k] > 0 else (0, 0)
+
+
+def _held(items: Items, found: tuple[np.ndarray, ...], flat: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, float, int]]:
+    """(page, item, first and last letter of the item's stretch, its share, longest verbatim match) from all matches of some pages.
+
+    ``flat`` and ``at``: the pages' letters. The ends of a chain are misread as well as its middle, so it goes on at both.
+    """
+    page, item, p, q, length = found
     out = []
-    for kind, (wide, *_) in enumerate(suffixes.kinds):
-        unit = 0.4 if wide else 1.0
-        page, item, p, q, length = _matches(suffixes, kind, code, at, five)
-        if not len(page):
+    for wide in (False, True):
+        own = np.flatnonzero(items.is_wide[item] == wide)
+        if not len(own):
             continue
-        new = np.r_[True, (page[1:] != page[:-1]) | (item[1:] != item[:-1])]
+        own = own[np.lexsort((q[own], p[own], item[own], page[own]))]
+        pg, it, a, b, n = page[own], item[own], p[own], q[own], length[own]
+        new = np.r_[True, (pg[1:] != pg[:-1]) | (it[1:] != it[:-1])]
         starts, pair = np.flatnonzero(new), np.cumsum(new) - 1
-        size = suffixes.sizes[item[starts]]
-        longest = np.maximum.reduceat(length, starts)
-        # lossless: whatever the chain would take passes both bounds
-        enough = np.flatnonzero((_covered(pair, q, length, len(starts)) >= SCORE * size) & (_bound(pair, p, q, length, len(starts), unit) >= SCORE * size))
-        ends = np.r_[starts[1:], len(page)]
-        for k in enough:
-            a, b, n = starts[k], ends[k], int(size[k])
-            score, begin, end, matched = _chain(p[a:b], q[a:b], length[a:b], unit)
-            stretch = end - begin
-            if stretch >= (SHARE - SLACK) * n and matched >= 0.5 * stretch and score >= SCORE * n:
-                out.append((ids[page[a]], int(suffixes.ids[item[a]]), begin, end, stretch / n, int(longest[k])))
+        sizes, unit = np.diff(np.r_[starts, len(own)]), 0.4 if wide else 1.0
+        size = items.sizes[it[starts]]
+        longest = np.maximum.reduceat(n, starts)
+        # lossless: whatever a chain would take passes both bounds
+        some = np.flatnonzero((_covered(pair, b, n, len(starts)) >= CHAIN * size) & (_bound(pair, a, b, n, len(starts), unit) >= CHAIN * size))
+        chains = _chains(starts[some], sizes[some], a, b, n, unit, size[some])
+        for k in np.flatnonzero(chains[0] >= CHAIN * size[some]):
+            first = starts[some[k]]
+            doc, which = int(pg[first]), int(it[first])
+            score, begin, end, matched, origin, stop = (x[k] for x in chains)
+            text, letters_ = flat[at[doc] : at[doc + 1]], items.flat[items.at[which] : items.at[which + 1]]
+            before, same = _onward(text[:origin][::-1], letters_[:begin][::-1])
+            behind, also = _onward(text[stop:], letters_[end:])
+            begin, end, matched, score = begin - before, end + behind, matched + same + also, score + 2 * (same + also) - before - behind
+            stretch, whole = int(end - begin), len(letters_)
+            if stretch >= (SHARE - SLACK) * whole and matched >= 0.5 * stretch and score >= SCORE * whole:
+                out.append((doc, which, int(begin), int(end), stretch / whole, int(longest[some[k]])))
+    return out
+
+
+def _arrays(flat: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, SuffixArray]]:
+    """The suffix arrays of a shard, each with the numbers of its pages: pages with wide letters, of which there are very many, have their own."""
+    n = np.diff(at)
+    own = np.repeat(np.arange(len(n)), n)
+    wide = np.bincount(own, _wide(flat), len(n)) > 0
+    out = []
+    for kind in (False, True):
+        pages = np.flatnonzero((wide == kind) & (n > 0))
+        if len(pages):
+            out.append((pages, SuffixArray(flat[wide[own] == kind], np.r_[0, np.cumsum(n[pages])])))
     return out
 
 
-def windows(text: str | None, overlap: int) -> Iterator[str]:
-    """The text, a very long one in windows that overlap by more than any passage can span."""
-    text = text or ""
-    if len(text) <= WINDOW:
-        yield text
-        return
-    step = max(WINDOW, 2 * overlap) - overlap
-    for start in range(0, max(1, len(text) - overlap), step):
-        yield text[start : start + step + overlap]
+def search(blocks: list[Items], ids: list[int], texts: list[str]) -> list[tuple]:
+    """Rows of RESULT for a shard of whole pages."""
+    flat, at = letters(texts)
+    arrays, out = _arrays(flat, at), []
+    for items in blocks:
+        for pages, array in arrays:
+            page, *rest = array.matches(items)
+            out += [(ids[r[0]], int(items.ids[r[1]]), *r[2:]) for r in _held(items, (pages[page], *rest), flat, at)]
+    return out
+
 
+def search_long(blocks: list[Items], doc: int, text: str) -> list[tuple]:
+    """The same for one page that is longer than a shard: its parts are searched one by one, their matches chained together."""
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in blocks]
+    whole, before = [], 0
+    for start in range(0, max(1, len(text) - JOINT), SHARD_CHARS):
+        flat, at = letters([text[start : start + SHARD_CHARS], text[start + SHARD_CHARS : start + SHARD_CHARS + JOINT]])
+        for _, array in _arrays(flat, at[[0, 2]]):
+            for items, parts in zip(blocks, found, strict=True):
+                page, item, p, q, length = array.matches(items)
+                parts.append((page, item, p + before, q, length))
+        before += int(at[1])
+        whole.append(flat[: at[1]] if start + SHARD_CHARS + JOINT < len(text) else flat)
+    flat, out = np.concatenate(whole), []
+    for items, parts in zip(blocks, found, strict=True):
+        if parts:
+            matches = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            out += [(doc, int(items.ids[r[1]]), *r[2:]) for r in _held(items, matches, flat, np.array([0, len(flat)]))]
+    return out
 
-def _searcher(suffixes: Suffixes):
-    # a passage with adverts and other columns in between, generously
-    overlap = 20 * int(suffixes.sizes.max(initial=0)) + 10_000
 
+def _searcher(shared: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = suffixes.coder()
+        blocks = [s.value for s in shared]
         ids: list[int] = []
         texts: list[str] = []
         held = 0
 
-        def shard() -> pa.RecordBatch:
-            rows = search(suffixes, coder, ids, texts)
+        def result(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RESULT)], schema=_RESULT)
 
         for batch in batches:
@@ -294,32 +439,37 @@ def _searcher(suffixes: Suffixes):
             boxes = _edges(batch) if "x0" in batch.schema.names else [None] * len(texts_in)
             for doc, text, edges in zip(batch["doc_id"].to_pylist(), texts_in, boxes, strict=True):
                 ordered = column_order(text, edges) if edges else None
-                for part in chain(windows(text, overlap), windows(ordered, overlap) if ordered else ()):
+                for version in (text, ordered):
+                    if version is None:
+                        continue
+                    if len(version) > SHARD_CHARS + JOINT:
+                        yield result(search_long(blocks, doc, version))
+                        continue
                     ids.append(doc)
-                    texts.append(part)
-                    held += len(part)
+                    texts.append(version)
+                    held += len(version)
                     if held >= SHARD_CHARS:
-                        yield shard()
+                        yield result(search(blocks, ids, texts))
                         ids, texts, held = [], [], 0
         if ids:
-            yield shard()
+            yield result(search(blocks, ids, texts))
 
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+def _blocks(items: DataFrame) -> Iterator[Items]:
     """The test items in blocks of at most BLOCK_LETTERS characters (a longer item is a block of its own)."""
     ids: list[int] = []
     texts: list[str] = []
     size = 0
     for r in items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
         if ids and size + len(r[1]) > BLOCK_LETTERS:
-            yield ids, texts
+            yield Items(ids, texts)
             ids, texts, size = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
         size += len(r[1])
-    yield ids, texts
+    yield Items(ids, texts)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -327,15 +477,18 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     One row for each (doc_id, item_id): the stretch as ``from_letter`` and ``to_letter`` of the item's letters, its
     ``share`` of them and the ``longest`` verbatim match. Only letters count; case, accents and look-alike letters are
-    set aside. Null and empty texts hold nothing, a null doc_id is reported as such. The pages are read once and
-    nothing of them is shuffled: each shard of pages is searched where it is read; a block of items is of bounded size.
+    set aside. Null and empty texts hold nothing, a null doc_id is reported as such.
+    Each shard of pages gets its suffix array where it is read, and every test suffix is searched for in it, while the
+    array is in memory; nothing of a page is shuffled or stored. The pages are read once for BLOCKS blocks of test items,
+    each of bounded size, which is what the executors hold of them.
     A page whose columns alternate is searched in the order of its columns as well, by the boxes of its ``lines`` (if
     there are any), and the better stretch counts.
     """
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", *(edge_columns() if "lines" in documents.columns else []))
+    context, blocks = documents.sparkSession.sparkContext, _blocks(items)
     got = None
-    for ids, texts in _blocks(items):
-        part = pages.mapInArrow(_searcher(Suffixes(ids, texts)), RESULT)
+    while shared := [context.broadcast(b) for b in islice(blocks, BLOCKS)]:
+        part = pages.mapInArrow(_searcher(shared), RESULT)
         got = part if got is None else got.unionAll(part)
     best = F.max_by(F.struct("from_letter", "to_letter", "share", "longest"), F.struct("share", "longest")).alias("b")
     return got.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

@@ -63,14 +63,19 @@ def test_blocks_of_items_find_the_same(spark, world, monkeypatch):
     assert set(run(spark, items, pages)) == whole == {(0, 103), (1, 105), (1, 106)}
 
 
-def test_very_long_pages_are_read_whole(spark, world, monkeypatch):
+def test_very_long_pages_are_read_whole(world, monkeypatch):
+    """Pages of many shards: passages at either end, in the middle and across a joint, in parts far from each other."""
+    find = lambda pages: {x[:2] for x in leaks.search([block], list(range(len(pages))), pages)}
     r, items = world
-    monkeypatch.setattr(leaks, "WINDOW", 5000)
     long = passage(r, 30000)
-    pages = [long + " " + items[4][1], items[4][1] + " " + long, long[:90000] + " " + items[4][1] + " " + long[90000:], long, "their wooden gate " * 40000]
-    assert {k for k in run(spark, items, pages)} == {(0, 104), (1, 104), (2, 104)}
-    text = "".join(chr(97 + i % 26) for i in range(60000))
-    assert all(len(w) <= 60000 for w in leaks.windows(text, 700)) and "".join(w[700 * (i > 0) :] for i, w in enumerate(leaks.windows(text, 700))) == text
+    words = items[6][1].split()
+    apart = " ".join(words[:20]) + " " + long[:30000] + " " + " ".join(words[20:45])
+    pages = [long + " " + items[4][1], items[4][1] + " " + long, long[:90000] + " " + items[4][1] + " " + long[90000:], long, "their wooden gate " * 4000, long[:4800] + " " + items[5][1] + long[:400], apart]
+    block = leaks.Items([i for i, _ in items], [t for _, t in items])
+    whole = find(pages)
+    monkeypatch.setattr(leaks, "SHARD_CHARS", 5000)
+    parts = {x[:2] for i, t in enumerate(pages) for x in leaks.search_long([block], i, t)}
+    assert parts == whole == {(0, 104), (1, 104), (2, 104), (5, 105), (6, 106)}
 
 
 def test_empty_tables_and_repeated_rows(spark, world):
@@ -83,31 +88,53 @@ def test_empty_tables_and_repeated_rows(spark, world):
     assert [x.doc_id for x in leaks.without_leaks(docs, found).collect()] == [2]
 
 
-def test_matches_are_the_longest(world):
-    """Every maximal verbatim match of at least the seed's length, as brute force finds it."""
+def made(texts):
+    return leaks.SuffixArray(*letters(texts))
+
+
+def test_suffixes_are_sorted(world):
+    r, items = world
+    for texts in (["banana bandana", "ana", "", "banana bandana", "b"], [passage(r, 200), "ab" * 300, passage(r, 5)], ["旧的租户答应旧的租户", "租"]):
+        s = made(texts)
+        page = [chr(c) for c in s.alphabet]
+        suffix = lambda i: "".join(page[c - 1] for c in s.code[i : i + list(s.code[i:]).index(0)])
+        own = [suffix(i) for i in s.array if s.code[i]]
+        assert own == sorted(own) and len(own) == len(letters(texts)[0])
+
+
+def test_matches_are_the_longest(world, monkeypatch):
+    """Every maximal verbatim match of at least the seed's length, as brute force finds it, however few are looked at at once."""
     r, items = world
-    texts = [passage(r, 30) + " " + items[2][1][40:160] + " " + passage(r, 10), passage(r, 40)]
-    s = leaks.Suffixes([i for i, _ in items], [t for _, t in items])
+    texts = [passage(r, 30) + " " + items[2][1][40:160] + " " + passage(r, 10), "", passage(r, 40), "do " * 60]
+    items = [*items, (400, "do " * 30)]
+    block = leaks.Items([i for i, _ in items], [t for _, t in items])
     flat, at = letters(texts)
-    code = s.coder()[flat]
-    got = {tuple(map(int, x)) for x in zip(*leaks._matches(s, 0, code, at, leaks._five(code)), strict=True)}
-    want = set()
-    for page in range(len(texts)):
-        p = flat[at[page] : at[page + 1]]
-        for k, (_, t) in enumerate(items):
-            q = letters([t])[0]
-            if s.is_wide[k] or not len(q):
-                continue
-            same = p[:, None] == q[None, :]
-            for a, b in zip(*np.nonzero(same), strict=True):
-                if a and b and same[a - 1, b - 1]:
-                    continue
-                n = 0
-                while a + n < len(p) and b + n < len(q) and same[a + n, b + n]:
-                    n += 1
-                if n >= leaks.SEED:
-                    want.add((page, k, int(a), int(b), n))
-    assert got == want
+    for at_once in (leaks.AT_ONCE, 7):
+        monkeypatch.setattr(leaks, "AT_ONCE", at_once)
+        got = [tuple(map(int, x)) for x in zip(*made(texts).matches(block), strict=True)]
+        want = set()
+        for page in range(len(texts)):
+            p = flat[at[page] : at[page + 1]]
+            for k, (_, t) in enumerate(items):
+                q = letters([t])[0]
+                same = p[:, None] == q[None, :]
+                for a, b in zip(*np.nonzero(same), strict=True):
+                    if a and b and same[a - 1, b - 1]:
+                        continue
+                    n = 0
+                    while a + n < len(p) and b + n < len(q) and same[a + n, b + n]:
+                        n += 1
+                    if n >= block.seeds[k]:
+                        want.add((page, k, int(a), int(b), n))
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_periodic_pages_form_no_pairs(world):
+    """An item and a page of one period match at every other letter; only what begins at an end is kept."""
+    block = leaks.Items([1], ["do " * 200])
+    page, item, p, q, n = made(["do " * 20000]).matches(block)
+    assert len(page) <= 20000 + 200 and n.max() == 400
+    assert [x[:4] for x in leaks.search([block], [7], ["do " * 20000])] == [(7, 1, 0, 400)]
 
 
 def test_letters_fold():
@@ -143,16 +170,36 @@ def test_short_items_and_pieces_of_ten_letters_are_found(spark, world):
 
 
 def test_no_chain_scores_more_than_its_bounds(monkeypatch):
-    """The bounds before the chain lose nothing, and few matches chain as many do."""
+    """The bounds before the chain lose nothing, and many matches chain as few do."""
     r = np.random.default_rng(5)
-    for _ in range(300):
+    for _ in range(400):
         n, unit = int(r.integers(1, 14)), float(r.choice([1.0, 0.4]))
-        q, length = r.integers(0, 150, n), r.integers(4, 30, n)
+        q, length = r.integers(0, 150, n), r.integers(9, 30, n)
         p = np.where(r.random(n) < 0.5, q + 40 + r.integers(-9, 9, n), r.integers(0, 1500, n))
-        few = leaks._chain(p, q, length, unit)
+        order = np.lexsort((q, p))
+        p, q, length = p[order], q[order], length[order]
+        few = [x[0] for x in leaks._chains(np.array([0]), np.array([n]), p, q, length, unit, np.array([200]))]
         with monkeypatch.context() as m:
-            m.setattr(leaks, "FEW", 0)
-            assert leaks._chain(p, q, length, unit) == few
+            m.setattr(leaks, "WIDTH", 0)
+            many = [x[0] for x in leaks._chains(np.array([0]), np.array([n]), p, q, length, unit, np.array([200]))]
+        assert many[0] == pytest.approx(few[0])
         pair = np.zeros(n, np.int64)
         assert few[0] <= leaks._covered(pair, q, length, 1)[0] + 1e-9
         assert few[0] <= leaks._bound(pair, p, q, length, 1, unit)[0] + 1e-9
+
+
+def test_passages_with_misread_letters_are_found(spark, world):
+    """Two fifths of an item, a tenth of whose letters are misread, and the whole with a seventh, far apart in parts."""
+    r, items = world
+    noise = lambda s, share: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() and r.random() < share else c for c in s)
+    pages, want = [], set()
+    for k in range(60):
+        i, t = items[k % 12]
+        n = len(t) * 2 // 5
+        a = r.randrange(len(t) - n)
+        pages.append(passage(r, 40) + " " + (noise(t[a : a + n], 0.1) if k % 2 else noise(t, 0.14)) + " " + passage(r, 40))
+        want.add((k, i))
+    apart = items[3][1]
+    pages.append((" " + passage(r, 400) + " ").join(apart[x : x + len(apart) // 4] for x in range(0, len(apart), len(apart) // 4)))
+    got = set(run(spark, items, pages))
+    assert len(got & want) >= 54 and not got - want - {(60, items[3][0])} and (60, items[3][0]) in got
