@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.session import written
@@ -16,9 +17,8 @@ DELTA = 400
 CHUNK_ROWS = 250_000
 KEYS = ("engine", "state", "day")
 STATE = "engine string, state string, day int, n double, means binary, weights binary"
-#: Estimates up to so many rows are broadcast in the second pass; more are joined on a salted key.
-BROADCAST_ROWS = 200_000
-SALTS = 64
+#: What no estimate's rank is off by, as a share of its group. Groups of up to EXACT values are held value by value.
+MAX_RANK_ERROR, EXACT = 0.01, 200
 
 
 def cluster(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,8 +36,14 @@ def cluster(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def quantiles(means: np.ndarray, weights: np.ndarray, qs: Sequence[float]) -> np.ndarray:
-    """Values at the ranks ``qs``, between the centroids' middle ranks by linear interpolation."""
-    return np.interp(np.asarray(qs) * weights.sum(), np.cumsum(weights) - weights / 2, means)
+    """Values at the ranks ``qs``, of which the k-th value holds those from (k - 1) / n, exclusive, to k / n.
+
+    Where a rank falls into a centroid of one value it is that value; else it is interpolated between the centroids'
+    middle ranks.
+    """
+    upto, rank = np.cumsum(weights), np.asarray(qs) * weights.sum()
+    at = np.minimum(np.searchsorted(upto, rank, "left"), len(means) - 1)
+    return np.where(weights[at] == 1, means[at], np.interp(rank, upto - weights / 2, means))
 
 
 #: Digests that a task holds at most before it hands them on.
@@ -150,43 +156,42 @@ def _merged(qs: tuple[float, ...]):
     return run
 
 
-def grouped(df: DataFrame) -> DataFrame:
-    """Every row once for each of the 8 combinations of the keys, ``kept`` telling which are kept (the others null)."""
-    kept = F.col("kept")
-    wide = df.withColumn("kept", F.explode(F.array(*[F.lit(i).cast("tinyint") for i in range(8)])))
-    return wide.withColumns({k: F.when(kept.bitwiseAND(F.lit(1 << i)) != 0, F.col(k)) for i, k in enumerate(KEYS)})
-
-
 def merge_digests(partials: DataFrame, qs: Sequence[float]) -> DataFrame:
     """One digest for each (kept, engine, state, day) and its ``estimates`` at ``qs``; the digests can be merged on."""
     by = ("kept", *KEYS)
     return partials.repartition(*by).sortWithinPartitions(*by).mapInArrow(_merged(tuple(qs)), f"kept tinyint, {STATE}, estimates array<double>")
 
 
+def _masked(df: DataFrame, kept: Column, prefix: str = "") -> DataFrame:
+    """``df`` with the keys that ``kept`` does not keep set to null."""
+    return df.withColumns({f"{prefix}{k}": F.when(kept.bitwiseAND(F.lit(1 << i)) != 0, F.col(k)) for i, k in enumerate(KEYS)})
+
+
+def _on(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
+
+
 def certify(estimates: DataFrame, rows: DataFrame, qs: Sequence[float]) -> DataFrame:
     """Count for each estimate the values below and up to it, in a second pass over ``rows``.
 
-    A rank error is how far q n lies outside [count below, count up to] the estimate, over n. Equal values are counted
-    before they are spread over the combinations. Adds ``rank_errors`` (one a q) and drops the digests.
+    A rank error is how far q n lies outside [count below, count up to] the estimate, over n. Adds ``rank_errors`` (one a
+    q) and drops the digests. Every finest group gets the estimates of the eight groups it belongs to in one array; a
+    value is compared with all of them, so no row is spread over the combinations, only the finest groups' counts are.
     """
+    sets, n = 1 << len(KEYS), len(qs)
+    named = estimates.select(*[F.col(c).alias(f"_{c}") for c in ("kept", *KEYS)], "estimates")
+    finest = estimates.where(F.col("kept") == sets - 1).select(*KEYS, F.explode(F.array(*[F.lit(i).cast("tinyint") for i in range(sets)])).alias("kept"))
+    wide = _masked(finest, F.col("kept"), "m_").join(named, (F.col("kept") == F.col("_kept")) & _on([f"m_{k}" for k in KEYS], [f"_{k}" for k in KEYS]))
+    cuts = wide.groupBy(*KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kept", "estimates"))), lambda x: x["estimates"])).alias("cuts")).select(*[F.col(k).alias(f"_{k}") for k in KEYS], "cuts")
     counts = rows.where(F.col("value").isNotNull()).groupBy(*KEYS, F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("w"))
-    est = estimates.select("kept", *KEYS, "n", "estimates")
-    if est.count() <= BROADCAST_ROWS:
-        salted, est, salt = grouped(counts), F.broadcast(est.withColumn("salt", F.lit(0))), F.lit(0)
-    else:
-        salted, est, salt = grouped(counts), est.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
-    salted = salted.select(*[F.col(c).alias(f"_{c}") for c in ("kept", *KEYS)], "value", "w", salt.alias("_salt"))
-    on = F.col("kept").eqNullSafe(F.col("_kept")) & (F.col("salt") == F.col("_salt"))
-    for k in KEYS:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    hit = salted.join(est, on)
-    sums = []
-    for i in range(len(qs)):
-        v = F.col("estimates")[i]
-        sums += [F.sum(F.when(F.col("value") < v, F.col("w")).otherwise(0)).alias(f"lt{i}"), F.sum(F.when(F.col("value") <= v, F.col("w")).otherwise(0)).alias(f"le{i}")]
-    got = hit.groupBy("kept", *KEYS).agg(F.first("n").alias("n"), F.first("estimates").alias("estimates"), *sums)
-    # an interpolated estimate lies between values: it answers for either neighbour, so one rank of slack is its due
-    errors = [F.greatest(F.lit(0.0), F.col(f"lt{i}") - q * F.col("n") - 1, q * F.col("n") - F.col(f"le{i}") - 1) / F.col("n") for i, q in enumerate(qs)]
+    hit = counts.join(cuts, _on(KEYS, [f"_{k}" for k in KEYS]))
+    sums = [F.sum(F.when(test(F.col("value"), F.col("cuts")[i]), F.col("w")).otherwise(0)).alias(f"{name}{i}") for i in range(sets * n) for name, test in (("lt", lambda a, b: a < b), ("le", lambda a, b: a <= b))]
+    own = hit.groupBy(*KEYS).agg(*sums)
+    per_set = [F.struct(F.lit(s).cast("tinyint").alias("kept"), *[F.col(f"{name}{s * n + i}").alias(f"{name}_{i}") for i in range(n) for name in ("lt", "le")]) for s in range(sets)]
+    spread = _masked(own.select(*KEYS, F.explode(F.array(*per_set)).alias("x")).select(*KEYS, "x.*"), F.col("kept"))
+    total = spread.groupBy("kept", *KEYS).agg(*[F.sum(f"{name}_{i}").alias(f"{name}_{i}") for i in range(n) for name in ("lt", "le")]).select(*[F.col(c).alias(f"_{c}") for c in ("kept", *KEYS)], *[f"{name}_{i}" for i in range(n) for name in ("lt", "le")])
+    got = estimates.join(total, (F.col("kept") == F.col("_kept")) & _on(KEYS, [f"_{k}" for k in KEYS]))
+    errors = [F.greatest(F.lit(0.0), F.col(f"lt_{i}") - q * F.col("n"), q * F.col("n") - F.col(f"le_{i}")) / F.col("n") for i, q in enumerate(qs)]
     return got.select("kept", *KEYS, F.col("n").cast("bigint").alias("n"), "estimates", F.array(*errors).alias("rank_errors"))
 
 

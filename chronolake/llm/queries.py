@@ -12,8 +12,6 @@ from chronolake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-#: The rank error no percentile may exceed, as a share of its group.
-MAX_RANK_ERROR = 0.01
 
 
 def p4_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +50,12 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups and whether every percentile of theirs keeps the rank error bound."""
-    return p6_percentiles(spark, sf_dir).select("grouped_by", "engine", "state", "day_utc", "n", (F.col("rank_error") <= MAX_RANK_ERROR).alias("within_bound"))
+    return p6_percentiles(spark, sf_dir).select("grouped_by", "engine", "state", "day_utc", "n", (F.col("rank_error") <= digest.MAX_RANK_ERROR).alias("within_bound"))
+
+
+def p6_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the groups whose digests hold every value, which are values of the group."""
+    return p6_percentiles(spark, sf_dir).where(F.col("n") <= digest.EXACT).drop("rank_error")
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +93,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), with_text=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_bounded, p4_small_sets, p6_percentiles, p6_certified, p8_pack, p8_fill, p9_found, p9_stretches, p9_clean, p10_found, p10_sentences)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_bounded, p4_small_sets, p6_percentiles, p6_certified, p6_small_groups, p8_pack, p8_fill, p9_found, p9_stretches, p9_clean, p10_found, p10_sentences)}
 
 
 
@@ -111,10 +114,14 @@ def _exact_counts(condition: str) -> str:
     return "SELECT table_name, dim_name, grouped_by, day_utc, CAST(kkm_id AS INTEGER) AS kkm_id, CAST(operation_type AS INTEGER) AS operation_type, n FROM (" + " UNION ALL ".join(parts) + f") WHERE {condition}"
 
 
+_LOG = (
+    "WITH once AS (SELECT * FROM query_metrics QUALIFY row_number() OVER (PARTITION BY query_id, partition_id ORDER BY total_duration DESC NULLS LAST, state DESC NULLS LAST, engine DESC NULLS LAST, start_date DESC NULLS LAST) = 1), "
+    "log AS (SELECT upper(trim(engine)) AS engine, upper(trim(state)) AS state, strftime(start_date AT TIME ZONE 'UTC', '%Y-%m-%d') AS day_utc, total_duration AS value FROM once WHERE total_duration >= 0) "
+)
+
 SQL: dict[str, str] = {
     "p4_bounded": _exact_counts("n >= 1"),
     "p4_small_sets": _exact_counts(f"n BETWEEN 1 AND {expsketch.SEEDS}"),
-    "p6_certified": "WITH once AS (SELECT * FROM query_metrics QUALIFY row_number() OVER (PARTITION BY query_id, partition_id ORDER BY total_duration DESC NULLS LAST, state DESC NULLS LAST, engine DESC NULLS LAST, start_date DESC NULLS LAST) = 1), "
-    "log AS (SELECT upper(trim(engine)) AS engine, upper(trim(state)) AS state, strftime(start_date AT TIME ZONE 'UTC', '%Y-%m-%d') AS day_utc FROM once WHERE total_duration >= 0) "
-    f"SELECT {_grouped_by('engine', 'state', 'day_utc')} AS grouped_by, engine, state, day_utc, count(*) AS n, true AS within_bound FROM log GROUP BY CUBE (engine, state, day_utc)",
+    "p6_certified": _LOG + f"SELECT {_grouped_by('engine', 'state', 'day_utc')} AS grouped_by, engine, state, day_utc, count(*) AS n, true AS within_bound FROM log GROUP BY CUBE (engine, state, day_utc)",
+    "p6_small_groups": _LOG + f"SELECT {_grouped_by('engine', 'state', 'day_utc')} AS grouped_by, engine, state, day_utc, count(*) AS n, " + ", ".join(f"CAST(quantile_disc(value, {q}) AS DOUBLE) AS p{round(q * 100)}" for q in QS) + f" FROM log GROUP BY CUBE (engine, state, day_utc) HAVING count(*) <= {digest.EXACT}",
 }

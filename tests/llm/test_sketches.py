@@ -153,13 +153,22 @@ def test_merged_digests_keep_their_rank_error():
         assert max(0, low - q, q - high) < 0.01
 
 
+def test_groups_of_few_values_are_held_value_by_value():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 50, digest.EXACT):
+        values = np.sort(r.lognormal(5, 2, n).round())
+        parts = [digest.cluster(np.sort(p), np.ones(len(p))) for p in np.array_split(r.permutation(values), min(n, 5))]
+        means, weights = digest._merge(parts)
+        assert (weights == 1).all() or len(set(values)) < n
+        got = digest.quantiles(means, weights, (0.01, 0.25, 0.5, 0.99, 1.0))
+        assert got.tolist() == [values[max(0, int(np.ceil(q * n - 1e-9)) - 1)] for q in (0.01, 0.25, 0.5, 0.99, 1.0)]
+
+
 METRICS = "query_id string, partition_id string, start_date timestamp, total_duration bigint, state string, engine string, extra int"
 
 
-@pytest.mark.parametrize("n,broadcast", [(0, True), (1, True), (3000, True), (3000, False)])
-def test_percentiles(spark, monkeypatch, n, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(digest, "BROADCAST_ROWS", -1)
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_percentiles(spark, n):
     r = random.Random(n)
     data = [(f"q{r.randrange(n)}", r.choice([None, "p0"]), r.choice([None, T0, T0 + timedelta(days=1)]), r.choice([None, -1, 0, 5, int(10 ** r.uniform(0, 6))]), r.choice(["OK ", "ok", None]), r.choice(["A", "a", None]), 1) for _ in range(n)]
     got = digest.percentiles(spark.createDataFrame(data, METRICS), (0.1, 0.5, 0.99)).collect()
@@ -180,4 +189,6 @@ def test_percentiles(spark, monkeypatch, n, broadcast):
         values = np.array(want[x.kept, x.engine, x.state, x.day], float)
         assert max(x.rank_errors) <= 0.01
         for q, v, e in zip((0.1, 0.5, 0.99), x.estimates, x.rank_errors, strict=True):
-            assert e == pytest.approx(max(0, ((values < v).sum() - q * len(values) - 1) / len(values), (q * len(values) - (values <= v).sum() - 1) / len(values)))
+            assert e == pytest.approx(max(0, ((values < v).sum() - q * len(values)) / len(values), (q * len(values) - (values <= v).sum()) / len(values)))
+            if len(values) <= digest.EXACT:
+                assert v == np.sort(values)[max(0, int(np.ceil(q * len(values) - 1e-9)) - 1)]
