@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -11,6 +10,7 @@ from statistics import median
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,72 +40,134 @@ _WIDE = re.compile("[぀-鿿ｦ-ﾝ\U00020000-\U0002ffff]")
 _THAI = re.compile("[ก-๎]")
 _GREEK = re.compile("[Ͱ-Ͽ]")
 
-#: Bins of the corpus word counts, whatever the size of the corpus: its table always fits a broadcast.
-BINS = 1 << 18
-COUNTS = ("total", "lower", "dotted", "marked")
-
-
-def word_bin(word: str) -> int:
-    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & (BINS - 1)
-
-
-def count_words(texts: Sequence[str | None], counts: np.ndarray, pairs: Counter) -> None:
-    """Add the words of ``texts`` to ``counts`` (a row a bin: COUNTS) and to ``pairs`` what follows a full stop.
-
-    Counted are all occurrences, those in lower case, before a full stop and before another mark; ``pairs`` has (bin of
-    the word before, bin of the capitalised word behind, or -1 if that begins with a small letter or a digit).
-    """
-    seen: Counter = Counter()
-    for t in texts:
-        if t:
-            seen.update(_COUNTED.findall(t))
-    of: dict[str, int] = {}
-
-    def bin_of(word: str) -> int:
-        b = of.get(word)
-        if b is None:
-            b = of[word] = word_bin(word)
-        return b
-
-    for (word, mark, after), n in seen.items():
-        if len(word) > 3 and word.isupper():
-            continue  # headings say nothing about case
-        row = counts[bin_of(word)]
-        row[0] += n
-        if word[0].islower():
-            row[1] += n
-        if mark == ".":
-            row[2] += n
-            if after:
-                pairs[bin_of(word), bin_of(after) if after[0].isupper() else -1] += n
-        elif mark:
-            row[3] += n
+#: A capitalised word right behind a bare number and its full stop.
+_NUMBERED = re.compile(r"(?<!\d)(?<!\d[.,])\d{1,2}\.\s+([^\W\d_]+)")
+#: In scripts without capitals: the marks at a sentence's end, the quotation marks that close there, and what follows up to the next mark.
+_CASELESS = re.compile("[぀-鿿ऀ-ॏ؀-ۿ]")
+_FOLLOWS = re.compile(rf"[{re.escape(_MARKS)}]([\"”’」』»]?)\s*([^{re.escape(_MARKS + OPENERS)}:：”’」』»]{{1,40}})(?=[{re.escape(_MARKS)}])")
+_WIDE_LETTER = re.compile("[぀-鿿]")
+
+#: Words that make up less than this share of the corpus are unknown; so a lexicon has fewer than 1 / RAREST words,
+#: however large the corpus, and a word's fate does not depend on the corpus' size.
+RAREST = 2.0**-22
+#: Kinds of words that a task counts at most before it hands them on.
+HELD = 400_000
+#: Counted for each word: all occurrences, those in lower case, before a full stop, before another mark, behind a number
+#: and its full stop. For what opens or closes the clause behind a quotation's end: times there and at other places.
+COUNTS = ("total", "lower", "dotted", "marked", "numbered", "quoted", "unquoted")
+
+
+def word_key(word: str) -> int:
+    """64 bits that stand for a word in any case."""
+    return xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def clause_ends(clause: str) -> tuple[str, str]:
+    """What opens and what closes a clause: a letter in scripts without blanks, else a word; marked as such."""
+    words = list(clause) if _WIDE_LETTER.search(clause) else clause.split()
+    words = [w for w in words if not w.isspace()]
+    return (f"\x01{words[0]}", f"\x02{words[-1]}") if words else ("", "")
+
+
+class Counter_:
+    """Counts of the words of texts, by kind of occurrence."""
+
+    def __init__(self) -> None:
+        self.seen: Counter = Counter()
+
+    def add(self, text: str | None) -> None:
+        if not text:
+            return
+        self.seen.update(_COUNTED.findall(text))
+        self.seen.update([("", "1", w) for w in _NUMBERED.findall(text) if w[0].isupper()])
+        if _CASELESS.search(text):
+            for closed, clause in _FOLLOWS.findall(text):
+                kind = "q" if closed else "u"
+                self.seen.update([("", kind, w) for w in clause_ends(clause) if w])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, word behind and counts. The word behind is PLAIN for a word's own counts; of a pair (the capitalised
+        word behind a full stop, or SMALL for a small letter or digit) the first count says how often."""
+        keys: dict[str, int] = {}
+
+        def key(word: str) -> int:
+            k = keys.get(word)
+            if k is None:
+                k = keys[word] = word_key(word)
+            return k
+
+        own: dict[int, list[int]] = {}
+        pairs: Counter = Counter()
+        for (word, mark, after), n in self.seen.items():
+            if not word:
+                row = own.setdefault(key(after), [0] * len(COUNTS))
+                row[{"1": 4, "q": 5, "u": 6}[mark]] += n
+                continue
+            if len(word) > 3 and word.isupper():
+                continue  # headings say nothing about case
+            row = own.setdefault(key(word), [0] * len(COUNTS))
+            row[0] += n
+            if word[0].islower():
+                row[1] += n
+            if mark == ".":
+                row[2] += n
+                if after:
+                    pairs[key(word), key(after) if after[0].isupper() else SMALL] += n
+            elif mark:
+                row[3] += n
+        self.seen.clear()
+        both = np.array(list(pairs), np.int64).reshape(-1, 2)
+        word = np.r_[np.fromiter(own, np.int64, len(own)), both[:, 0]]
+        behind = np.r_[np.full(len(own), PLAIN, np.int64), both[:, 1]]
+        counts = np.zeros((len(word), len(COUNTS)), np.int64)
+        counts[: len(own)] = np.array(list(own.values()), np.int64).reshape(-1, len(COUNTS))
+        counts[len(own) :, 0] = np.fromiter(pairs.values(), np.int64, len(pairs))
+        return word, behind, counts
+
+
+PLAIN, SMALL = -2, -1
+#: What is said of a word, each from 0 to 1; see Lexicon.word.
+SHARES = ("opening", "abbreviation", "small", "closing", "ordinal", "attribution")
 
 
 class Lexicon:
-    """What the corpus says about words: how far they open or close sentences or are abbreviations.
-
-    ``counts``: a row a bin with total, lower, dotted, marked and, of the dotted, those with a word behind that opens no
-    sentence (``inside``) and among these those with a small letter or digit (``small``).
-    """
+    """What the corpus says about words, each a row of SHARES; words are sorted by their keys."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self._known: dict[str, tuple[float, float, float, float]] = {}
+    def __init__(self, keys: np.ndarray, shares: np.ndarray):
+        self.keys, self.shares = keys, shares
+        self._known: dict[str, tuple[float, ...]] = {}
 
-    def word(self, w: str) -> tuple[float, float, float, float]:
-        """(how far a capital opens a sentence, share as an abbreviation, share of small letters behind its stop, share at a sentence's end)."""
+    def word(self, w: str) -> tuple[float, ...]:
+        """How far a capital opens a sentence, share as an abbreviation, share of small letters behind its stop, share at a
+        sentence's end, share behind a number and its stop, share behind a quotation (of what opens or closes a clause)."""
         got = self._known.get(w)
         if got is None:
-            total, lower, dotted, marked, inside, small = self.counts[word_bin(w)].tolist()
-            ends = marked + max(0, dotted - inside)
-            opening = min(1.0, lower / (0.6 * total + 0.5))  # mostly written small: a capital then opens a sentence
-            got = (opening, inside * inside / (max(dotted, 1) * (total + 3.0)), small / (inside + 1.0), (ends + 0.3) / (total + 5.0))
+            k = word_key(w)
+            i = int(np.searchsorted(self.keys, k))
+            got = tuple((self.shares[i] / 65535.0).tolist()) if i < len(self.keys) and self.keys[i] == k else UNKNOWN
             if len(self._known) < 500_000:
                 self._known[w] = got
         return got
 
 
+#: A word that the lexicon does not have.
+UNKNOWN = (0.0, 0.0, 0.0, 0.06, 0.0, 0.0)
+
+
+def shares_of(counts: np.ndarray, inside: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """SHARES of words from their counts, of the dotted those with a word behind that opens no sentence, and among these those with a small letter or digit."""
+    total, lower, dotted, marked, numbered, quoted, unquoted = counts.T.astype(np.float64)
+    shares = [
+        np.minimum(1.0, lower / (0.6 * total + 0.5)),  # mostly written small: a capital then opens a sentence
+        inside * inside / (np.maximum(dotted, 1) * (total + 3.0)),
+        small / (inside + 1.0),
+        (marked + np.maximum(0, dotted - inside) + 0.3) / (total + 5.0),
+        numbered / (total + 3.0),
+        quoted / (quoted + unquoted + 3.0),
+    ]
+    return np.round(np.clip(np.stack(shares, axis=1), 0, 1) * 65535).astype(np.uint16)
+
+
 def _before(s: str, at: int) -> str:
     """The run of letters and digits that ends at ``at``."""
     i = at
@@ -153,10 +215,24 @@ def _paired(s: str, quotes: list[tuple[int, int]]) -> list[bool]:
 
 _BRACKETS = "()（）[]【】"
 _QUOTE = re.compile(f"[{re.escape(QUOTES)}]")
-# Months that are written with a capital behind an ordinal number.
-MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember January February March May June July October December".split())
-# Words of who said it, which follow a quotation in scripts without capitals.
-SAID = re.compile(r"\s*(?:と|[^。！？：:「“『]{0,14}(?:说|說|问|問|答|喊)道?\s*[。．.！？]|(?:قال|قالت|سأل|سألت|أجاب|صاح|رد)\b[^:.!؟]{0,30}[.!؟]|[^।!?:]{0,30}(?:कहा|पूछा|बोला|उत्तर दिया|जवाब दिया)\s*[।.|!?])")
+#: Shares from which on a word counts as one that follows ordinal numbers (a month, say), and as one that tells who said
+#: what was quoted.
+ORDINAL, ATTRIBUTION = 0.1, 0.5
+_CLAUSE = re.compile(rf"\s*([^{re.escape(_MARKS + OPENERS)}:：]{{1,40}})[{re.escape(_MARKS)}]")
+
+
+def _said(s: str, at: int, lex: Lexicon) -> bool:
+    """Whether the clause at ``at``, behind a quotation's end, tells who said it: by what usually opens or closes such clauses."""
+    m = _CLAUSE.match(s, at)
+    clause = m.group(1) if m else s[at : at + 8].strip()
+    if not clause:
+        return False
+    first, last = clause_ends(clause)
+    wide = bool(_WIDE_LETTER.search(clause))
+    short = bool(m) and len(clause.strip()) <= (16 if wide else 32)
+    return bool(first) and (lex.word(first)[5] > ATTRIBUTION and (wide or short) or short and lex.word(last)[5] > ATTRIBUTION)
+
+
 #: Words up to which a sentence's length costs nothing, and what each further one costs.
 LONG_WORDS, LONG_COST = 50, 0.04
 
@@ -230,7 +306,7 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
             elif nxt.isdigit():
                 score = 3.0
             else:
-                score = 6.0 if mark[-1] in STRONG or not SAID.match(s, b) else -6.0
+                score = 6.0 if mark[-1] in STRONG or not _said(s, b, lex) else -6.0
             if not blank and cased and not upper:
                 score -= 4.0
         elif "…" in mark or ".." in mark:
@@ -253,7 +329,7 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                 if not blank and first == "." and not closed:
                     continue
             else:
-                lower_share, dotted, low, close = lex.word(prev) if prev else (0.0, 0.0, 0.0, 0.05)
+                _, dotted, low, *_ = lex.word(prev) if prev else UNKNOWN
                 digit = prev.isdigit()
                 i = a - len(prev)
                 number_before = prev and i >= 2 and (s[i - 1].isspace() and s[i - 2].isdigit())
@@ -272,7 +348,7 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                     if prev.isupper() and w.isupper():
                         opening *= 0.2  # within capitals a capital says little
                     if digit:
-                        score = 4.0 if decimal else -6.0 if w in MONTHS else 3.0 if counted else -3.0 + 7.0 * opening
+                        score = 4.0 if decimal else -6.0 if lex.word(w)[4] > ORDINAL else 3.0 if counted else -3.0 + 7.0 * opening
                     elif abbr < 0.3:
                         score = 5.0
                     else:
@@ -287,7 +363,7 @@ def _candidates(s: str, lex: Lexicon) -> list[tuple[int, float, int]]:
                     score = 1.5 if digit or abbr < 0.45 else -5.0
                 else:
                     score = (4.0 if abbr < 0.45 else -4.0) if not digit else 4.0 if decimal or counted else 3.0 if "؀" <= nxt <= "ۿ" else -1.0
-                    if closed and SAID.match(s, b):
+                    if closed and _said(s, b, lex):
                         score = -6.0
                 if first in "·．":
                     score -= 1.0
@@ -334,7 +410,7 @@ def segment(s: str, lex: Lexicon) -> list[int]:
         cand = sorted([c for c in cand if c[0] not in taken and (c[1] > 3 and s[c[0] - 1] != ".")] + spaces)
     places = [(0, 0.0, 0)]
     for c in cand:
-        if c[1] > -4.5 and places[-1][0] < c[0] < end:
+        if places[-1][0] < c[0] < end:
             places.append(c)
     places.append((end, 0.0, end))
     n = len(places)
@@ -568,38 +644,48 @@ def sentence_ends(text: str | None, boxes: Boxes | None, lex: Lexicon) -> list[i
     return sorted({end for end, _ in page_units(text, boxes, lex)})
 
 
+_COUNTED_ROWS = "word bigint, behind bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, pairs = np.zeros((BINS, len(COUNTS)), np.int64), Counter()
+    counter = Counter_()
+
+    def batch() -> pa.RecordBatch:
+        word, behind, counts = counter.rows()
+        return pa.record_batch([pa.array(word), pa.array(behind), *[pa.array(np.ascontiguousarray(c)) for c in counts.T]], names=["word", "behind", *COUNTS])
+
     for b in batches:
-        count_words(b["text"].to_pylist(), counts, pairs)
-    keys = np.flatnonzero(counts[:, 0])
-    words = [pa.array(keys), pa.array(np.full(len(keys), -2)), *[pa.array(counts[keys, i]) for i in range(len(COUNTS))]]
-    names = ["bin", "behind", *COUNTS]
-    yield pa.record_batch(words, names=names)
-    both = np.array(list(pairs), np.int64).reshape(-1, 2)
-    zero = pa.array(np.zeros(len(both), np.int64))
-    yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.fromiter(pairs.values(), np.int64, len(pairs))), zero, zero, zero], names=names)
+        for text in b["text"].to_pylist():
+            counter.add(text)
+            if len(counter.seen) >= HELD:
+                yield batch()
+    yield batch()
 
 
 def lexicon(documents: DataFrame) -> Lexicon:
-    """Word counts over all pages, in BINS bins: that many rows come to the driver at most, however large the corpus."""
-    schema = "bin bigint, behind bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    rows = documents.where(F.col("text").isNotNull()).select("text").mapInArrow(_counter, schema)
-    sums = written(rows.groupBy("bin", "behind").agg(*[F.sum(c).alias(c) for c in COUNTS]), "word-counts")
-    words = sums.where("behind = -2").drop("behind")
+    """What all pages say about words. Fewer than 1 / RAREST words come to the driver, 20 bytes each, however large the corpus."""
+    rows = documents.where(F.col("text").isNotNull()).select("text").mapInArrow(_counter, _COUNTED_ROWS)
+    sums = written(rows.groupBy("word", "behind").agg(*[F.sum(c).alias(c) for c in COUNTS]), "word-counts")
+    plain = sums.where(F.col("behind") == PLAIN).drop("behind")
+    least = RAREST * (plain.agg(F.sum("total")).first()[0] or 0)
+    words = plain.where(F.greatest("total", F.col("quoted") + F.col("unquoted")) >= least)
     # a capitalised word that is mostly written small opens a sentence; any other is a name or a noun inside one
-    opens = words.select(F.col("bin").alias("_b"), (F.col("lower") >= 0.5 * F.col("total")).alias("opens"))
-    pairs = sums.where("behind <> -2").join(opens, F.col("behind") == F.col("_b"), "left")
-    inside = pairs.groupBy(F.col("bin").alias("_w")).agg(F.sum(F.when(~F.coalesce("opens", F.lit(False)), F.col("total")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("behind") == -1, F.col("total")).otherwise(0)).alias("small"))
-    got = words.join(inside, F.col("bin") == F.col("_w"), "left").na.fill(0, ["inside", "small"]).select("bin", *COUNTS, "inside", "small").toArrow()
-    return Lexicon(_table(got))
-
-
-def _table(got: pa.Table) -> np.ndarray:
-    counts = np.zeros((BINS, len(COUNTS) + 2), np.int64)
-    if got.num_rows:
-        counts[got["bin"].to_numpy()] = np.stack([got[c].to_numpy() for c in (*COUNTS, "inside", "small")], axis=1)
-    return counts
+    opens = plain.where(F.col("lower") >= 0.5 * F.col("total")).select(F.col("word").alias("_b"), F.lit(True).alias("opens"))
+    pairs = sums.where(F.col("behind") != PLAIN).join(opens, F.col("behind") == F.col("_b"), "left")
+    inside = pairs.groupBy(F.col("word").alias("_w")).agg(F.sum(F.when(~F.coalesce("opens", F.lit(False)), F.col("total")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("behind") == SMALL, F.col("total")).otherwise(0)).alias("small"))
+    told = words.join(inside, F.col("word") == F.col("_w"), "left").na.fill(0, ["inside", "small"]).select("word", *COUNTS, "inside", "small")
+    got = told.mapInArrow(_shared, "word bigint, shares binary").toArrow()
+    keys = got["word"].to_numpy()
+    order = np.argsort(keys)
+    table = np.frombuffer(b"".join(got["shares"].to_pylist()), np.uint16).reshape(-1, len(SHARES))
+    return Lexicon(keys[order], table[order])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        counts = np.stack([b[c].to_numpy() for c in COUNTS], axis=1)
+        shares = shares_of(counts, b["inside"].to_numpy(), b["small"].to_numpy())
+        yield pa.record_batch([b["word"], pa.array([r.tobytes() for r in shares], pa.binary())], names=["word", "shares"])
 
 
 _EDGES = ("x0", "y0", "x1", "y1")
@@ -626,7 +712,7 @@ def _edges(b: pa.RecordBatch) -> list[Boxes | None]:
 
 def _splitter(shared, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(shared.value)
+        lex = Lexicon(*shared.value)
         for b in batches:
             ids, texts, boxes = b["doc_id"].to_pylist(), b["text"].to_pylist(), _edges(b)
             out_ids, out_ends, out_texts = [], [], []
@@ -650,10 +736,17 @@ def sentences(documents: DataFrame, with_text: bool = False) -> DataFrame:
 
     Offsets count Unicode code points. Null and empty texts, and texts of blanks, have no sentences; a page whose boxes
     are missing or do not fit its lines is read as one column. Rows with equal doc_id give each of their ends once.
-    Two passes: the corpus' word counts, then each page by itself; nothing of a page is shuffled but its distinct ends.
+    Two passes: the corpus' word counts, then each page by itself. Nothing of a page is shuffled, but for those whose
+    doc_id occurs more than once.
     """
     lex = lexicon(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(lex.counts)
+    shared = documents.sparkSession.sparkContext.broadcast((lex.keys, lex.shares))
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", *edge_columns())
     schema = "doc_id bigint, sent_end bigint" + (", sentence string" if with_text else "")
-    return pages.mapInArrow(_splitter(shared, with_text), schema).dropDuplicates(["doc_id", "sent_end"])
+    repeated = written(pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "repeated-pages")
+    n = repeated.count()
+    units = lambda df: df.mapInArrow(_splitter(shared, with_text), schema)
+    if not n:
+        return units(pages)
+    repeated, same = F.broadcast(repeated) if n <= 100_000 else repeated, F.col("doc_id").eqNullSafe(F.col("_id"))
+    return units(pages.join(repeated, same, "left_anti")).unionAll(units(pages.join(repeated, same, "left_semi")).dropDuplicates(["doc_id", "sent_end"]))

@@ -13,18 +13,26 @@ BODY = [
 ] * 20
 
 
+def lexicon_of(texts):
+    """What a corpus says about words, as the two passes over tables make it."""
+    counter = S.Counter_()
+    for t in texts:
+        counter.add(t)
+    word, behind, counts = counter.rows()
+    own = behind == S.PLAIN
+    opens = set(word[own & (counts[:, 1] >= 0.5 * counts[:, 0])].tolist())
+    inside, small = dict.fromkeys(word[own].tolist(), 0), dict.fromkeys(word[own].tolist(), 0)
+    for w, b, n in zip(word[~own].tolist(), behind[~own].tolist(), counts[~own, 0].tolist(), strict=True):
+        inside[w] += n if b not in opens else 0
+        small[w] += n if b == S.SMALL else 0
+    order = np.argsort(word[own])
+    keys = word[own][order]
+    return S.Lexicon(keys, S.shares_of(counts[own][order], np.array([inside[k] for k in keys.tolist()]), np.array([small[k] for k in keys.tolist()])))
+
+
 @pytest.fixture(scope="module")
 def lex():
-    counts = np.zeros((S.BINS, len(S.COUNTS) + 2), np.int64)
-    from collections import Counter
-
-    pairs = Counter()
-    S.count_words(BODY, counts, pairs)
-    opens = counts[:, 1] >= 0.5 * counts[:, 0]
-    for (a, b), n in pairs.items():
-        counts[a, 4] += n if b < 0 or not opens[b] else 0
-        counts[a, 5] += n if b < 0 else 0
-    return S.Lexicon(counts)
+    return lexicon_of(BODY)
 
 
 def units(text, lex, lines=None):
@@ -124,3 +132,30 @@ def test_quotations_of_several_sentences_are_not_cut(lex):
     assert units(f"{quotation} The gate was shut.", lex) == [quotation, "The gate was shut."]
     assert "「狗在门边。人走了！钟响了！门关了。」" in units("他说「狗在门边。人走了！钟响了！门关了。」那人走了。", lex)[0]
     assert units("“The bell rang. The dog slept near the gate. The man saw the bell.", lex)[1:] == ["The dog slept near the gate.", "The man saw the bell."]
+
+
+@pytest.mark.parametrize("n", [3, 10, 60])
+@pytest.mark.parametrize("sentence,opening,closing,behind", [
+    ("The bell rang near the gate. ", "“", "”", "The dog slept in all the way."), ("The bell rang near the gate. ", "(", ")", "The dog slept in all the way."),
+    ("狗在门边睡了。", "「", "」", "钟响了一天。"), ("狗在门边睡了。", "（", "）", "钟响了一天。"), ("यह पुल था धीरे और वह। ", "“", "”", "एक नाव खोला पर यह पुल।"), ("هذا نهر رفض ذلك خياط. ", "«", "»", "ذلك برج عبر هذا جسر."), ("Собака спала у ворот! ", "«", "»", "Он ушёл домой."),
+])
+def test_long_quotations_and_brackets_are_not_cut(lex, n, sentence, opening, closing, behind):
+    quoted = opening + (sentence * n).strip() + closing
+    got = units(f"{quoted} {behind}", lex)
+    assert got[-1] == behind and "".join(got[:-1]) == quoted
+
+
+def test_words_are_learned_not_listed():
+    """Months behind ordinal numbers, and who said it behind quotations, from their places in the corpus alone."""
+    told = [f"Der Mann kam am {d}. Brumal an die Tür." for d in range(1, 20)] + ["Die Frau ging. Der Hund schlief. Im Brumal war es kalt."] * 3
+    said = ["「狗走了。」他曰。门关了。", "「钟响了！」她曰。", "「人来了。」众人曰。狗在门边。"] * 6
+    lex = lexicon_of(BODY + told + said)
+    assert units("Der Mann kam am 7. Brumal an die Tür. Der Hund schlief.", lex) == ["Der Mann kam am 7. Brumal an die Tür.", "Der Hund schlief."]
+    assert units("「门关了。」老人曰。狗在门边睡了。", lex) == ["「门关了。」老人曰。", "狗在门边睡了。"]
+    assert units("「门关了。」狗在门边睡了整整一天一夜。", lex) == ["「门关了。」", "狗在门边睡了整整一天一夜。"]
+
+
+def test_counting_in_parts_gives_the_same_lexicon(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(BODY + ["「狗走了。」他曰。门关了。"] * 9)], "doc_id bigint, text string")
+    a, b = S.lexicon(df.repartition(7)), lexicon_of([r.text for r in df.collect()])
+    assert np.array_equal(a.keys, b.keys) and np.array_equal(a.shares, b.shares)
