@@ -47,7 +47,7 @@ class Users:
     def create(self, name: str, password: str | None, role: str | None) -> None:
         if name in self.by_name:
             raise QueryError(f"User {name} already exists")
-        self.by_name[name] = self._with_password(User(name, self._role(role)), password)
+        self.by_name[name] = self._with_password(User(name, self._role(role)), password or "")
 
     @staticmethod
     def _with_password(user: User, password: str | None) -> User:
@@ -72,8 +72,9 @@ class Users:
         return self.by_name[name]
 
     def login(self, name: str, password: str | None) -> User:
+        """The user of that name and password; one created without a password has the empty one."""
         user = self.by_name.get(name)
-        if user is None or (user.secret and not hmac.compare_digest(_hash(password or "", user.salt), user.secret)):
+        if user is None or not hmac.compare_digest(_hash(password or "", user.salt), user.secret):
             raise QueryError("Invalid user or password")
         return user
 

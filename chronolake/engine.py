@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from itertools import islice
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import types as T
 
 from chronolake import types as S
 from chronolake.access import User, Users
 from chronolake.dialect.parser import Command, Node, Select, parse
+from chronolake.dialect.resolve import _TURNED
 from chronolake.functions.registry import const_as, literal
 from chronolake.operators.ingest import CHANGELOG, Store, filter_changelog
 from chronolake.plans import metadata
@@ -34,6 +38,76 @@ class LoggedQuery:
     total_duration: float = 0.0
 
 
+class LoggedFrame(DataFrame):
+    """A query's result whose actions run under the query's name, so that the log follows them and KILL QUERY stops them.
+
+    The query is RUNNING until an action has ended. Frames made from this one are ordinary and not logged.
+    """
+
+    _entry: LoggedQuery
+    _now: Callable[[], datetime]
+
+    @classmethod
+    def of(cls, df: DataFrame, entry: LoggedQuery, now: Callable[[], datetime]) -> LoggedFrame:
+        made = cls(df._jdf, df.sparkSession)
+        made._entry, made._now = entry, now
+        return made
+
+    def _logged(self, action: Callable[[], Any]) -> Any:
+        context, entry = self.sparkSession.sparkContext, self._entry
+        names = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+        before = [context.getLocalProperty(n) for n in names]
+        entry.state, entry.start_date, began = "RUNNING", self._now(), time.monotonic()
+        context.setJobGroup(entry.query_id, entry.query[:200], interruptOnCancel=True)
+        try:
+            got = action()
+            entry.state = max(entry.state, "FINISHED", key=STATES.index)
+            return got
+        except BaseException:
+            entry.state = "CANCELLED"
+            raise
+        finally:
+            entry.total_duration = time.monotonic() - began
+            for n, value in zip(names, before, strict=True):
+                context.setLocalProperty(n, value)
+
+    @property
+    def write(self) -> Any:
+        return _LoggedWriter(super().write, self._logged)
+
+
+class _LoggedWriter:
+    """A writer whose settings give such a writer again and whose saving is an action."""
+
+    def __init__(self, writer: Any, logged: Callable[[Callable[[], Any]], Any]):
+        self._writer, self._logged = writer, logged
+
+    def __getattr__(self, name: str) -> Any:
+        member = getattr(self._writer, name)
+
+        def call(*args: Any, **named: Any) -> Any:
+            got = self._logged(lambda: member(*args, **named)) if name in ("save", "saveAsTable", "insertInto", "parquet", "csv", "json", "orc", "text", "jdbc") else member(*args, **named)
+            return _LoggedWriter(got, self._logged) if got is not None else None
+
+        return call
+
+
+def _action(name: str) -> Callable[..., Any]:
+    def run(self: LoggedFrame, *args: Any, **named: Any) -> Any:
+        return self._logged(lambda: getattr(DataFrame, name)(self, *args, **named))
+
+    run.__name__ = name
+    return run
+
+
+for _name in ("collect", "count", "toPandas", "toArrow", "head", "take", "first", "tail", "show", "isEmpty", "foreach", "foreachPartition", "toLocalIterator"):
+    setattr(LoggedFrame, _name, _action(_name))
+
+
+#: Queries that the log keeps at most; the oldest are dropped.
+LOG_SIZE = 10_000
+
+
 @dataclass
 class Engine:
     """Runs statements; every result is a DataFrame.
@@ -74,16 +148,13 @@ class Engine:
     def _logged(self, text: str, user: User | None, q: Select) -> DataFrame:
         entry = LoggedQuery(uuid.uuid4().hex, user.name if user else None, text, self.now())
         self.log[entry.query_id] = entry
-        self.spark.sparkContext.setJobGroup(entry.query_id, text[:200], interruptOnCancel=True)
+        for old in list(islice(self.log, max(0, len(self.log) - LOG_SIZE))):
+            del self.log[old]
         try:
-            return Planner(self.spark, self.schema, self.now()).plan(self.prepare(q))
+            return LoggedFrame.of(Planner(self.spark, self.schema, self.now()).plan(self.prepare(q)), entry, self.now)
         except Exception:
             entry.state = "CANCELLED"
             raise
-        finally:
-            entry.total_duration = (self.now() - entry.start_date).total_seconds()
-            if entry.state == "RUNNING":
-                entry.state = "FINISHED"
 
     # statements
 
@@ -164,10 +235,12 @@ class Engine:
 
 
 def changelog_filter(where: Node | None) -> dict[str, Any]:
-    """WHERE of SHOW UPDATES_INTERVALS: table =, updated_by =, updated_at BETWEEN, recalculated_at BETWEEN or >=, ANDed."""
+    """WHERE of SHOW UPDATES_INTERVALS: table =, updated_by =, updated_at BETWEEN, recalculated_at BETWEEN or >=, ANDed; operands in either order."""
     out: dict[str, Any] = {}
     parts = [] if where is None else list(where.args) if where.op == "and" else [where]
     for p in parts:
+        args = p.args[::-1] if p.op in _TURNED and len(p.args) == 2 and p.args[1].op == "field" else p.args
+        p = Node(_TURNED.get(p.op, p.op) if args is not p.args else p.op, tuple(args))
         name = p.args[0].value.lower() if p.args and p.args[0].op == "field" else ""
         values = [a.value for a in p.args[1:]]
         if p.op == "=" and name in ("table", "updated_by"):
@@ -209,8 +282,3 @@ def upsert_rows(spark: SparkSession, table: Table, fields: Sequence[str], rows:
         made.append(tuple(None if t is None else t.value for t in typed))
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t.spark)) for n, t in zip(names, kinds, strict=True)])
     return spark.createDataFrame(made, schema)
-
-
-def with_link(table: Table, *links: Any) -> Table:
-    """The table with further links."""
-    return replace(table, links=(*table.links, *links))

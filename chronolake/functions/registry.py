@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from datetime import timedelta
 from decimal import ROUND_HALF_UP, Decimal
 from typing import Any
+from random import randrange
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -320,6 +321,11 @@ def _avg(c: Column, t: SqlType) -> Column:
     return mean if t == S.DECIMAL else mean.cast("double").cast("decimal(38,18)")
 
 
+def _any_of(c: Column) -> Column:
+    """A value of the group, each distinct one with the same chance: that with the least hash under a seed of the query's own."""
+    return F.min_by(c, F.when(c.isNotNull(), F.xxhash64(F.lit(randrange(1 << 62)), c)))
+
+
 def _split(c: Column) -> Column:
     """Runs of other than letters and digits part; one in front leaves an empty word, one behind none."""
     parts = F.split(c, r"[^\p{L}\p{Nd}]+")
@@ -340,7 +346,7 @@ UNARY: dict[str, list[Unary]] = {
     "avg": [Unary(_number, lambda t: S.DECIMAL, _avg, "aggregate")],
     "count": [Unary(_any, lambda t: S.BIGINT, lambda c, t: F.count(c), "aggregate")],
     "distinct_count": [Unary(_any, lambda t: S.INTEGER, lambda c, t: F.count_distinct(c).cast("int"), "aggregate")],
-    "distinct_random": [Unary(_any, _same, lambda c, t: F.try_element_at(F.shuffle(F.collect_set(c)), F.lit(1)), "aggregate")],
+    "distinct_random": [Unary(_any, _same, lambda c, t: _any_of(c), "aggregate")],
     "lag": [Unary(_any, _same, lambda c, t: c, "window")],
     "abs": [Unary(_number, _same, lambda c, t: F.abs(c))],
     "-": [Unary(_number, _same, lambda c, t: -c)],

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import UTC, datetime
+import time
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +30,37 @@ def base_time(table: Table) -> Column:
     return F.unix_millis("time") - F.pmod(F.unix_millis("time"), F.lit(table.span_ms))
 
 
+class StoreBusy(RuntimeError):
+    """Another put into the table is under way."""
+
+
+#: Time partitions up to so many are named one by one to the scan of a put.
+FEW_SPANS = 10_000
+
+
 class Store:
     """Tables as Parquet partitioned by time span, one folder each, and one changelog.
 
     A put reads only the partitions it touches, merges them by key and replaces just these. The merged rows are first
-    written to the shared folder, since a partition can't be read and overwritten by one plan.
+    written to the shared folder, since a partition can't be read and overwritten by one plan. Puts into one table
+    exclude each other: a file holds the table while one is under way.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, wait_seconds: float = 600):
+        self.spark, self.path, self.wait_seconds = spark, path.rstrip("/"), wait_seconds
+
+    @contextmanager
+    def _holding(self, table: Table) -> Iterator[None]:
+        lock = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._at(f"_put-{table.name}"))
+        fs, end = lock.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), time.monotonic() + self.wait_seconds
+        while not fs.createNewFile(lock):
+            if time.monotonic() > end:
+                raise StoreBusy(f"{lock} is there; if no put is under way, one died: delete the file")
+            time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(lock, False)
 
     def _at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -67,12 +91,24 @@ class Store:
         whole = ~F.greatest(*[F.col(f"`{c}`").isNull() for c in table.key]) if len(table.key) > 1 else F.col("time").isNotNull()
         new = rows.select(*columns).where(F.when(whole, F.lit(True)).otherwise(broken)).withColumn("base_time", base_time(table)).withColumn("_seq", F.monotonically_increasing_id())
         new = written(latest(new, table.key, ["_seq"]), f"put-{table.name}")
-        touched = new.select("base_time").distinct()
-        old = self.read(table).join(touched, "base_time", "left_semi").withColumn("_seq", F.lit(-1).cast("bigint"))
-        merged = written(latest(old.unionByName(new), table.key, ["_seq"]).drop("_seq"), f"merged-{table.name}")
-        writer = merged.repartition("base_time").sortWithinPartitions(*table.key[1:], "time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("base_time").parquet(self._at(table.name))
-        self._log(table, touched, user, now or datetime.now(UTC))
+        now, began = now or datetime.now(UTC), time.monotonic()
+        with self._holding(table):
+            spans = written(new.select("base_time").distinct(), f"spans-{table.name}")
+            self._log(table, spans, user, now)  # stays if the put dies halfway
+            old = self._touched(table, spans).withColumn("_seq", F.lit(-1).cast("bigint"))
+            merged = written(latest(old.unionByName(new), table.key, ["_seq"]).drop("_seq"), f"merged-{table.name}")
+            writer = merged.repartition("base_time").sortWithinPartitions(*table.key[1:], "time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("base_time").parquet(self._at(table.name))
+            # a reader of the first entry may have come before the rows
+            self._log(table, spans, user, now + timedelta(milliseconds=1 + int(1000 * (time.monotonic() - began))))
+
+    def _touched(self, table: Table, spans: DataFrame) -> DataFrame:
+        """The stored rows of the partitions that a put touches; the scan lists only these, or those between the first and the last of very many."""
+        named = [r[0] for r in spans.limit(FEW_SPANS + 1).collect()]
+        if len(named) <= FEW_SPANS:
+            return self.read(table).where(F.col("base_time").isin(named))
+        first, last = spans.agg(F.min("base_time"), F.max("base_time")).first()
+        return self.read(table).where(F.col("base_time").between(first, last)).join(spans, "base_time", "left_semi")
 
     def _log(self, table: Table, touched: DataFrame, user: str | None, now: datetime) -> None:
         rows = touched.select(

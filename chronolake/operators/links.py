@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from chronolake.functions.tokens import latin, repaired, tokens, tokens_column
 from chronolake.schema import Link
+from chronolake.session import written
 
 
 def one_per_key(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -73,6 +75,28 @@ def inverted_index(items: DataFrame, item: str) -> DataFrame:
     return items.select(item).where(F.col(item).isNotNull()).distinct().select(F.explode(F.array_distinct(tokens_column(repaired(F.col(item))))).alias("token"), F.col(item))
 
 
+class TokenIndex:
+    """The words of items, stored: a Parquet table of (token, item), sorted by token, to which new items are added."""
+
+    def __init__(self, spark: SparkSession, path: str, item: str):
+        self.spark, self.path, self.item = spark, path.rstrip("/"), item
+
+    def read(self) -> DataFrame:
+        schema = f"token string, `{self.item}` string"
+        try:
+            return self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def add(self, items: DataFrame) -> None:
+        """Index the items that are not there yet; items without any word are looked at again each time."""
+        new = items.select(self.item).where(F.col(self.item).isNotNull()).distinct().join(self.read().select(self.item).distinct(), self.item, "left_anti")
+        made = written(inverted_index(new, self.item), "new-tokens")
+        made.repartitionByRange("token").sortWithinPartitions("token").write.mode("append").parquet(self.path)
+
+
 def phrase_tokens(phrase: str) -> list[tuple[str, bool]]:
     """(token, whether it is a prefix) of a search phrase; a word ending in % is a prefix and not stemmed."""
     out: list[tuple[str, bool]] = []
@@ -102,9 +126,16 @@ def items_with(index: DataFrame, item: str, phrases: Sequence[str]) -> DataFrame
     return index.select(item).limit(0) if found is None else found.distinct()
 
 
-def filter_phrases(facts: DataFrame, item: str, include: Sequence[Sequence[str]] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """Facts whose item meets every condition of ``include`` (phrases of one condition are alternatives) and no phrase of ``exclude``."""
-    index = inverted_index(facts, item) if include or exclude else None
+def filter_phrases(facts: DataFrame, item: str, include: Sequence[Sequence[str]] = (), exclude: Sequence[str] = (), index: DataFrame | None = None) -> DataFrame:
+    """Facts whose item meets every condition of ``include`` (phrases of one condition are alternatives) and no phrase of ``exclude``.
+
+    ``index``: (token, item) as a TokenIndex holds it. Without one the facts' distinct items are taken apart here, once
+    for all conditions.
+    """
+    if index is None and (include or exclude):
+        index = inverted_index(facts, item)
+        if len(include) + bool(exclude) + sum(map(len, include)) + len(exclude) > 2:
+            index = written(index, "tokens")
     for phrases in include:
         facts = facts.join(items_with(index, item, phrases), item, "left_semi")
     if exclude:

@@ -59,6 +59,8 @@ class Planner:
         if any(f.kind == "window" for f in fields) or (condition is not None and condition.kind == "window"):
             df = self._windowed(df, table, q, names, fields, groups, with_refs)
         elif groups or any(f.kind == "aggregate" for f in fields):
+            if q.having is not None:
+                self._check_having(q.having, {g.key for g in groups}, with_refs)
             df = self._grouped(df, names, fields, groups, condition)
         else:
             if condition is not None:
@@ -125,10 +127,10 @@ class Planner:
         return df if q.limit is None else df.limit(q.limit)
 
     def _scan(self, table: Table, branches: list[Bounds], plain: Resolver) -> DataFrame:
-        """The table's rows between the least lower and the greatest upper bound of time."""
-        low, high = [plain(b[0]).value for b in branches], [plain(b[1]).value for b in branches]
-        known = all(isinstance(v, datetime) for v in (*low, *high))
-        return self.schema.rows(self.spark, table.name, (min(low), max(high)) if known else None)
+        """The table's rows within the bounds of time of any alternative."""
+        spans = [(plain(a).value, plain(b).value) for a, b in branches]
+        known = all(isinstance(v, datetime) for span in spans for v in span)
+        return self.schema.rows(self.spark, table.name, spans if known else None)
 
     def _link_needs(self, q: Select, table: Table, by_alias: dict[str, Node]) -> set[str]:
         """Links whose values the result shows, groups by or tests in HAVING."""
@@ -178,18 +180,18 @@ class Planner:
             df = df.where(resolver.boolean(self._null_keeps(c, table)).column)
         return df
 
-    @staticmethod
-    def _searched(df: DataFrame, scanned: DataFrame, link: Link, conditions: list[Node], exclude: bool) -> DataFrame:
+    def _searched(self, df: DataFrame, scanned: DataFrame, link: Link, conditions: list[Node], exclude: bool) -> DataFrame:
         """Rows whose item has the phrases looked for, or that are related to rows of an item or phrase."""
         wanted = []
         for c in conditions:
             field = next(a.value for a in c.args if a.op == "field")[len(link.name) + 1 :].lower()
             wanted.append((field, [str(a.value) for a in c.args if a.op == "const" and a.value is not None]))
+        index = link.index(self.spark) if link.index else None
         if link.kind == "phrase":
             found = [values for _, values in wanted]
-            return links.filter_phrases(df, link.dimension, exclude=[v for x in found for v in x]) if exclude else links.filter_phrases(df, link.dimension, include=found)
+            return links.filter_phrases(df, link.dimension, exclude=[v for x in found for v in x], index=index) if exclude else links.filter_phrases(df, link.dimension, include=found, index=index)
         for field, values in wanted:
-            rows = scanned.where(F.lower(link.dimension).isin([v.lower() for v in values])) if field == "item" else links.filter_phrases(scanned, link.dimension, include=[values])
+            rows = scanned.where(F.lower(link.dimension).isin([v.lower() for v in values])) if field == "item" else links.filter_phrases(scanned, link.dimension, include=[values], index=index)
             df = links.related(df, rows, link.on, exclude)
         return df
 
@@ -244,8 +246,20 @@ class Planner:
                 shown.append(self._shown(Typed(F.col(f"_g{at[f.key]}"), f.type, f.kind, f.key)).alias(n))
         return out.select(*shown)
 
+    def _check_having(self, node: Node, keys: set[str], resolver: Resolver) -> None:
+        """What HAVING tests has one value in a group: a key, an aggregate or a constant."""
+        if node.op in ("field", "call"):
+            e = resolver(node)
+            if e.kind in ("aggregate", "const") or e.key in keys:
+                return
+            if node.op == "field":
+                raise QueryError(f"Field {e.key} in HAVING is neither an aggregate nor a key of the groups")
+        for a in node.args:
+            self._check_having(a, keys, resolver)
+
     @staticmethod
     def _having(condition: Typed, groups: list[Typed]):
+        """A condition on keys alone is the same for all rows of a group."""
         return condition.column if condition.kind in ("aggregate", "const") else F.first(condition.column)
 
     def _windowed(self, df: DataFrame, table: Table, q: Select, names: list[str], fields: list[Typed], groups: list[Typed], resolver: Resolver) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +50,7 @@ class Link:
     A link of the kind ``phrase`` has no rows: conditions on its one field search the words of the dimension's values.
     One of the kind ``related`` has the fields ``item`` and ``phrase``: conditions on them keep (or drop) rows that share
     the columns ``on`` with any row of that item or phrase. Both may only be tested, one condition beside others.
+    ``index(spark)`` gives their stored words, (token, dimension); without it the values are taken apart in each query.
     """
 
     name: str
@@ -59,16 +61,17 @@ class Link:
     ignore_case: bool = False
     kind: str = "lookup"
     on: Sequence[str] = ()
+    index: Callable[[SparkSession], DataFrame] | None = None
 
 
-def phrase_link(dimension: str, name: str = "ItemsInvertedIndex") -> Link:
+def phrase_link(dimension: str, name: str = "ItemsInvertedIndex", index: Callable[[SparkSession], DataFrame] | None = None) -> Link:
     """Word search in a dimension's values: ``name_phrase``."""
-    return Link(name, dimension, {"phrase": S.VARCHAR}, _no_rows, kind="phrase")
+    return Link(name, dimension, {"phrase": S.VARCHAR}, _no_rows, kind="phrase", index=index)
 
 
-def related_link(dimension: str, on: Sequence[str], name: str = "RelatedItemsCatalog") -> Link:
+def related_link(dimension: str, on: Sequence[str], name: str = "RelatedItemsCatalog", index: Callable[[SparkSession], DataFrame] | None = None) -> Link:
     """Rows next to those of an item: ``name_item`` and ``name_phrase``."""
-    return Link(name, dimension, {"item": S.VARCHAR, "phrase": S.VARCHAR}, _no_rows, kind="related", on=tuple(on))
+    return Link(name, dimension, {"item": S.VARCHAR, "phrase": S.VARCHAR}, _no_rows, kind="related", on=tuple(on), index=index)
 
 
 def _no_rows(spark: SparkSession) -> DataFrame:
@@ -141,35 +144,41 @@ class Schema:
     def rollup_of(self, table: str) -> Rollup | None:
         return next((r for r in self.rollups if table in r.targets), None)
 
-    def rows(self, spark: SparkSession, name: str, span: tuple[datetime, datetime] | None = None) -> DataFrame:
+    def rows(self, spark: SparkSession, name: str, spans: Sequence[tuple[datetime, datetime]] | None = None) -> DataFrame:
         """A table's rows under its own column names, times in whole milliseconds; other source columns are left out.
 
-        ``span``: no row before the first or after the second time is needed. The bounds are put on the source's own
+        ``spans``: only rows between the two times of any span are needed. The bounds are put on the source's own
         column, where they reach the Parquet scan, and on the time partitions if the source has such.
         """
         t = self.table(name)
         if name not in self.sources:
             raise QueryError(f"Table '{name}' has no source")
         df = self.sources[name](spark)
-        if span is not None:
-            df = self._within(df, t, span)
+        if spans is not None:
+            df = self._within(df, t, spans)
         time = F.timestamp_millis(F.unix_millis(F.col(t.time).cast("timestamp")))
         out = [time.alias("time")]
         out += [F.col(c.column or c.name).cast(c.type.spark).alias(c.name) for c in (*t.dimensions, *t.metrics)]
         return df.select(*out)
 
-    @staticmethod
-    def _within(df: DataFrame, t: Table, span: tuple[datetime, datetime]) -> DataFrame:
-        first, last = span[0], span[1] + timedelta(milliseconds=1)  # times are cut to milliseconds later on
+    #: More spans than so many are replaced by the one that holds them all.
+    MANY_SPANS = 64
+
+    @classmethod
+    def _within(cls, df: DataFrame, t: Table, spans: Sequence[tuple[datetime, datetime]]) -> DataFrame:
+        if len(spans) > cls.MANY_SPANS:
+            spans = [(min(a for a, _ in spans), max(b for _, b in spans))]
+        bounds = [(a, b + timedelta(milliseconds=1)) for a, b in spans]  # times are cut to milliseconds later on
         kind = df.schema[t.time].dataType.typeName()
-        if kind == "timestamp":
-            df = df.where((F.col(t.time) >= F.lit(first)) & (F.col(t.time) < F.lit(last)))
-        elif kind == "timestamp_ntz":
-            low, high = (F.lit(x.astimezone(UTC).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz") for x in (first, last))
-            df = df.where((F.col(t.time) >= low) & (F.col(t.time) < high))
+
+        def at(x: datetime) -> Column:
+            return F.lit(x) if kind == "timestamp" else F.lit(x.astimezone(UTC).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+
+        if kind in ("timestamp", "timestamp_ntz"):
+            df = df.where(reduce(lambda x, y: x | y, [(F.col(t.time) >= at(a)) & (F.col(t.time) < at(b)) for a, b in bounds]))
         if "base_time" in df.columns:
-            start = int(first.timestamp() * 1000) // t.span_ms * t.span_ms
-            df = df.where((F.col("base_time") >= start) & (F.col("base_time") <= int(last.timestamp() * 1000)))
+            low = lambda a: int(a.timestamp() * 1000) // t.span_ms * t.span_ms
+            df = df.where(reduce(lambda x, y: x | y, [(F.col("base_time") >= low(a)) & (F.col("base_time") <= int(b.timestamp() * 1000)) for a, b in bounds]))
         return df
 
 

@@ -294,17 +294,174 @@ def test_users_and_rights(spark, engine):
 
 
 def test_query_log(spark, engine):
+    """A query is RUNNING until one of its actions has ended, whatever was planned in between."""
     e = Engine(spark, engine.schema)
-    e.sql("SELECT 1 AS x")
+    a, b = e.sql("SELECT 1 AS x"), e.sql("SELECT 2 AS y")
     with pytest.raises(QueryError):
         e.sql("SELECT x FROM t")
-    assert [r.state for r in e.sql("SHOW QUERIES").collect()] == ["FINISHED", "CANCELLED"]
-    assert e.sql("SHOW QUERIES WHERE STATE = 'FINISHED' LIMIT 5").count() == 1
-    assert e.sql("DELETE QUERIES WHERE STATE = 'CANCELLED'").collect()[0][0] == 1 and len(e.log) == 1
-    assert e.sql(f"KILL QUERY WHERE QUERY_ID = '{next(iter(e.log))}'").collect()[0][0] == "OK"
+    assert [r.state for r in e.sql("SHOW QUERIES").collect()] == ["RUNNING", "RUNNING", "CANCELLED"]
+    groups = []
+    first = next(iter(e.log.values()))
+    a.foreachPartition(lambda _: None)
+    a._logged(lambda: groups.append(spark.sparkContext.getLocalProperty("spark.jobGroup.id")))
+    assert groups == [first.query_id] and spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    assert [r.state for r in e.sql("SHOW QUERIES").collect()] == ["FINISHED", "RUNNING", "CANCELLED"] and first.total_duration > 0
+    b.write.format("noop").mode("overwrite").save()
+    assert e.sql("SHOW QUERIES WHERE STATE = 'FINISHED' LIMIT 5").count() == 2
+    assert e.sql("DELETE QUERIES WHERE STATE = 'CANCELLED'").collect()[0][0] == 1 and len(e.log) == 2
+    assert e.sql("KILL QUERY WHERE QUERY_ID = 'none'").collect()[0][0] == "QUERY NOT FOUND"
     assert e.sql("SHOW VERSION").collect()[0].MAJOR == 0
 
 
+def test_kill_stops_the_query_meant(spark, engine, monkeypatch):
+    """Two queries are planned and the first runs; killing it stops it, and not the other."""
+    import threading
+    import time
+
+    slow = F.udf(lambda x: time.sleep(60) or x, "bigint")
+    df = spark.range(4).select(F.lit(T0).alias("time"), F.lit("a").alias("A"), slow("id").cast("double").alias("d"))
+    e = Engine(spark, Schema({"e": engine.schema.tables["e"]}, {"e": lambda _: df}))
+    a, b, failed = e.sql(f"SELECT d FROM e WHERE {ALL}"), e.sql("SELECT 2 AS y"), []
+
+    def run():
+        try:
+            a.collect()
+        except Exception as x:
+            failed.append(x)
+
+    thread = threading.Thread(target=run)
+    thread.start()
+    ids = list(e.log)
+    end = time.time() + 30
+    while not spark.sparkContext.statusTracker().getJobIdsForGroup(ids[0]) and time.time() < end:
+        time.sleep(0.1)
+    assert e.sql(f"KILL QUERY WHERE QUERY_ID = '{ids[0]}'").collect()[0][0] == "OK"
+    thread.join(30)
+    assert failed and [q.state for q in e.log.values()] == ["CANCELLED", "RUNNING"]
+    assert b.collect()[0].y == 2 and e.log[ids[1]].state == "FINISHED"
+
+
+def test_the_log_has_a_limit(spark, engine, monkeypatch):
+    from chronolake import engine as module
+
+    monkeypatch.setattr(module, "LOG_SIZE", 3)
+    e = Engine(spark, engine.schema)
+    for i in range(5):
+        e.sql(f"SELECT {i} AS x")
+    assert [q.query for q in e.log.values()] == ["SELECT 2 AS x", "SELECT 3 AS x", "SELECT 4 AS x"]
+
+
+def test_a_user_without_a_password_has_the_empty_one(spark, engine):
+    e = Engine(spark, engine.schema)
+    e.sql("CREATE USER 'ann' WITH ROLE 'ADMIN'")
+    assert e.users.login("ann", None).role == e.users.login("ann", "").role == "ADMIN"
+    with pytest.raises(QueryError, match="Invalid user or password"):
+        e.users.login("ann", "anything")
+
+
+def test_having_needs_keys_or_aggregates(q):
+    assert q(f"SELECT B FROM t WHERE {ALL} GROUP BY B HAVING B > 1") == [(2,)]
+    assert q(f"SELECT B, sum(l) AS x FROM t WHERE {ALL} GROUP BY B HAVING x > 0 AND B = 1") == [(1, 13)]
+    assert q(f"SELECT B, sum(l) AS x FROM t WHERE {ALL} GROUP BY B HAVING max(l) + sum(l) > 100") == []
+    for having in ("l > 5", "sum(l) > 0 AND d > 1", "l + l > 3"):
+        with pytest.raises(QueryError, match="neither an aggregate nor a key"):
+            q(f"SELECT B, sum(l) AS x FROM t WHERE {ALL} GROUP BY B HAVING {having}")
+
+
+def test_any_value_of_a_group(spark):
+    df = spark.range(4000).select(F.lit(T0).alias("time"), F.lit("a").alias("A"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).cast("double").alias("d"))
+    e = Engine(spark, Schema({"e": Table("e", [Dimension("A")], [Metric("d", S.DOUBLE)])}, {"e": lambda _: df}))
+    seen = {e.sql(f"SELECT distinct_random(d) AS r FROM e WHERE {ALL}").collect()[0].r for _ in range(25)}
+    assert seen <= set(map(float, range(7))) and len(seen) > 2
+    plan = e.sql(f"SELECT distinct_random(d) AS r FROM e WHERE {ALL}")._jdf.queryExecution().toString()
+    assert "collect_set" not in plan
+    assert e.sql(f"SELECT distinct_random(d) AS r FROM e WHERE {ALL} AND d IS NULL").collect()[0].r is None
+
+
+def test_alternatives_of_time_are_pruned_apart(spark, tmp_path):
+    table = Table("t", [Dimension("A")], [Metric("x", S.BIGINT)])
+    store = Store(spark, f"file://{tmp_path}/s")
+    e = Engine(spark, Schema({"t": table}, {"t": lambda _: store.read(table)}), store)
+    store.put(table, spark.range(40).select((F.lit(T0) + F.make_dt_interval("id")).alias("time"), F.lit("a").alias("A"), F.col("id").alias("x")))
+    df = e.sql("SELECT x FROM t WHERE (time >= TIMESTAMP '2024-03-02' AND time < TIMESTAMP '2024-03-03') OR time = TIMESTAMP '2024-03-30'")
+    assert sorted(r.x for r in df.collect()) == [1, 29]
+    files = {r.f for r in df._jdf and df.select(F.input_file_name().alias("f")).collect()}
+    assert len(files) <= 3
+    assert "((base_time" in df._jdf.queryExecution().toString() and " OR " in df._jdf.queryExecution().toString()
+
+
+def test_a_put_reads_only_the_partitions_it_touches(spark, tmp_path, monkeypatch):
+    """The scan of a put names its partitions; the changelog has the intervals even if the put dies halfway."""
+    from chronolake.operators import ingest
+
+    table = Table("t", [Dimension("A")], [Metric("x", S.BIGINT)])
+    store = Store(spark, f"file://{tmp_path}/s", wait_seconds=0.5)
+    day = lambda n: T0 + timedelta(days=n)
+    shape = "time timestamp, A string, x bigint"
+    store.put(table, spark.createDataFrame([(day(i), "a", i) for i in range(12)], shape))
+    for few in (ingest.FEW_SPANS, 0):
+        monkeypatch.setattr(ingest, "FEW_SPANS", few)
+        spans = spark.createDataFrame([(int(day(i).timestamp() * 1000),) for i in (3, 4)], "base_time bigint")
+        old = store._touched(table, spans)
+        assert sorted(r.x for r in old.collect()) == [3, 4]
+        plan = old._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and (" IN (" in plan if few else ">=" in plan)
+    with monkeypatch.context() as m:
+        m.setattr(ingest.Store, "_touched", lambda *a: (_ for _ in ()).throw(RuntimeError("dies")))
+        with pytest.raises(RuntimeError, match="dies"):
+            store.put(table, spark.createDataFrame([(day(50), "a", 1)], shape), "ann")
+    assert store.changelog().where("updated_by = 'ann'").count() == 1 and store.read(table).count() == 12
+    with store._holding(table), pytest.raises(ingest.StoreBusy):
+        store.put(table, spark.createDataFrame([(day(50), "a", 1)], shape))
+    store.put(table, spark.createDataFrame([(day(50), "a", 1)], shape))
+    assert store.read(table).count() == 13
+
+
+def test_updates_filters_take_operands_in_either_order(spark, tmp_path):
+    table = Table("t", [Dimension("A")], [Metric("x", S.BIGINT)])
+    store = Store(spark, f"file://{tmp_path}/s")
+    e = Engine(spark, Schema({"t": table}, {"t": lambda _: store.read(table)}), store, now=lambda: T0)
+    e.sql("UPSERT INTO t (time, A, x) VALUES (TIMESTAMP '2024-03-01', 'a', 1), (TIMESTAMP '2024-03-05', 'a', 1)")
+    n = lambda where: e.sql(f"SHOW UPDATES_INTERVALS WHERE {where}").count()
+    assert n("'t' = table") == n("table = 't'") == 2 and n("'x' = table") == 0
+    assert n("TIMESTAMP '2024-03-02' <= recalculated_at AND 't' = table") == 1
+    with pytest.raises(QueryError, match="Unsupported condition"):
+        n("TIMESTAMP '2024-03-02' >= recalculated_at")
+
+
+def test_words_are_stored_and_new_items_added(spark, tmp_path):
+    from chronolake.operators.links import TokenIndex
+
+    items = spark.createDataFrame([("красное яблоко",), ("чай",), (None,), ("",)], "item string")
+    index = TokenIndex(spark, f"file://{tmp_path}/i", "item")
+    assert index.read().count() == 0
+    index.add(items.where("item LIKE 'к%'"))
+    index.add(items)
+    index.add(items)
+    assert sorted((r.token, r.item) for r in index.read().collect()) == [("chaj", "чай"), ("krasn", "красное яблоко"), ("yablok", "красное яблоко")]
+    assert [r.item for r in links.filter_phrases(items, "item", [["яблоки"]], index=index.read()).collect()] == ["красное яблоко"]
+
+
+def test_scans_go_on_where_they_stopped(spark, tmp_path):
+    from chronolake.streaming.progress import Progress, resumable
+
+    df = spark.range(10).select((F.lit(T0) + F.make_dt_interval("id")).alias("time"), F.lit("a").alias("A"), F.col("id").cast("double").alias("d"))
+    schema = Schema({"e": Table("e", [Dimension("A")], [Metric("d", S.DOUBLE)])}, {"e": lambda _: df})
+    progress, seen = Progress(spark, f"file://{tmp_path}/p"), []
+
+    def sink(rows, name):
+        if len(seen) == 2:
+            seen.append(None)
+            raise InterruptedError
+        seen.append(sorted(r.d for r in rows.collect()))
+
+    scan = (spark, schema, "e", T0, T0 + timedelta(days=10), timedelta(days=4), progress, sink)
+    with pytest.raises(InterruptedError):
+        resumable(*scan)
+    assert resumable(*scan) == 1 and resumable(*scan) == 0
+    assert seen == [[0, 1, 2, 3], [4, 5, 6, 7], None, [8, 9]]
+
+
 def test_prepare_hook(spark, engine):
     from dataclasses import replace
 
