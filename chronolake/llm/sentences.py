@@ -217,7 +217,7 @@ _BRACKETS = "()（）[]【】"
 _QUOTE = re.compile(f"[{re.escape(QUOTES)}]")
 #: Shares from which on a word counts as one that follows ordinal numbers (a month, say), and as one that tells who said
 #: what was quoted.
-ORDINAL, ATTRIBUTION = 0.1, 0.5
+ORDINAL, ATTRIBUTION = 0.1, 0.43
 _CLAUSE = re.compile(rf"\s*([^{re.escape(_MARKS + OPENERS)}:：]{{1,40}})[{re.escape(_MARKS)}]")
 
 
