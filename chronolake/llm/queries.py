@@ -68,6 +68,16 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum(F.lit(packing.CAPACITY) - F.col("used")).alias("unused"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("filled"))
 
 
+def p8_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which every piece is there once, none of them in a container above the capacity."""
+    packed = p8_pack(spark, sf_dir)
+    full = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("used")).where(F.col("used") > packing.CAPACITY)
+    over = packed.join(full, "container_id", "left_semi").select("doc_id").distinct()
+    pieces = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece_no").alias("distinct"), (F.max("piece_no") - F.min("piece_no") + 1).alias("span"), F.count("container_id").alias("placed"), F.sum("n_tokens").alias("tokens"))
+    whole = pieces.where("n = distinct AND n = span AND (placed = n OR tokens = 0)")
+    return whole.join(over, "doc_id", "left_anti").select("doc_id")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -93,7 +103,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), with_text=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_bounded, p4_small_sets, p6_percentiles, p6_certified, p6_small_groups, p8_pack, p8_fill, p9_found, p9_stretches, p9_clean, p10_found, p10_sentences)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_distinct, p4_bounded, p4_small_sets, p6_percentiles, p6_certified, p6_small_groups, p8_pack, p8_fill, p8_complete, p9_found, p9_stretches, p9_clean, p10_found, p10_sentences)}
 
 
 
@@ -120,6 +130,7 @@ _LOG = (
 )
 
 SQL: dict[str, str] = {
+    "p8_complete": "SELECT doc_id FROM documents",
     "p4_bounded": _exact_counts("n >= 1"),
     "p4_small_sets": _exact_counts(f"n BETWEEN 1 AND {expsketch.SEEDS}"),
     "p6_certified": _LOG + f"SELECT {_grouped_by('engine', 'state', 'day_utc')} AS grouped_by, engine, state, day_utc, count(*) AS n, true AS within_bound FROM log GROUP BY CUBE (engine, state, day_utc)",
