@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolake.session import written
+
 
 def in_force(df: DataFrame, key: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The one row in force for each key: the greatest by ``order`` (nulls lowest); null keys are keys.
@@ -63,4 +65,5 @@ RECEIPT_KEY = ("dp_time", "kkm_id", "operation_type", "shift")
 def receipt_rolling(receipt: DataFrame, periods: Sequence[int] = (7, 30)) -> DataFrame:
     """Trailing totals of total_sum for each device, over the data points in force; null sums count as 0."""
     points = in_force(receipt, RECEIPT_KEY, ("put_at", "row_id"), ("total_sum",))
-    return rolling_totals(daily_totals(points, "kkm_id", "dp_time", "total_sum"), periods)
+    # both the calendar and the join read the days, which are made once
+    return rolling_totals(written(daily_totals(points, "kkm_id", "dp_time", "total_sum"), "daily-totals"), periods)
