@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,60 +58,50 @@ def stem(word: str) -> str:
     return word
 
 
-class _Scanner:
-    """The current piece and the current composite of pieces; a composite is told apart once it has lost a piece."""
-
-    def __init__(self) -> None:
-        self.found: list[str] = []
-        self.piece = self.whole = ""
-        self.split = False
-
-    def add(self, ch: str) -> None:
-        self.piece += ch
-        self.whole += ch
+#: What a character does to the words around it: it parts them, links two pieces of one composite and belongs to it, begins
+#: the next piece of a composite, or is a letter like others.
+BREAK, LINK, JOINT, LETTER = range(4)
 
-    def end_piece(self) -> None:
-        if self.piece:
-            self.found.append(self.piece)
-        self.piece = ""
 
-    def end_both(self, again: bool = True) -> None:
-        """End the piece and, if it differs, the composite; ``again``: also begin a new composite."""
-        self.end_piece()
-        if self.split and self.whole:
-            self.found.append(self.whole)
-        if again:
-            self.whole, self.split = "", False
+def _role(before: str, ch: str, after: str) -> int:
+    """The role of a character between its neighbours (blanks beyond the ends)."""
+    in_number = before.isdigit() and after.isdigit()
+    known = kept(ch)
+    if ch in " \t":
+        return BREAK
+    if before.isdigit() and ch.isalpha() and known or before.isalpha() and ch.isdigit():
+        return JOINT
+    if ch in "/%\\" or ch in ",*" and in_number == (ch == "*"):
+        return LINK if kept(after) and (after not in " \t" or ch == "%") else BREAK
+    if not known or ch in "*." and not in_number or ch == ":" and before.isdigit() and not after.isdigit():
+        return BREAK
+    return LETTER
 
 
 def raw_tokens(text: str) -> list[str]:
-    """Lower-case words, numbers and composites of a name, in order."""
-    s = _Scanner()
-    n = len(text)
-    for i, ch in enumerate(text):
-        before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
-        inside = before.isdigit() and after.isdigit()
-        low, known = ch.lower(), kept(ch)
-        if ch in " \t":
-            s.end_both()
-        elif (before.isdigit() and ch.isalpha() and known) or (before.isalpha() and ch.isdigit()):
-            s.end_piece()
-            s.split = s.split or bool(s.whole)
-            s.add(low)
-        elif ch in "/%\\" or (ch == "," and not inside) or (ch == "*" and inside):
-            restart = (after in " \t" and ch != "%") or not kept(after)
-            s.end_both(again=restart)
-            if not restart:
-                s.whole += low
-                s.split = True
-        elif ch == ":" and before.isdigit() and not after.isdigit():
-            s.end_both()
-        elif not known or (ch in "*." and not inside):
-            s.end_both()
-        else:
-            s.add(low)
-    s.end_both()
-    return s.found
+    """Lower-case words, numbers and composites of a name, in order.
+
+    A composite is made of pieces, and told where it ends and at each of its links, after the piece before.
+    """
+    padded = f" {text} "
+    roles = [_role(*padded[i : i + 3]) for i in range(len(text))]
+    found: list[str] = []
+    piece = composite = ""
+    several = False
+    for ch, role in zip([*map(str.lower, text), " "], [*roles, BREAK], strict=True):
+        if role != LETTER and piece:
+            found.append(piece)
+            piece = ""
+        if role in (BREAK, LINK) and several and composite:
+            found.append(composite)
+        if role == BREAK:
+            composite, several = "", False
+            continue
+        several = several or role == LINK or role == JOINT and bool(composite)
+        composite += ch
+        if role != LINK:
+            piece += ch
+    return found
 
 
 def tokens(text: str | None) -> list[str] | None:
@@ -119,11 +112,28 @@ def tokens(text: str | None) -> list[str] | None:
     return [t for t in out if t.strip()]
 
 
-def tokens_column(column: Column) -> Column:
-    """``tokens`` over a column, one Arrow batch at a time."""
+def words_column(column: Column, words: Callable[[str | None], list[str] | None]) -> Column:
+    """``words`` over a column, one Arrow batch at a time; a value that comes several times in a batch is taken apart once."""
 
     @F.pandas_udf("array<string>")
     def udf(texts: pd.Series) -> pd.Series:
-        return texts.map(tokens, na_action="ignore").where(texts.notna(), None)
+        made = {t: words(t) for t in texts.dropna().unique()}
+        return texts.map(made.get, na_action="ignore").where(texts.notna(), None)
 
     return udf(column)
+
+
+def tokens_column(column: Column) -> Column:
+    return words_column(column, tokens)
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """How names become words: ``fix`` puts the column right first, ``words`` takes a text apart, ``spell`` writes the beginning of a word as ``words`` would."""
+
+    words: Callable[[str | None], list[str] | None] = tokens
+    fix: Callable[[Column], Column] = repaired
+    spell: Callable[[str], str] = latin
+
+    def column(self, column: Column) -> Column:
+        return words_column(self.fix(column), self.words)

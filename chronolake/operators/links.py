@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from chronolake.functions.tokens import latin, repaired, tokens, tokens_column
+from chronolake.functions.tokens import Tokenizer
+from chronolake.operators.slices import SLICE_ROWS, slice_of
 from chronolake.schema import Link
 from chronolake.session import written
 
@@ -32,18 +33,39 @@ def lookup(facts: DataFrame, link: Link, rows: DataFrame, prefix: str = "") -> D
     return facts.join(found, own == F.col("_key"), "left").drop("_key")
 
 
-def as_of(facts: DataFrame, rows: DataFrame, key: str, time: str, fields: Sequence[str], prefix: str = "", slice_ms: int = 16 * 86_400_000) -> DataFrame:
+#: Bytes of a time-sensitive link, as text, up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def as_of(facts: DataFrame, rows: DataFrame, key: str, time: str, fields: Sequence[str], prefix: str = "", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Values of the link in force at each fact's time: the latest row at or before it, before the first row the first.
 
-    Facts and link rows are united and read once in order of time within a key's time slice, the link's row first on
-    equal times; no pair of rows is ever formed. One summary row a slice carries the last value on to later slices, so
-    that a key with very many rows is not one task. Of several link rows for one moment the greatest counts. A key
-    without link rows, like a null key or a null time, gets nulls.
+    Of several link rows for one moment the greatest counts. A key without link rows, like a null key or a null time,
+    gets nulls. The link's size is measured first; what is small is broadcast, each key's values in the order of their
+    times, and the facts are read once where they lie. Else facts and link rows are united and sorted; see below.
     """
     value = F.struct(*[F.col(f) for f in fields])
     link = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(key, time).agg(F.max(value).alias("_v"))
+    size = link.agg(F.sum(F.lit(32) + F.coalesce(F.length(F.to_json("_v")), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        held = link.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("at"), F.col("_v").alias("v")))).alias("_all")).select(F.col(key).alias("_key"), "_all")
+        before = F.filter("_all", lambda x: x["at"] <= F.col(time))
+        got = facts.join(F.broadcast(held), F.col(key) == F.col("_key"), "left").withColumn("_before", before)
+        known = F.when(F.col(time).isNotNull(), F.when(F.size("_before") > 0, F.element_at("_before", -1)).otherwise(F.try_element_at("_all", F.lit(1))))
+        return got.withColumn("_v", known["v"]).select(*[F.col(f"`{c}`") for c in facts.columns], *[F.col(f"_v.{f}").alias(prefix + f) for f in fields])
+    return _as_of_sorted(facts, link, key, time, fields, prefix, slice_rows)
+
+
+def _as_of_sorted(facts: DataFrame, link: DataFrame, key: str, time: str, fields: Sequence[str], prefix: str, slice_rows: int) -> DataFrame:
+    """As-of lookup in a link of any size (one value ``_v`` for each key and time).
+
+    Facts and link rows are united and read once in order of time within a key's slice of time, the link's row first on
+    equal times; no pair of rows is ever formed. One summary row a slice carries the last value on to later slices, so
+    that a key with very many rows is not one task.
+    """
     wide = facts.select(key, time, F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("_row"), F.lit(1).alias("_kind"))
-    wide = wide.unionByName(link.withColumn("_kind", F.lit(0)), allowMissingColumns=True).withColumn("_slice", F.floor(F.unix_millis(time) / slice_ms))
+    wide = wide.unionByName(link.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    wide = wide.withColumn("_slice", slice_of(wide, time, slice_rows))
     inside = Window.partitionBy(key, "_slice").orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     ends = wide.groupBy(key, "_slice").agg(F.max_by(F.col("_v"), F.when(F.col("_kind") == 0, F.col(time))).alias("_end"))
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,16 +92,16 @@ def restrict(facts: DataFrame, link: Link, keys: DataFrame, exclude: bool = Fals
 # words of items
 
 
-def inverted_index(items: DataFrame, item: str) -> DataFrame:
+def inverted_index(items: DataFrame, item: str, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
     """(token, item) for each token of each distinct item."""
-    return items.select(item).where(F.col(item).isNotNull()).distinct().select(F.explode(F.array_distinct(tokens_column(repaired(F.col(item))))).alias("token"), F.col(item))
+    return items.select(item).where(F.col(item).isNotNull()).distinct().select(F.explode(F.array_distinct(tokenizer.column(F.col(item)))).alias("token"), F.col(item))
 
 
 class TokenIndex:
     """The words of items, stored: a Parquet table of (token, item), sorted by token, to which new items are added."""
 
-    def __init__(self, spark: SparkSession, path: str, item: str):
-        self.spark, self.path, self.item = spark, path.rstrip("/"), item
+    def __init__(self, spark: SparkSession, path: str, item: str, tokenizer: Tokenizer = Tokenizer()):
+        self.spark, self.path, self.item, self.tokenizer = spark, path.rstrip("/"), item, tokenizer
 
     def read(self) -> DataFrame:
         schema = f"token string, `{self.item}` string"
@@ -93,27 +115,27 @@ class TokenIndex:
     def add(self, items: DataFrame) -> None:
         """Index the items that are not there yet; items without any word are looked at again each time."""
         new = items.select(self.item).where(F.col(self.item).isNotNull()).distinct().join(self.read().select(self.item).distinct(), self.item, "left_anti")
-        made = written(inverted_index(new, self.item), "new-tokens")
+        made = written(inverted_index(new, self.item, self.tokenizer), "new-tokens")
         made.repartitionByRange("token").sortWithinPartitions("token").write.mode("append").parquet(self.path)
 
 
-def phrase_tokens(phrase: str) -> list[tuple[str, bool]]:
+def phrase_tokens(phrase: str, tokenizer: Tokenizer = Tokenizer()) -> list[tuple[str, bool]]:
     """(token, whether it is a prefix) of a search phrase; a word ending in % is a prefix and not stemmed."""
     out: list[tuple[str, bool]] = []
     for word in phrase.split(" "):
         if word.endswith("%"):
-            prefix = latin(word[:-1].strip().lower())
+            prefix = tokenizer.spell(word[:-1].strip().lower())
             out += [(prefix, True)] if prefix else []
         else:
-            out += [(t, False) for t in tokens(word) or []]
+            out += [(t, False) for t in tokenizer.words(word) or []]
     return list(dict.fromkeys(out))
 
 
-def items_with(index: DataFrame, item: str, phrases: Sequence[str]) -> DataFrame:
+def items_with(index: DataFrame, item: str, phrases: Sequence[str], tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
     """Items in which every word of at least one phrase occurs."""
     found = None
     for phrase in phrases:
-        words = phrase_tokens(phrase)
+        words = phrase_tokens(phrase, tokenizer)
         if not words:
             continue
         tests = [F.col("token").startswith(t) if prefix else F.col("token") == t for t, prefix in words]
@@ -126,20 +148,20 @@ def items_with(index: DataFrame, item: str, phrases: Sequence[str]) -> DataFrame
     return index.select(item).limit(0) if found is None else found.distinct()
 
 
-def filter_phrases(facts: DataFrame, item: str, include: Sequence[Sequence[str]] = (), exclude: Sequence[str] = (), index: DataFrame | None = None) -> DataFrame:
+def filter_phrases(facts: DataFrame, item: str, include: Sequence[Sequence[str]] = (), exclude: Sequence[str] = (), index: DataFrame | None = None, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
     """Facts whose item meets every condition of ``include`` (phrases of one condition are alternatives) and no phrase of ``exclude``.
 
     ``index``: (token, item) as a TokenIndex holds it. Without one the facts' distinct items are taken apart here, once
     for all conditions.
     """
     if index is None and (include or exclude):
-        index = inverted_index(facts, item)
+        index = inverted_index(facts, item, tokenizer)
         if len(include) + bool(exclude) + sum(map(len, include)) + len(exclude) > 2:
             index = written(index, "tokens")
     for phrases in include:
-        facts = facts.join(items_with(index, item, phrases), item, "left_semi")
+        facts = facts.join(items_with(index, item, phrases, tokenizer), item, "left_semi")
     if exclude:
-        facts = facts.join(items_with(index, item, exclude), item, "left_anti")
+        facts = facts.join(items_with(index, item, exclude, tokenizer), item, "left_anti")
     return facts
 
 

@@ -12,6 +12,7 @@ from chronolake.dialect.parser import Node, Select
 from chronolake.dialect.resolve import Bounds, Resolver, check_bounds, field_names, time_branches, validate
 from chronolake.functions.registry import Typed
 from chronolake.operators import links
+from chronolake.operators.slices import slice_of
 from chronolake.schema import Link, QueryError, Schema, Table
 
 
@@ -189,9 +190,9 @@ class Planner:
         index = link.index(self.spark) if link.index else None
         if link.kind == "phrase":
             found = [values for _, values in wanted]
-            return links.filter_phrases(df, link.dimension, exclude=[v for x in found for v in x], index=index) if exclude else links.filter_phrases(df, link.dimension, include=found, index=index)
+            return links.filter_phrases(df, link.dimension, exclude=[v for x in found for v in x], index=index, tokenizer=self.schema.tokenizer) if exclude else links.filter_phrases(df, link.dimension, include=found, index=index, tokenizer=self.schema.tokenizer)
         for field, values in wanted:
-            rows = scanned.where(F.lower(link.dimension).isin([v.lower() for v in values])) if field == "item" else links.filter_phrases(scanned, link.dimension, include=[values], index=index)
+            rows = scanned.where(F.lower(link.dimension).isin([v.lower() for v in values])) if field == "item" else links.filter_phrases(scanned, link.dimension, include=[values], index=index, tokenizer=self.schema.tokenizer)
             df = links.related(df, rows, link.on, exclude)
         return df
 
@@ -295,13 +296,12 @@ class Planner:
         """The rows with the previous values of their group.
 
         A group, or the whole table when there is none, may be too large for one task. Windows therefore span a group's
-        rows of one time slice; a slice's first row takes its values from the last row of the slice before it, found
-        over one summary row a slice.
+        rows of one slice of time, cut so that no slice holds many rows; a slice's first row takes its values from the
+        last row of the slice before it, found over one summary row a slice.
         """
         order = [F.col(f"`{c}`") for c in ("time", *([d.name for d in table.dimensions] if self.tie_break else []))]
-        width = table.span_ms * (32 if groups else 1)
         keys = [f"_k{i}" for i in range(len(groups))]
-        df = df.withColumns({"_slice": F.floor(F.unix_millis("time") / width), **{k: g.column for k, g in zip(keys, groups, strict=True)}})
+        df = df.withColumns({"_slice": slice_of(df, "time"), **{k: g.column for k, g in zip(keys, groups, strict=True)}})
         df = df.withColumn("_own", F.struct(*[e.column.alias(n) for n, e in wanted]))
         ends = df.groupBy(*keys, "_slice").agg(F.max_by("_own", F.struct(*order)).alias("_end"))
         before = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice"))

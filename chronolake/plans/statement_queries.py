@@ -338,7 +338,7 @@ SQL: dict[str, str] = {
     "query_log": _values([("SELECT 1 AS planned", "RUNNING", 1), ("SELECT 2 AS run", "FINISHED", 1), ("SELECT refused FROM orders", "CANCELLED", 1), ("SELECT 4 AS killed", "CANCELLED", 1)], "query, state, deleted"),
     "show_version": _values([(0, 1, "0.1.0")], "MAJOR, MINOR, VERSION"),
     "tokens_stemmed": _values([(w, t.replace(" ", ", "), len(t.split()), True) for w, t in WORDS], "item, words, n, has_parts"),
-    "tokens_of_arrays": f"SELECT event_id, array_to_string(list_filter(regexp_split_to_array(event_type, '[^a-z]+'), x -> x <> ''), ', ') AS words FROM events WHERE {_EL}",
+    "tokens_of_arrays": f"SELECT event_id, regexp_replace(event_type, '[^a-z]+', ', ', 'g') AS words FROM events WHERE {_EL}",
     "database_name": "SELECT 'chronolake' AS d",
     "converters": "SELECT o_orderkey, " + ", ".join(
         [f"CAST(o_orderkey % 100 AS {k}) AS tiny_{k.lower()}" for k in ("SMALLINT", "INTEGER", "BIGINT", "DECIMAL", "DOUBLE", "VARCHAR")] + [f"CAST(o_orderkey % 1000 AS {k}) AS small_{k.lower()}" for k in ("INTEGER", "BIGINT", "DECIMAL", "DOUBLE", "VARCHAR")]

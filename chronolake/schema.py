@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolake import types as S
+from chronolake.functions.tokens import Tokenizer
 from chronolake.types import SqlType
 
 DAY_MS = 86_400_000
@@ -130,11 +131,12 @@ class Rollup:
 
 @dataclass
 class Schema:
-    """Named tables and rollups, and where the tables' rows come from."""
+    """Named tables and rollups, where the tables' rows come from, and how word search takes names apart."""
 
     tables: Mapping[str, Table]
     sources: Mapping[str, Callable[[SparkSession], DataFrame]] = field(default_factory=dict)
     rollups: Sequence[Rollup] = ()
+    tokenizer: Tokenizer = Tokenizer()
 
     def table(self, name: str) -> Table:
         if name not in self.tables:

@@ -129,10 +129,14 @@ def test_lag_keeps_all_rows(q):
 
 
 @pytest.mark.parametrize("groups", ["", "GROUP BY A", "GROUP BY A, B"])
-def test_lag_over_many_slices(spark, groups):
+def test_lag_over_many_slices(spark, monkeypatch, groups):
     """The previous value may lie many time slices back, in any group, null ones included."""
     import random
 
+    from chronolake.operators import slices
+    from chronolake.plans import select
+
+    monkeypatch.setattr(select, "slice_of", lambda df, time: slices.slice_of(df, time, 20))
     r = random.Random(8)
     data = [(T0 + timedelta(hours=r.randrange(24 * 200)), r.choice(["a", "a", "a", "b"]), r.choice([1, None]), i, r.choice([None, i])) for i in range(300)]
     df = spark.createDataFrame(data, "time timestamp, A string, B bigint, id bigint, x bigint").repartition(5)
@@ -147,6 +151,20 @@ def test_lag_over_many_slices(spark, groups):
     assert {r.id: (r.p, r.y, r.gap) for r in got.collect()} == want
 
 
+def test_slices_hold_few_rows(spark, monkeypatch):
+    """Nine tenths of the rows lie within a minute; slices ascend with time and none holds many rows."""
+    from chronolake.operators import slices
+
+    df = spark.range(5000).select((F.lit(T0) + F.make_dt_interval(secs=F.when(F.col("id") % 10 > 0, F.col("id") / 100).otherwise(F.col("id") * 5000))).alias("time"))
+    for side in (slices.SIDE, 4):
+        monkeypatch.setattr(slices, "SIDE", side)
+        got = df.withColumn("s", slices.slice_of(df, "time", 100)).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("a"), F.max("time").alias("b")).orderBy("a").collect()
+        assert max(x.n for x in got) <= (250 if side > 4 else 700) and len(got) > (40 if side > 4 else 12)
+        assert all(x.b <= y.a and x.s < y.s for x, y in zip(got, got[1:], strict=False))
+    nothing = spark.createDataFrame([(None,)], "time timestamp")
+    assert nothing.select(slices.slice_of(nothing, "time", 1).alias("s")).first().s is None
+
+
 def test_link_lookup_semi_anti(q):
     assert q(f"SELECT B, Info_f AS f FROM t WHERE {ALL} AND A <> 'three'") == sorted([(1, "x"), (2, "x"), (1, "Y"), (2, "Y")], key=repr)
     assert q(f"SELECT A, Info_g AS g FROM t WHERE {ALL} AND B = 1 AND d > 3") == [("Three", None)]
@@ -167,15 +185,19 @@ def test_as_of_with_ties_nulls_and_no_rows(spark, rows):
     assert links.as_of(facts, rows_.limit(0), "k", "time", ["v"]).where("v IS NULL").count() == 4
 
 
-def test_as_of_over_many_slices(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_as_of_over_many_slices(spark, monkeypatch, small):
     import random
 
+    if not small:
+        monkeypatch.setattr(links, "BROADCAST_BYTES", -1)
+
     r = random.Random(3)
     t = lambda: T0 + timedelta(hours=r.randrange(24 * 300))
     facts = [(i, r.choice([1, 1, 1, 2, 3]), t()) for i in range(300)]
     values_ = [(r.choice([1, 1, 2, 9]), t(), r.choice([None, f"v{i}"])) for i in range(25)]
     f, v = spark.createDataFrame(facts, "id bigint, k int, time timestamp"), spark.createDataFrame(values_, "k int, time timestamp, v string")
-    got = {x.id: x.v for x in links.as_of(f.repartition(3), v, "k", "time", ["v"], slice_ms=DAY_MS * 3).collect()}
+    got = {x.id: x.v for x in links.as_of(f.repartition(3), v, "k", "time", ["v"], slice_rows=40).collect()}
     for i, k, at in facts:
         mine = sorted((x[1], x[2] is not None, x[2] or "") for x in values_ if x[0] == k)
         hit = [x for x in mine if x[0] <= at] or mine[:1]
@@ -442,6 +464,17 @@ def test_words_are_stored_and_new_items_added(spark, tmp_path):
     assert [r.item for r in links.filter_phrases(items, "item", [["яблоки"]], index=index.read()).collect()] == ["красное яблоко"]
 
 
+def test_word_search_by_another_tokenizer(spark):
+    from chronolake.functions.tokens import Tokenizer
+
+    own = Tokenizer(words=lambda t: None if t is None else t.upper().split("-"), fix=lambda c: F.replace(c, F.lit("_"), F.lit("-")), spell=str.upper)
+    df = spark.createDataFrame([(T0, "red_tea", 1), (T0, "green-tea", 2), (T0, None, 3)], "time timestamp, item string, id int")
+    t = Table("t", [Dimension("item")], [Metric("id", S.INTEGER)], [phrase_link("item")])
+    e = Engine(spark, Schema({"t": t}, {"t": lambda _: df}, tokenizer=own))
+    ids = lambda phrase: sorted(r.id for r in e.sql(f"SELECT id FROM t WHERE {ALL} AND ItemsInvertedIndex_phrase = '{phrase}'").collect())
+    assert ids("tea") == [1, 2] and ids("re%") == [1] and ids("red-tea") == [1] and ids("te") == []
+
+
 def test_scans_go_on_where_they_stopped(spark, tmp_path):
     from chronolake.streaming.progress import Progress, resumable
 
