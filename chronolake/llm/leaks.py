@@ -30,7 +30,7 @@ HOLE, OVERLAP = 45, 8
 #: Pairs with up to so many matches are chained many at a time.
 WIDTH = 512
 #: Letters of test items in a block, and how many blocks each shard of pages is searched for in one pass.
-BLOCK_LETTERS, BLOCKS = 4_000_000, 16
+BLOCK_LETTERS, BLOCKS = 1_000_000, 8
 #: Characters of pages whose suffixes form one array, and how far the parts of a longer page overlap.
 SHARD_CHARS, JOINT = 2_000_000, 256
 #: Occurrences of test suffixes that are looked at together.
