@@ -43,19 +43,24 @@ class Store:
 
     A put reads only the partitions it touches, merges them by key and replaces just these. The merged rows are first
     written to the shared folder, since a partition can't be read and overwritten by one plan. Puts into one table
-    exclude each other: a file holds the table while one is under way.
+    exclude each other: a file holds the table while one is under way, or, if that put died, until the file is older
+    than ``lease_seconds``; no put may take longer.
     """
 
-    def __init__(self, spark: SparkSession, path: str, wait_seconds: float = 600):
-        self.spark, self.path, self.wait_seconds = spark, path.rstrip("/"), wait_seconds
+    def __init__(self, spark: SparkSession, path: str, wait_seconds: float = 600, lease_seconds: float = 86_400):
+        self.spark, self.path, self.wait_seconds, self.lease_seconds = spark, path.rstrip("/"), wait_seconds, lease_seconds
 
     @contextmanager
     def _holding(self, table: Table) -> Iterator[None]:
         lock = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._at(f"_put-{table.name}"))
         fs, end = lock.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), time.monotonic() + self.wait_seconds
         while not fs.createNewFile(lock):
+            found = fs.globStatus(lock)
+            if found and time.time() - found[0].getModificationTime() / 1000 > self.lease_seconds:
+                fs.delete(lock, False)
+                continue
             if time.monotonic() > end:
-                raise StoreBusy(f"{lock} is there; if no put is under way, one died: delete the file")
+                raise StoreBusy(f"{lock.toString()} is there; if no put is under way, one died: delete the file")
             time.sleep(0.2)
         try:
             yield
