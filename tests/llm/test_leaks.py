@@ -67,10 +67,10 @@ def test_very_long_pages_are_read_whole(world, monkeypatch):
     """Pages of many shards: passages at either end, in the middle and across a joint, in parts far from each other."""
     find = lambda pages: {x[:2] for x in leaks.search([block], list(range(len(pages))), pages)}
     r, items = world
-    long = passage(r, 30000)
+    long = passage(r, 4000)
     words = items[6][1].split()
-    apart = " ".join(words[:20]) + " " + long[:30000] + " " + " ".join(words[20:45])
-    pages = [long + " " + items[4][1], items[4][1] + " " + long, long[:90000] + " " + items[4][1] + " " + long[90000:], long, "their wooden gate " * 4000, long[:4800] + " " + items[5][1] + long[:400], apart]
+    apart = " ".join(words[:20]) + " " + long[:20000] + " " + " ".join(words[20:45])
+    pages = [long + " " + items[4][1], items[4][1] + " " + long, long[:9000] + " " + items[4][1] + " " + long[9000:], long, "their wooden gate " * 4000, long[:4800] + " " + items[5][1] + long[:400], apart]
     block = leaks.Items([i for i, _ in items], [t for _, t in items])
     whole = find(pages)
     monkeypatch.setattr(leaks, "SHARD_CHARS", 5000)
