@@ -18,13 +18,13 @@ BROADCAST_KEYS = 100_000
 def _spans(df: DataFrame, key: str, rows: int) -> tuple[int, DataFrame | None]:
     """Row count, and a table (_k, _parts) of the keys with more than half of ``rows`` rows: into how many parts to cut each.
 
-    The rows are counted by key once; what comes to the driver are two numbers.
+    What comes to the driver are two numbers.
     """
-    counts = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total, hot = counts.agg(F.sum("n"), F.count_if(F.col("n") > rows // 2)).first()
     if not hot:
         return total or 0, None
-    spans = counts.where(F.col("n") > rows // 2).select(F.col(key).alias("_k"), F.ceil(F.col("n") / rows).cast("bigint").alias("_parts"))
+    spans = written(counts.where(F.col("n") > rows // 2).select(F.col(key).alias("_k"), F.ceil(F.col("n") / rows).cast("bigint").alias("_parts")), "hot-keys")
     return total, F.broadcast(spans) if hot <= BROADCAST_KEYS else spans
 
 

@@ -42,6 +42,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least two tasks a core, for work that costs far more than moving its rows.
+
+    Few scan tasks mean few rows, so only small inputs are ever moved; what many tasks read stays where it lies.
+    """
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Tasks of a shuffle, named to keep small but costly partitions from being joined."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table, every timestamp as TIMESTAMP (the session zone is UTC)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
