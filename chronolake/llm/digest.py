@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.session import written
+from chronolake.session import shuffle_tasks, written
 
 #: A digest has at most about DELTA centroids, and none holds more than pi * sqrt(q (1 - q)) / DELTA * 2 of the values.
 DELTA = 400
@@ -159,7 +159,7 @@ def _merged(qs: tuple[float, ...]):
 def merge_digests(partials: DataFrame, qs: Sequence[float]) -> DataFrame:
     """One digest for each (kept, engine, state, day) and its ``estimates`` at ``qs``; the digests can be merged on."""
     by = ("kept", *KEYS)
-    return partials.repartition(*by).sortWithinPartitions(*by).mapInArrow(_merged(tuple(qs)), f"kept tinyint, {STATE}, estimates array<double>")
+    return partials.repartition(shuffle_tasks(partials.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(_merged(tuple(qs)), f"kept tinyint, {STATE}, estimates array<double>")
 
 
 def _masked(df: DataFrame, kept: Column, prefix: str = "") -> DataFrame:
@@ -175,21 +175,20 @@ def certify(estimates: DataFrame, rows: DataFrame, qs: Sequence[float]) -> DataF
     """Count for each estimate the values below and up to it, in a second pass over ``rows``.
 
     A rank error is how far q n lies outside [count below, count up to] the estimate, over n. Adds ``rank_errors`` (one a
-    q) and drops the digests. Every finest group gets the estimates of the eight groups it belongs to in one array; a
-    value is compared with all of them, so no row is spread over the combinations, only the finest groups' counts are.
+    q) and drops the digests. Equal values of a finest group are counted together, meet the estimates of the eight groups
+    they belong to in one join row, and are summed per finest group before anything is shuffled again.
     """
     sets, n = 1 << len(KEYS), len(qs)
     named = estimates.select(*[F.col(c).alias(f"_{c}") for c in ("kept", *KEYS)], "estimates")
     finest = estimates.where(F.col("kept") == sets - 1).select(*KEYS, F.explode(F.array(*[F.lit(i).cast("tinyint") for i in range(sets)])).alias("kept"))
     wide = _masked(finest, F.col("kept"), "m_").join(named, (F.col("kept") == F.col("_kept")) & _on([f"m_{k}" for k in KEYS], [f"_{k}" for k in KEYS]))
-    cuts = wide.groupBy(*KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kept", "estimates"))), lambda x: x["estimates"])).alias("cuts")).select(*[F.col(k).alias(f"_{k}") for k in KEYS], "cuts")
+    cuts = wide.groupBy(*KEYS).agg(F.collect_list(F.struct("kept", "estimates")).alias("cuts")).select(*[F.col(k).alias(f"_{k}") for k in KEYS], "cuts")
     counts = rows.where(F.col("value").isNotNull()).groupBy(*KEYS, F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("w"))
-    hit = counts.join(cuts, _on(KEYS, [f"_{k}" for k in KEYS]))
-    sums = [F.sum(F.when(test(F.col("value"), F.col("cuts")[i]), F.col("w")).otherwise(0)).alias(f"{name}{i}") for i in range(sets * n) for name, test in (("lt", lambda a, b: a < b), ("le", lambda a, b: a <= b))]
-    own = hit.groupBy(*KEYS).agg(*sums)
-    per_set = [F.struct(F.lit(s).cast("tinyint").alias("kept"), *[F.col(f"{name}{s * n + i}").alias(f"{name}_{i}") for i in range(n) for name in ("lt", "le")]) for s in range(sets)]
-    spread = _masked(own.select(*KEYS, F.explode(F.array(*per_set)).alias("x")).select(*KEYS, "x.*"), F.col("kept"))
-    total = spread.groupBy("kept", *KEYS).agg(*[F.sum(f"{name}_{i}").alias(f"{name}_{i}") for i in range(n) for name in ("lt", "le")]).select(*[F.col(c).alias(f"_{c}") for c in ("kept", *KEYS)], *[f"{name}_{i}" for i in range(n) for name in ("lt", "le")])
+    hit = counts.join(cuts, _on(KEYS, [f"_{k}" for k in KEYS])).select(*KEYS, "value", "w", F.explode("cuts").alias("x"))
+    names = [f"{name}_{i}" for i in range(n) for name in ("lt", "le")]
+    sums = [F.sum(F.when(test(F.col("value"), F.col("x.estimates")[i]), F.col("w")).otherwise(0)).alias(f"{name}_{i}") for i in range(n) for name, test in (("lt", lambda a, b: a < b), ("le", lambda a, b: a <= b))]
+    own = hit.groupBy(*KEYS, F.col("x.kept").alias("kept")).agg(*sums)
+    total = _masked(own, F.col("kept")).groupBy("kept", *KEYS).agg(*[F.sum(c).alias(c) for c in names]).select(*[F.col(c).alias(f"_{c}") for c in ("kept", *KEYS)], *names)
     got = estimates.join(total, (F.col("kept") == F.col("_kept")) & _on(KEYS, [f"_{k}" for k in KEYS]))
     errors = [F.greatest(F.lit(0.0), F.col(f"lt_{i}") - q * F.col("n"), q * F.col("n") - F.col(f"le_{i}")) / F.col("n") for i, q in enumerate(qs)]
     return got.select("kept", *KEYS, F.col("n").cast("bigint").alias("n"), "estimates", F.array(*errors).alias("rank_errors"))

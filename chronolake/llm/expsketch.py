@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.session import written
+from chronolake.session import shuffle_tasks, written
 
 #: Registers of a sketch. A distinct count has the relative standard error 1 / sqrt(REGISTERS - 2), 3.1 %.
 REGISTERS = 1024
@@ -409,7 +409,7 @@ MERGED = "src tinyint, " + PARTIAL
 
 
 def _merge(partials: DataFrame) -> DataFrame:
-    shuffled = partials.select(*_HEAD, "seeds", "mins").repartition(*_HEAD).sortWithinPartitions(*_HEAD)
+    shuffled = partials.select(*_HEAD, "seeds", "mins").repartition(shuffle_tasks(partials.sparkSession), *_HEAD).sortWithinPartitions(*_HEAD)
     return shuffled.mapInArrow(_merged, "node bigint, " + MERGED)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronolake.llm.letters import letters
 from chronolake.llm.sentences import _edges, column_order, edge_columns
+from chronolake.session import spread
 
 #: Letters of the shortest match that counts, in alphabetic scripts and in scripts of syllables and ideographs; no more
 #: than the least stretch of a short item.
@@ -479,13 +480,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     ``share`` of them and the ``longest`` verbatim match. Only letters count; case, accents and look-alike letters are
     set aside. Null and empty texts hold nothing, a null doc_id is reported as such.
     Each shard of pages gets its suffix array where it is read, and every test suffix is searched for in it, while the
-    array is in memory; nothing of a page is shuffled or stored. The pages are read once for BLOCKS blocks of test items,
+    array is in memory; nothing of a page is stored, and none is moved unless a few
+    tasks would read them all. The pages are read once for BLOCKS blocks of test items,
     each of bounded size, which is what the executors hold of them.
     A page whose columns alternate is searched in the order of its columns as well, by the boxes of its ``lines`` (if
     there are any), and the better stretch counts.
     """
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", *(edge_columns() if "lines" in documents.columns else []))
-    context, blocks = documents.sparkSession.sparkContext, _blocks(items)
+    pages, context, blocks = spread(pages), documents.sparkSession.sparkContext, _blocks(items)
     got = None
     while shared := [context.broadcast(b) for b in islice(blocks, BLOCKS)]:
         part = pages.mapInArrow(_searcher(shared), RESULT)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.session import written
+from chronolake.session import spread, written
 
 #: Tokens in a container.
 CAPACITY = 4096
@@ -52,7 +52,7 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     ``path``: a vocabulary file for tiktoken, by default the multilingual byte-level one.
     """
-    return documents.select("doc_id", "text").mapInArrow(_counter(path), "doc_id bigint, n_tokens bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_counter(path), "doc_id bigint, n_tokens bigint")
 
 
 def best_fill(counts: dict[int, int], lengths: list[int], room: int) -> tuple[int, dict[int, int]]:

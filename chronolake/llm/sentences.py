@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.session import written
+from chronolake.session import spread, written
 
 # Marks, quotation marks and brackets of the scripts.
 STRONG = "!?！？。｡।॥؟۔"
@@ -664,7 +664,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lexicon(documents: DataFrame) -> Lexicon:
     """What all pages say about words. Fewer than 1 / RAREST words come to the driver, 20 bytes each, however large the corpus."""
-    rows = documents.where(F.col("text").isNotNull()).select("text").mapInArrow(_counter, _COUNTED_ROWS)
+    rows = spread(documents.where(F.col("text").isNotNull()).select("text")).mapInArrow(_counter, _COUNTED_ROWS)
     sums = written(rows.groupBy("word", "behind").agg(*[F.sum(c).alias(c) for c in COUNTS]), "word-counts")
     plain = sums.where(F.col("behind") == PLAIN).drop("behind")
     least = RAREST * (plain.agg(F.sum("total")).first()[0] or 0)
@@ -736,8 +736,8 @@ def sentences(documents: DataFrame, with_text: bool = False) -> DataFrame:
 
     Offsets count Unicode code points. Null and empty texts, and texts of blanks, have no sentences; a page whose boxes
     are missing or do not fit its lines is read as one column. Rows with equal doc_id give each of their ends once.
-    Two passes: the corpus' word counts, then each page by itself. Nothing of a page is shuffled, but for those whose
-    doc_id occurs more than once.
+    Two passes: the corpus' word counts, then each page by itself. The ends of pages whose doc_id occurs more than once
+    are shuffled, and pages are moved where a few tasks would read them all.
     """
     lex = lexicon(documents)
     shared = documents.sparkSession.sparkContext.broadcast((lex.keys, lex.shares))
@@ -745,7 +745,7 @@ def sentences(documents: DataFrame, with_text: bool = False) -> DataFrame:
     schema = "doc_id bigint, sent_end bigint" + (", sentence string" if with_text else "")
     repeated = written(pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "repeated-pages")
     n = repeated.count()
-    units = lambda df: df.mapInArrow(_splitter(shared, with_text), schema)
+    units = lambda df: spread(df).mapInArrow(_splitter(shared, with_text), schema)
     if not n:
         return units(pages)
     repeated, same = F.broadcast(repeated) if n <= 100_000 else repeated, F.col("doc_id").eqNullSafe(F.col("_id"))
