@@ -744,8 +744,8 @@ def sentences(documents: DataFrame, with_text: bool = False) -> DataFrame:
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", *edge_columns())
     schema = "doc_id bigint, sent_end bigint" + (", sentence string" if with_text else "")
     repeated = written(pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "repeated-pages")
-    n = repeated.count()
-    units = lambda df: spread(df).mapInArrow(_splitter(shared, with_text), schema)
+    n, pages = repeated.count(), spread(pages)
+    units = lambda df: df.mapInArrow(_splitter(shared, with_text), schema)
     if not n:
         return units(pages)
     repeated, same = F.broadcast(repeated) if n <= 100_000 else repeated, F.col("doc_id").eqNullSafe(F.col("_id"))
