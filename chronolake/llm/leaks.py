@@ -30,6 +30,9 @@ MISSING, PASSED = 0.25, 0.004
 HOLE, OVERLAP = 45, 8
 #: Pairs with up to so many matches are chained many at a time.
 WIDTH = 512
+#: For pairs with up to so many matches, on pages and in items of fewer letters, no step is followed before a simpler one
+#: has shown what a chain can score at most; so many places are looked at together.
+CEILED, CEILED_LETTERS, CELLS = 2048, 1 << 20, 1 << 15
 #: Letters of test items in a block, and how many blocks each shard of pages is searched for in one pass.
 BLOCK_LETTERS, BLOCKS = 1_000_000, 8
 #: Characters of pages whose suffixes form one array, and how far the parts of a longer page overlap.
@@ -83,13 +86,16 @@ class SuffixArray:
 
     def __init__(self, flat: np.ndarray, at: np.ndarray):
         pages = len(at) - 1
-        self.alphabet = np.unique(flat)
+        there = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        there[flat] = True
+        self.alphabet = np.flatnonzero(there).astype(flat.dtype)
         self.bits = max(4, int(len(self.alphabet) + 1).bit_length())
         self.per = 64 // self.bits
         own = np.repeat(np.arange(pages), np.diff(at))
         code = np.zeros(len(flat) + pages + 1, np.uint32)  # a 0 in front and one behind each page
-        code[np.arange(len(flat)) + own + 1] = np.searchsorted(self.alphabet, flat) + 1
+        code[np.arange(len(flat)) + own + 1] = np.cumsum(there, dtype=np.uint32)[flat]
         self.code, self.starts = code, at[:-1] + np.arange(pages) + 1
+        self.page = np.repeat(np.arange(-1, pages, dtype=np.int32), np.diff(np.r_[0, self.starts, len(code)]))
         key = _packed(code, self.bits)
         self.key = np.r_[key, np.zeros(self.per + 1, np.uint64)]
         self.array = self._sorted(key, np.r_[self.starts[1:] - 1, len(code) - 1] if pages else np.zeros(0, np.int64), own)
@@ -184,7 +190,7 @@ class SuffixArray:
                 first = (place[which] == 0) | (self.code[p - 1] != code[q - 1])
                 p, q, which = p[first], q[first], which[first]
                 length = self._extended(p, q, key)
-                page = np.searchsorted(self.starts, p, "right") - 1
+                page = self.page[p]
                 found.append((page, item[which], p - self.starts[page], place[which], length))
             begin = end
         if not found:
@@ -230,6 +236,57 @@ def _bound(pair: np.ndarray, p: np.ndarray, q: np.ndarray, length: np.ndarray, n
     return _covered(pair, q + step, length - step, n) + FAR_STEP * unit
 
 
+def _ceilings(starts: np.ndarray, sizes: np.ndarray, p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float) -> np.ndarray:
+    """No chain of a pair can score more than this, but for rounding of whole scores.
+
+    Of what ``_steps`` asks for only the step itself, the item's letters between two matches, their overlap in the item
+    and what the page passes over at a far step are counted, so that every step is allowed and none costs more; each is
+    a little cheaper than there, by more than single precision rounds. The matches of a pair lie in a column.
+    """
+    out, far_step = np.empty(len(starts)), np.float32((FAR_STEP - NEAR_STEP) * unit)
+    near_step, near, missing, passed = np.float32((NEAR_STEP - 0.01) * unit), np.float32(NEAR * unit + 0.01), np.float32(MISSING), np.float32(PASSED)
+    width = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    for w in np.unique(width):
+        pairs, n, row = np.flatnonzero(width == w), max(1, CELLS // int(w)), np.arange(w)[:, None]
+        for a in range(0, len(pairs), n):
+            some = pairs[a : a + n]
+            at = starts[some] + np.minimum(row, sizes[some] - 1)
+            begin, score, place = q[at].astype(np.float32), length[at].astype(np.float32), (p[at] - p[starts[some]]).astype(np.float32)
+            end, diagonal = begin + score, place - begin
+            passing, far = passed * place + far_step, score + passed * (place + score)
+            for j in range(1, int(w)):
+                gap = begin[j] - end[:j]
+                value = np.where(np.abs(diagonal[:j] - diagonal[j]) <= near, score[:j], far[:j] - passing[j])
+                value -= np.maximum(missing * gap, -gap)
+                more = np.maximum(value.max(axis=0) - near_step, 0)
+                score[j] += more
+                far[j] += more
+            out[some] = np.where(row < sizes[some], score, 0).max(axis=0)
+    return out
+
+
+def _promising(starts: np.ndarray, sizes: np.ndarray, p: np.ndarray, q: np.ndarray, length: np.ndarray, unit: float, letters_: np.ndarray) -> np.ndarray:
+    """The pairs that may have a chain of CHAIN of the item's letters: whatever is left out has none."""
+    least = 0.99 * CHAIN * letters_  # single precision is far nearer than that
+    some = np.flatnonzero(np.add.reduceat(length, starts) - (sizes - 1) * NEAR_STEP * unit >= least)
+    few = (sizes[some] <= CEILED) & (np.maximum(p[starts[some] + sizes[some] - 1], letters_[some]) < CEILED_LETTERS)
+    many, few = some[~few], some[few]
+    few = few[_ceilings(starts[few], sizes[few], p, q, length, unit) >= least[few]]
+    if len(many):
+        at, pair = _ranges(starts[many], starts[many] + sizes[many])
+        a, b, n = p[at], q[at], length[at]
+        many = many[(_covered(pair, b, n, len(many)) >= least[many]) & (_bound(pair, a, b, n, len(many), unit) >= least[many])]
+    return np.sort(np.r_[few, many])
+
+
+def _order(page: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The order by page, item, place in page and place in item; all in one number where that holds them."""
+    many = [int(x.max()) + 1 for x in (page, item, p, q)]
+    if many[0] * many[1] * many[2] * many[3] >= 1 << 63:
+        return np.lexsort((q, p, item, page))
+    return np.argsort(((page.astype(np.int64) * many[1] + item) * many[2] + p) * many[3] + q)
+
+
 #: Of chains: score, begin and end in the item, letters matched, begin and end in the page.
 Chains = tuple[np.ndarray, ...]
 
@@ -357,15 +414,14 @@ def _held(items: Items, found: tuple[np.ndarray, ...], flat: np.ndarray, at: np.
         own = np.flatnonzero(items.is_wide[item] == wide)
         if not len(own):
             continue
-        own = own[np.lexsort((q[own], p[own], item[own], page[own]))]
+        own = own[_order(page[own], item[own], p[own], q[own])]
         pg, it, a, b, n = page[own], item[own], p[own], q[own], length[own]
         new = np.r_[True, (pg[1:] != pg[:-1]) | (it[1:] != it[:-1])]
-        starts, pair = np.flatnonzero(new), np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
         sizes, unit = np.diff(np.r_[starts, len(own)]), 0.4 if wide else 1.0
         size = items.sizes[it[starts]]
         longest = np.maximum.reduceat(n, starts)
-        # lossless: whatever a chain would take passes both bounds
-        some = np.flatnonzero((_covered(pair, b, n, len(starts)) >= CHAIN * size) & (_bound(pair, a, b, n, len(starts), unit) >= CHAIN * size))
+        some = _promising(starts, sizes, a, b, n, unit, size)
         chains = _chains(starts[some], sizes[some], a, b, n, unit, size[some])
         for k in np.flatnonzero(chains[0] >= CHAIN * size[some]):
             first = starts[some[k]]

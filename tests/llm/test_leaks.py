@@ -203,3 +203,52 @@ def test_passages_with_misread_letters_are_found(spark, world):
     pages.append((" " + passage(r, 400) + " ").join(apart[x : x + len(apart) // 4] for x in range(0, len(apart), len(apart) // 4)))
     got = set(run(spark, items, pages))
     assert len(got & want) >= 54 and not got - want - {(60, items[3][0])} and (60, items[3][0]) in got
+
+
+def scattered(r, n):
+    """One pair of n matches in order, near each other or not, as its starts, sizes, places and lengths."""
+    q, length = r.integers(0, 150, n), r.integers(9, 30, n)
+    p = np.where(r.random(n) < 0.5, q + 40 + r.integers(-9, 9, n), r.integers(0, 1500, n))
+    order = np.lexsort((q, p))
+    return np.array([0]), np.array([n]), p[order], q[order], length[order]
+
+
+def test_no_chain_scores_more_than_its_ceiling(monkeypatch):
+    """Alone or beside others, and no pair that has a chain is left out, by the ceiling or by the bounds of many matches."""
+    r = np.random.default_rng(6)
+    for unit in (1.0, 0.4):
+        pairs = [scattered(r, int(r.integers(1, 40))) for _ in range(300)]
+        sizes = np.concatenate([x[1] for x in pairs])
+        starts, (p, q, length) = np.cumsum(sizes) - sizes, (np.concatenate([x[k] for x in pairs]) for k in (2, 3, 4))
+        letters_ = r.integers(200, 900, len(pairs))
+        score = leaks._chains(starts, sizes, p, q, length, unit, letters_)[0]
+        ceiling = leaks._ceilings(starts, sizes, p, q, length, unit)
+        assert (score <= ceiling + 1e-4).all()
+        assert ceiling == pytest.approx(np.concatenate([leaks._ceilings(*x, unit) for x in pairs]))
+        has = set(np.flatnonzero(score >= leaks.CHAIN * letters_))
+        for ceiled in (leaks.CEILED, 8, 0):
+            monkeypatch.setattr(leaks, "CEILED", ceiled)
+            got = leaks._promising(starts, sizes, p, q, length, unit, letters_)
+            assert has <= set(got) and (np.diff(got) > 0).all()
+        monkeypatch.undo()
+
+
+def test_scattered_likeness_is_not_chained(monkeypatch):
+    """Pages and items of the same words in other orders: hardly a pair is followed step by step, and what is held is found."""
+    r = random.Random(4)
+    words = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 5))) for _ in range(150)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [text(55) for _ in range(20)]
+    pages = [text(400) for _ in range(30)] + [text(100) + " " + items[3][:200] + " " + text(100)]
+    chained, chains = [], leaks._chains
+    monkeypatch.setattr(leaks, "_chains", lambda starts, *rest: chained.append(len(starts)) or chains(starts, *rest))
+    found = leaks.search([leaks.Items(list(range(20)), items)], list(range(31)), pages)
+    assert [x[:2] for x in found] == [(30, 3)]
+    assert sum(chained) <= 31
+
+
+def test_places_beyond_one_number_are_sorted():
+    r = np.random.default_rng(7)
+    for top in (50, 1 << 17):
+        four = [np.r_[top, r.integers(0, 4, 200)] for _ in range(4)]
+        assert [tuple(x[i] for x in four) for i in leaks._order(*four)] == sorted(zip(*four, strict=True))
