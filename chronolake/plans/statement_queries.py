@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import uuid
+import zipfile
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
+from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +147,44 @@ def _database(spark: SparkSession) -> str:
     return f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
 
 
+def _shared_database(spark: SparkSession, name: str, rows: DataFrame) -> str:
+    """A database of one table that every process of the application can open, read-only: its URL.
+
+    Derby's databases belong to the one process that has them open, except those in archives. So the driver alone loads
+    the table, from texts that the executors write, and puts the database into an archive in the shared folder.
+    """
+    home = urlparse(_folder(spark, "database"))
+    if home.scheme not in ("", "file"):
+        raise RuntimeError(f"the database needs a shared folder that is mounted on every machine, not {home.scheme}:")
+    at = Path(home.path)
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for c in rows.columns]
+    rows.select(F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in quoted])).write.text(f"file://{at}/texts")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    drivers, url = spark._jvm.java.sql.DriverManager, f"jdbc:derby:directory:{at}/loading"
+    rows.limit(0).write.jdbc(f"{url};create=true", name)
+    connection = drivers.getConnection(url)
+    try:
+        load = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, NULL, NULL, 'UTF-8', 0)")
+        load.setString(1, name.upper())
+        for text in sorted(at.glob("texts/part-*")):
+            load.setString(2, str(text))
+            load.execute()
+    finally:
+        connection.close()
+    try:
+        drivers.getConnection(f"{url};shutdown=true")
+    except Py4JJavaError as e:  # a database that was shut down always says so by an error
+        if e.java_exception.getSQLState() != "08006":
+            raise
+    with zipfile.ZipFile(at / "db.jar", "w", zipfile.ZIP_STORED) as jar:
+        for file in (at / "loading").rglob("*"):
+            if file.is_file() and file.suffix != ".lck":
+                jar.write(file, f"db/{file.relative_to(at / 'loading')}")
+    for part in ("texts", "loading"):
+        shutil.rmtree(at / part)
+    return f"jdbc:derby:jar:({at}/db.jar)db"
+
+
 def link_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A link over a table of a database."""
     url, schema = _database(spark), catalog(sf_dir)
@@ -158,9 +201,8 @@ _DECLARED = """{{"externalLinks": [{{"description": {{"linkName": "OrderPriority
 
 def link_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A link declared in JSON, over a table of a database."""
-    url, schema = _database(spark), catalog(sf_dir)
-    rows = [("1-URGENT", "urgent", "a"), ("2-HIGH", "high", "a"), ("5-LOW", "low", None)]
-    spark.createDataFrame(rows, "code string, short_name string, lvl string").coalesce(1).write.jdbc(url, "priorities")
+    schema, rows = catalog(sf_dir), [("1-URGENT", "urgent", "a"), ("2-HIGH", "high", "a"), ("5-LOW", "low", None)]
+    url = _shared_database(spark, "priorities", spark.createDataFrame(rows, "code string, short_name string, lvl string"))
     (link, _), = declared(_DECLARED.format(url=url), schema)
     e = Engine(spark, replace(schema, tables={"orders": replace(schema.table("orders"), links=(link,))}))
     return comparable(e.sql(f"SELECT OrderPriority_shortName AS p, OrderPriority_level AS l, count(o_orderkey) AS n FROM orders WHERE {_OY} GROUP BY p, l"))
