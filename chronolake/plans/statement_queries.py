@@ -141,13 +141,7 @@ def results_in_a_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 # links
 
 
-def _database(spark: SparkSession) -> str:
-    """An in-memory database of this process."""
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    return f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
-
-
-def _shared_database(spark: SparkSession, name: str, rows: DataFrame) -> str:
+def _database(spark: SparkSession, name: str, rows: DataFrame) -> str:
     """A database of one table that every process of the application can open, read-only: its URL.
 
     Derby's databases belong to the one process that has them open, except those in archives. So the driver alone loads
@@ -187,8 +181,8 @@ def _shared_database(spark: SparkSession, name: str, rows: DataFrame) -> str:
 
 def link_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A link over a table of a database."""
-    url, schema = _database(spark), catalog(sf_dir)
-    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand_name"), "p_size").coalesce(1).write.jdbc(url, "part_brands")
+    schema, parts = catalog(sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand_name"), "p_size")
+    url = _database(spark, "part_brands", parts)
     link = from_jdbc("Db", "l_partkey", {"brandName": S.VARCHAR}, "part_brands", url)
     sales = replace(schema.table("sales"), links=(link,))
     e = Engine(spark, replace(schema, tables={"sales": sales}))
@@ -202,7 +196,7 @@ _DECLARED = """{{"externalLinks": [{{"description": {{"linkName": "OrderPriority
 def link_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A link declared in JSON, over a table of a database."""
     schema, rows = catalog(sf_dir), [("1-URGENT", "urgent", "a"), ("2-HIGH", "high", "a"), ("5-LOW", "low", None)]
-    url = _shared_database(spark, "priorities", spark.createDataFrame(rows, "code string, short_name string, lvl string"))
+    url = _database(spark, "priorities", spark.createDataFrame(rows, "code string, short_name string, lvl string"))
     (link, _), = declared(_DECLARED.format(url=url), schema)
     e = Engine(spark, replace(schema, tables={"orders": replace(schema.table("orders"), links=(link,))}))
     return comparable(e.sql(f"SELECT OrderPriority_shortName AS p, OrderPriority_level AS l, count(o_orderkey) AS n FROM orders WHERE {_OY} GROUP BY p, l"))
